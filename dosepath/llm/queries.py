@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosepath.llm import neighbours, packing, quality, sharding, topk
+from dosepath.llm import mixing, neighbours, packing, quality, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0).drop("source")
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -40,7 +44,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op8_nearest_neighbours, op10_vector_packing)
+    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op8_nearest_neighbours, op10_vector_packing)
 }
 
 ORACLES: dict[str, str] = {
