@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosepath.llm import mixing, neighbours, packing, quality, secret_scan, sharding, spans, topk
+from dosepath.llm import mixing, neighbours, packing, pii, quality, secret_scan, sharding, spans, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), out.alias("score"), (out >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [spans.count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(spans.digest(F.col("base_spans")), 256).alias("base_sha256"), spans.digest(F.col("pii_spans")).alias("spans"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [spans.count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -50,7 +56,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op7_secret_scan, op8_nearest_neighbours, op10_vector_packing)
+    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op10_vector_packing)
 }
 
 ORACLES: dict[str, str] = {
