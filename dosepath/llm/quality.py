@@ -127,12 +127,17 @@ def from_moments(n: np.ndarray, first: np.ndarray, second: np.ndarray, pooled_sh
     return Discriminant(tuple(constant), tuple(map(tuple, means.tolist())), tuple(tuple(map(tuple, f.tolist())) for f in factors))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", learn_from: Column | None = None, pooled_share: float = 0.1, ridge: float = 0.01) -> Discriminant:
-    """Fit on all labelled rows of ``docs`` (doc_id, text) for which ``learn_from`` (of doc_id) holds."""
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id and the features of ``docs`` (doc_id, text): a row of fixed width, so joins move no text."""
+    return featured(docs, [F.col("doc_id").cast("long").alias("doc_id")])
+
+
+def fit(rows: DataFrame, labels: DataFrame, *, label: str = "quality", learn_from: Column | None = None, pooled_share: float = 0.1, ridge: float = 0.01) -> Discriminant:
+    """Fit on all labelled ``rows`` (of ``features``) for which ``learn_from`` (of the labels' id, _id) holds."""
     marked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1))
     if learn_from is not None:
         marked = marked.where(learn_from)
-    rows = stage(featured(docs.join(marked, docs["doc_id"] == F.col("_id")), [F.col("_y")]), "learned")
+    rows = stage(rows.join(marked, rows["doc_id"] == F.col("_id")).drop("doc_id", "_id"), "learned")
     d = len(FEATURES)
     x = [F.col(f"_x_{n}") for n in FEATURES]
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]

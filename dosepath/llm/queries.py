@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dosepath.plans.staging import stage
 from dosepath.llm import mixing, neighbours, packing, pii, quality, secret_scan, sharding, spans, topk
 
 
@@ -27,10 +28,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn_from=~quality.held_out(F.col("_id")))
-    out = F.col("quality_score")
-    return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), out.alias("score"), (out >= 0.5).cast("int").alias("predicted"))
+    rows = stage(quality.features(table(spark, sf_dir, "documents")), "features")
+    model = quality.fit(rows, table(spark, sf_dir, "labels"), learn_from=~quality.held_out(F.col("_id")))
+    scored = rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
