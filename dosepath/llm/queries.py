@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosepath.plans.staging import stage
-from dosepath.llm import mixing, neighbours, packing, pii, quality, secret_scan, sharding, spans, topk
+from dosepath.llm import mixing, neighbours, ngram_join, packing, pii, quality, secret_scan, sharding, spans, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), n=5, num=75, den=100)
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +61,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op10_vector_packing)
+    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing)
 }
 
 ORACLES: dict[str, str] = {
