@@ -9,10 +9,10 @@ its columns with numpy and gives the overlap count of every pair of rows in it.
 Summed over the blocks, a pair is discarded when its overlap and what the sizes
 leave for the suffixes cannot reach the size-derived bound ceil(t (a + b) / (1 + t)).
 
-A column that very many rows hold is not multiplied out.  Its rows are linked to
-one hub row; after the first links are verified, only rows of different
-components are compared on it.  So a group of thousands of near copies costs its
-size, not its square, and no link between components is missed.
+A column that very many rows hold is not multiplied out with the others.  Its
+rows are compared with one hub row first; where that leaves rows of different
+components together, their whole sets are multiplied in square blocks, and a
+block returns a spanning forest of its links instead of its pairs.
 
 Survivors are verified on whole n-gram sets: first the links to each row's least
 partner, then, of the others, those that still join two components.  Result:
@@ -47,6 +47,7 @@ COUNT_AT_ONCE = 1 << 22  # n-grams that are counted at once
 HOT = 64  # a column with more rows is frequent
 MOST_HOT = 1 << 20  # frequent columns that are broadcast, 8 MB
 BLOCK_ENTRIES = 2_000_000
+DENSE = 400  # rows of a side of a block of whole sets
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -306,6 +307,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compared, "a long, b long, linked boolean")
 
 
+def _dense_links(entries: DataFrame, hubs: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that join components among the rows of frequent columns.
+
+    Rows that frequent columns hold together form a cluster.  A cluster of more
+    than one component is dealt into square blocks of whole sets; a task
+    multiplies one block and returns a spanning forest of its links, so what
+    leaves it grows with the rows, not with their pairs.
+    """
+    together = entries.select("key", "set").join(hubs.select("key", F.col("a").alias("hub")), "key").select("set", "hub").distinct()
+    cluster = stage(components(together, "set", "hub"), "clusters").select(F.col("node").alias("set"), F.col("root").alias("cluster"))
+    marked = cluster.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    split = marked.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi"))
+    split = split.select("cluster", F.ceil(F.col("m") / DENSE).alias("parts"))
+    dealt = marked.join(split, "cluster").withColumn("part", F.pmod(F.xxhash64("set", F.lit(11)), F.col("parts")))
+    dealt = dealt.join(sets, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "set", "root", "grams")
+
+    def multiplied(key: tuple, group: pa.Table) -> pa.Table:
+        ids, root, part = (group.column(c).to_numpy() for c in ("set", "root", "part"))
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("grams")]
+        size = np.array([len(x) for x in grams])
+        _, col = np.unique(np.concatenate(grams), return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), size)
+        order = np.argsort(col, kind="stable")
+        posted, ends = row[order], np.cumsum(np.bincount(col))
+        begins = np.r_[0, ends[:-1]]
+        within = key[1].as_py() == key[2].as_py()
+        parent = {r: r for r in root.tolist()}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out, at = ([], []), np.r_[0, np.cumsum(size)]
+        for x in range(len(ids)):
+            cols = col[at[x] : at[x + 1]]
+            times = ends[cols] - begins[cols]
+            places = np.repeat(begins[cols] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+            both = np.bincount(posted[places], minlength=len(ids))
+            hit = den * both >= num * (size[x] + size - both)
+            hit[: x + 1] = False
+            if not within:
+                hit &= part != part[x]
+            for y in np.flatnonzero(hit & (root != root[x])):
+                p, q = find(int(root[x])), find(int(root[y]))
+                if p != q:
+                    parent[p] = q
+                    out[0].append(int(ids[x]))
+                    out[1].append(int(ids[y]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(multiplied, "a long, b long")
+
+
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one component yet."""
     for end in ("a", "b"):
@@ -362,14 +419,10 @@ def similar_components(docs: DataFrame, *, n: int = 5, num: int = 75, den: int =
     roots = stage(components(checked.where("linked"), "a", "b"), "roots")
     # then all others that could still join two components
     left = _rooted(pairs, roots).select("a", "b")
-    marked = entries.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    split = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    marked = marked.join(split, "key", "left_semi")
-    one, two = (marked.select("key", F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
-    across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    rest = left.unionByName(across).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = left.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     more = stage(_verified(rest, sets, num, den), "more")
-    links = checked.unionByName(more).where("linked")
+    dense = stage(_dense_links(entries, hubs, roots, sets, num, den), "dense")
+    links = checked.unionByName(more).where("linked").select("a", "b").unionByName(dense)
     roots = stage(components(links, "a", "b"), "roots")
     unstage(packed, product, sets)
     named = owner.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
