@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosepath.plans.staging import stage
-from dosepath.llm import mixing, neighbours, ngram_join, packing, pii, quality, secret_scan, sharding, spans, topk
+from dosepath.llm import html_extract, mixing, neighbours, ngram_join, packing, pii, quality, secret_scan, sharding, spans, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [spans.count_of(F.col("base_spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
@@ -61,7 +65,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing)
+    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op5_html_extraction, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing)
 }
 
 ORACLES: dict[str, str] = {
