@@ -2,5 +2,380 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dosepath.config import Settings
+from dosepath.functions.columns import atc_ingredient_id, md5_id
+from dosepath.operators import cluster, cohort, events, features, grid, intervals, validity
+from dosepath.oracles import _MEANS, _PROFILE, ORACLES
+from dosepath.plans import trajectory
+from dosepath.schemas import FEATURES, STATES, WINDOWS
+from dosepath.sources import registers, testdata
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Six ingredients seldom overlap, so three count as many here.
+SETTINGS = Settings(polypharmacy_threshold=3)
+FOCUS = (1000001, 1000003)
+CURVE = [(2, 100.0), (3, 60.0), (4, 38.0), (5, 30.0), (6, 26.0), (7, 24.0)]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, names, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) + F.lit(0.0) for n in names})  # + 0.0: no negative zero
+
+
+def _joined_set(df: DataFrame) -> DataFrame:
+    return df.withColumn("active_set", F.array_join(F.col("active_set").cast("array<string>"), ","))
+
+
+def _eligible(spark: SparkSession, sf_dir: str, eras: DataFrame | None = None) -> DataFrame:
+    eras = testdata.eras(spark, sf_dir) if eras is None else eras
+    return cohort.eligible(eras, testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
+
+
+def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return trajectory.relational(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), SETTINGS)
+
+
+def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eras = testdata.eras(spark, sf_dir)
+    return intervals.clipped_eras(eras, _eligible(spark, sf_dir, eras))
+
+
+@query
+def exposure_end_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.imputed_exposures(testdata.exposures(spark, sf_dir))
+
+
+@query
+def ingredient_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.ingredient_map(testdata.concepts(spark, sf_dir), testdata.ancestors(spark, sf_dir))
+
+
+@query
+def exposure_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.to_ingredients(exposure_end_imputation(spark, sf_dir), ingredient_map(spark, sf_dir))
+
+
+@query
+def exposure_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.same_start_deduped(exposure_ingredients(spark, sf_dir))
+
+
+@query
+def era_gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testdata.eras(spark, sf_dir)
+
+
+@query
+def era_gap_merge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.raw_drug_eras(testdata.exposures(spark, sf_dir))
+
+
+@query
+def era_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = testdata.read(spark, sf_dir, "events").select("user_id", "event_type", F.to_date("ts").alias("era_start_date")).distinct()
+    merged = intervals.gap_merged(days.withColumn("era_end_date", F.col("era_start_date")), 1, keys=("user_id", "event_type"))
+    return merged.select("user_id", "event_type", "era_start_date", "era_end_date", F.col("drug_exposure_count").alias("n_days"))
+
+
+@query
+def primary_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = testdata.eras(spark, sf_dir).withColumnsRenamed({"era_start_date": "drug_era_start_date", "era_end_date": "drug_era_end_date"})
+    return intervals.primary_eras(source)
+
+
+@query
+def focus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.focused(testdata.eras(spark, sf_dir), FOCUS)
+
+
+@query
+def index_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.index_dates(testdata.eras(spark, sf_dir))
+
+
+@query
+def washout_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.washout_candidates(index_date(spark, sf_dir), testdata.observation(spark, sf_dir), SETTINGS.washout_days)
+
+
+@query
+def eligible_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.eligible(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), None)
+
+
+@query
+def eligible_cohort_death(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _eligible(spark, sf_dir)
+
+
+@query
+def registry_observation_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("long")
+    day = lambda start, n: F.date_add(F.lit(start).cast("date"), n.cast("int"))
+    civil = testdata.read(spark, sf_dir, "customer").select(
+        key.alias("person_id"),
+        day("1960-01-15", key * 37 % 20000).alias("birth_date"),
+        F.when(key % 5 == 0, day("2005-06-30", key % 1000)).alias("event_date"),
+        F.when(key % 2 == 0, "u").otherwise("Emigration").alias("event_code"),
+        F.when(key % 7 == 0, day("2010-01-01", key % 900)).alias("death_date"),
+    )
+    return registers.observation_periods(civil.drop("death_date"), civil.select("person_id", "death_date"))
+
+
+@query
+def pseudonymous_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("c_name")
+    return testdata.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), md5_id(name).alias("person_id"), atc_ingredient_id(name).alias("ingredient_concept_id"))
+
+
+@query
+def clipped_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clipped(spark, sf_dir).drop("index_date", "censor_date")
+
+
+@query
+def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.month_grid(_eligible(spark, sf_dir), SETTINGS.followup_months)
+
+
+@query
+def month_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.month_overlap(month_grid(spark, sf_dir), grid.era_months(_clipped(spark, sf_dir)))
+
+
+@query
+def month_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _joined_set(grid.month_burden(month_grid(spark, sf_dir), grid.era_months(_clipped(spark, sf_dir))))
+
+
+@query
+def month_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(spark, sf_dir)["person_month_summary"]
+    return rounded(_joined_set(out).select("person_id", "month_index", "active_n", "prev_active_n", "active_set", "turnover"), ["turnover"])
+
+
+@query
+def month_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(spark, sf_dir)["person_month_summary"]
+    return rounded(out.select("person_id", "month_index", "active_n", "starts_n", "stops_n", "turnover", "state"), ["turnover"])
+
+
+@query
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = _run(spark, sf_dir)["person_month_summary"]
+    return months.groupBy("person_id").agg(*[F.count(F.when(F.col("state") == x, 1)).alias(x) for x in STATES])
+
+
+def _by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.month_features(_run(spark, sf_dir)["person_month_summary"], SETTINGS)
+
+
+@query
+def subwindow_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"mean_burden_w{w}" for w in WINDOWS]
+    return rounded(_by_month(spark, sf_dir).select("person_id", *names), names)
+
+
+@query
+def subwindow_dominant_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_month(spark, sf_dir).select("person_id", *[f"dominant_state_w{w}" for w in WINDOWS])
+
+
+@query
+def maintenance_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.maintenance_tiers(_clipped(spark, sf_dir), SETTINGS)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.era_events(_clipped(spark, sf_dir), SETTINGS)
+
+
+_INTERVAL = ("person_id", "ingredient_concept_id", "era_start_date", "era_end_date")
+
+
+@query
+def restart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(*_INTERVAL, "era_number", "next_same_ingredient_start", "restarted_within_180d", "observed_for_restart_window")
+
+
+@query
+def switch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(*_INTERVAL, "switched_within_60d", "observed_for_switch_window")
+
+
+@query
+def early_discontinuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("era_row_key", "era_days", "maintenance_eligible", "early_discontinuation_90d")
+
+
+@query
+def burden_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["mean_active_n", "poly_month_prop", "mean_turnover", "burden_slope"]
+    return rounded(_by_month(spark, sf_dir).select("person_id", *names), names)
+
+
+@query
+def era_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.era_features(_events(spark, sf_dir)).select("person_id", "n_ingredient_eras", "n_distinct_ingredients")
+
+
+@query
+def disc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = features.era_features(_events(spark, sf_dir)).where("n_maintenance_eras > 0").drop("n_ingredient_eras", "n_distinct_ingredients")
+    return rounded(out, ["early_disc_90_rate", "restart_180_rate", "switch_60_rate", "is_single_era_maintenance"])
+
+
+def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["persons"]
+
+
+@query
+def person_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_persons(spark, sf_dir).select("person_id", *FEATURES, "disc_evaluable"), FEATURES)
+
+
+@query
+def person_phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _persons(spark, sf_dir).select("person_id", "discontinuation_phenotype", *FEATURES, "disc_evaluable", *[f"dominant_state_w{w}" for w in WINDOWS])
+    return rounded(out, FEATURES)
+
+
+@query
+def phenotype_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.phenotype_counts(_persons(spark, sf_dir))
+
+
+@query
+def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    controls = testdata.read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("person_id")).where("person_id % 9 = 0")
+    return validity.negative_controls(_persons(spark, sf_dir), controls)
+
+
+@query
+def primary_vs_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eras of a 30-day gap against eras of a 60-day gap on the same exposures."""
+    other = trajectory.relational(testdata.eras(spark, sf_dir, 60), testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), SETTINGS)["persons"]
+    out = validity.compared_runs(_persons(spark, sf_dir), other)
+    return rounded(out, [c for c in out.columns if c.startswith(("mean_", "early_"))])
+
+
+@query
+def turnover_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.turnover_profile(_run(spark, sf_dir)["person_month_summary"]), ["zero_share", "mean", "stddev", "q10", "q25", "q50", "q75", "q90"])
+
+
+@query
+def null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.null_audit(_persons(spark, sf_dir), ["is_single_era_maintenance", "dominant_state_w4", "mean_active_n"])
+
+
+@query
+def phenotype_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.crosstab(_persons(spark, sf_dir), "discontinuation_phenotype", "dominant_state_w1", STATES)
+
+
+@query
+def phenotype_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cluster.cluster_summary(_persons(spark, sf_dir), by="discontinuation_phenotype"), _MEANS)
+
+
+@query
+def phenotype_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.centroids(_persons(spark, sf_dir), "discontinuation_phenotype", _PROFILE), _PROFILE, 3)
+
+
+@query
+def eta_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = validity.anova(_persons(spark, sf_dir), "discontinuation_phenotype", _PROFILE)
+    return rounded(rounded(out.select("feature", "f_value", "eta_squared"), ["eta_squared"]), ["f_value"], 4)
+
+
+@query
+def archetype_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.prevalence(_persons(spark, sf_dir), "discontinuation_phenotype"), ["share"])
+
+
+@query
+def dominant_ingredient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.dominant_ingredient(_clipped(spark, sf_dir))
+
+
+@query
+def top_ingredients_by_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _run(spark, sf_dir)
+    return cluster.top_ingredients(run["persons"], run["person_month_summary"], testdata.ingredients(spark, sf_dir), 3, by="discontinuation_phenotype")
+
+
+@query
+def standardised_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["mean_active_n", "mean_turnover", "burden_slope"]
+    return rounded(cluster.standardised_unit(_persons(spark, sf_dir), names), [f"u_{n}" for n in names])
+
+
+@query
+def kneedle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cluster.kneedle(spark.createDataFrame(CURVE, "k int, value double")), ["bend"])
+
+
+@query
+def second_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cluster.second_differences(spark.createDataFrame(CURVE, "k int, value double")), ["second_difference"])
+
+
+@query
+def phenotype_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.adjusted_rand_index(_persons(spark, sf_dir).fillna("", ["dominant_state_w1"]), "discontinuation_phenotype", "dominant_state_w1"), ["ari"])
+
+
+def _full(spark: SparkSession, sf_dir: str, s: Settings = SETTINGS, fixed_k: int | None = 4) -> dict:
+    return trajectory.run(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), testdata.ingredients(spark, sf_dir), s, fixed_k=fixed_k)
+
+
+@query
+def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir)["final_person"]
+
+
+@query
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir)["cluster_summary"]
+
+
+@query
+def top_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full(spark, sf_dir)["top_ingredients"]
+
+
+def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dosepath.plans.staging import stage
+
+    return stage(cluster.scaled(_persons(spark, sf_dir)).select("person_id", "features_cosine"), "unit")
+
+
+@query
+def silhouette_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster.silhouette_grid(_unit_rows(spark, sf_dir), SETTINGS.k_grid, SETTINGS.seed)
+    return spark.createDataFrame([("testdata", k, s) for k, s, _ in found], "label string, k int, silhouette double")
+
+
+@query
+def bisecting_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(cluster.bisecting_grid(_unit_rows(spark, sf_dir), 6, SETTINGS.seed), "k int, wssse double")
+
+
+@query
+def internal_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ch, db = validity.cluster_indices(_persons(spark, sf_dir).where("disc_evaluable"), "discontinuation_phenotype", _PROFILE)
+    return spark.createDataFrame([(ch, db)], "calinski_harabasz double, davies_bouldin double")
