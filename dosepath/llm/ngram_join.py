@@ -42,12 +42,12 @@ from dosepath.plans.staging import stage, unstage
 
 ship(__name__)
 
-CHUNK_BYTES = 1 << 22  # text that is hashed at once
+CHUNK_BYTES = 1 << 21  # text that is hashed at once
 COUNT_AT_ONCE = 1 << 22  # n-grams that are counted at once
 HOT = 64  # a column with more rows is frequent
 MOST_HOT = 1 << 20  # frequent columns that are broadcast, 8 MB
-BLOCK_ENTRIES = 2_000_000
-DENSE = 400  # rows of a side of a block of whole sets
+BLOCK_ENTRIES = 1_000_000
+DENSE = 200_000  # n-grams of a side of a block of whole sets
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -318,7 +318,8 @@ def _dense_links(entries: DataFrame, hubs: DataFrame, roots: DataFrame, sets: Da
     together = entries.select("key", "set").join(hubs.select("key", F.col("a").alias("hub")), "key").select("set", "hub").distinct()
     cluster = stage(components(together, "set", "hub"), "clusters").select(F.col("node").alias("set"), F.col("root").alias("cluster"))
     marked = cluster.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    split = marked.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi"))
+    marked = marked.join(entries.select("set", "n").distinct(), "set")
+    split = marked.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("m")).where(F.col("lo") != F.col("hi"))
     split = split.select("cluster", F.ceil(F.col("m") / DENSE).alias("parts"))
     dealt = marked.join(split, "cluster").withColumn("part", F.pmod(F.xxhash64("set", F.lit(11)), F.col("parts")))
     dealt = dealt.join(sets, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -344,10 +345,12 @@ def _dense_links(entries: DataFrame, hubs: DataFrame, roots: DataFrame, sets: Da
 
         out, at = ([], []), np.r_[0, np.cumsum(size)]
         for x in range(len(ids)):
-            cols = col[at[x] : at[x + 1]]
-            times = ends[cols] - begins[cols]
-            places = np.repeat(begins[cols] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-            both = np.bincount(posted[places], minlength=len(ids))
+            both = np.zeros(len(ids), np.int64)
+            for lo in range(at[x], at[x + 1], 4096):
+                cols = col[lo : min(lo + 4096, at[x + 1])]
+                times = ends[cols] - begins[cols]
+                places = np.repeat(begins[cols] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+                both += np.bincount(posted[places], minlength=len(ids))
             hit = den * both >= num * (size[x] + size - both)
             hit[: x + 1] = False
             if not within:
