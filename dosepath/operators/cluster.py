@@ -88,8 +88,8 @@ def clustered(features: DataFrame, *, k_grid: Sequence[int], final_k: int | None
     """
     nobody = Clustering(features.where("disc_evaluable").select("person_id", F.lit(UNCLUSTERED).alias(CLUSTER)), UNCLUSTERED)
     most = feasible_k(features)
-    grid = [k for k in k_grid if k <= most]
-    if not most or (fixed_k is not None and fixed_k > most) or (fixed_k is None and not grid):
+    grid = [k for k in k_grid if 2 <= k <= most]
+    if not most or (fixed_k is not None and not 2 <= fixed_k <= most) or (fixed_k is None and not grid):
         return nobody
     rows = scaled(features).select("person_id", "features_cosine").persist()
     try:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dosepath.config import Settings
 from dosepath.functions.columns import days
 
-PAIR = Window.partitionBy("person_id", "ingredient_concept_id")
+PAIR = ("person_id", "ingredient_concept_id")
 
 
 def _tier(n: Column, total: Column, s: Settings) -> Column:
@@ -20,14 +20,15 @@ def _tier(n: Column, total: Column, s: Settings) -> Column:
 
 def maintenance_tiers(clipped: DataFrame, s: Settings) -> DataFrame:
     """Tier of each person and ingredient: A one long era, B several eras of enough days in all."""
-    pairs = clipped.groupBy("person_id", "ingredient_concept_id").agg(F.count("*").alias("n_eras"), F.sum(days("era_start_date", "era_end_date")).alias("total_era_days"))
+    pairs = clipped.groupBy(*PAIR).agg(F.count("*").alias("n_eras"), F.sum(days("era_start_date", "era_end_date")).alias("total_era_days"))
     tier = _tier(F.col("n_eras"), F.col("total_era_days"), s)
     return pairs.withColumn("maintenance_tier", tier).withColumn("maintenance_eligible", F.when(F.col("maintenance_tier") != "ineligible", 1).otherwise(0))
 
 
 def era_events(clipped: DataFrame, s: Settings) -> DataFrame:
     """Clipped eras with maintenance, restart, switch and early-discontinuation flags."""
-    order = PAIR.orderBy("era_start_date", "era_end_date")
+    pair = Window.partitionBy(*PAIR)
+    order = pair.orderBy("era_start_date", "era_end_date")
     person = Window.partitionBy("person_id")
     end = F.col("era_end_date")
     out = clipped.withColumn("era_days", days("era_start_date", "era_end_date"))
@@ -35,8 +36,8 @@ def era_events(clipped: DataFrame, s: Settings) -> DataFrame:
         {
             "era_number": F.row_number().over(order),
             "next_same_ingredient_start": F.lead("era_start_date").over(order),
-            "n_eras": F.count("*").over(PAIR),
-            "total_era_days": F.sum("era_days").over(PAIR),
+            "n_eras": F.count("*").over(pair),
+            "total_era_days": F.sum("era_days").over(pair),
             "_starts": F.collect_set(F.struct("era_start_date", "ingredient_concept_id")).over(person),
         }
     )
