@@ -74,11 +74,11 @@ FEATURES = ("length", "word_length", "variety", "repeated_words", "repeated_line
 
 
 def featured(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """``keep`` and the column ``_x``: the feature struct of ``text``."""
+    """``keep`` and the features of ``text`` as columns __x_<name>."""
     names = list(statistics(F.lit("")))
-    counted = docs.select(*keep, *[c.cast("double").alias(f"_{n}") for n, c in statistics(F.coalesce(F.col("text").cast("string"), F.lit(""))).items()])
-    made = transformed({n: F.col(f"_{n}") for n in names})
-    return counted.withColumns({f"_x_{n}": made[n] for n in FEATURES}).drop(*[f"_{n}" for n in names])
+    counted = docs.select(*keep, *[c.cast("double").alias(f"__s_{n}") for n, c in statistics(F.coalesce(F.col("text").cast("string"), F.lit(""))).items()])
+    made = transformed({n: F.col(f"__s_{n}") for n in names})
+    return counted.withColumns({f"__x_{n}": made[n] for n in FEATURES}).drop(*[f"__s_{n}" for n in names])
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ class Discriminant:
         """Log-density of class 1 over class 0 at the features of a row."""
         sides = []
         for mean, factor, constant in zip(self.means, self.factors, self.constant, strict=True):
-            centred = [F.col(f"_x_{n}") - F.lit(m) for n, m in zip(FEATURES, mean, strict=True)]
+            centred = [F.col(f"__x_{n}") - F.lit(m) for n, m in zip(FEATURES, mean, strict=True)]
             rows = [sum((c * F.lit(w) for c, w in zip(centred[1 : i + 1], row[1 : i + 1], strict=True)), centred[0] * F.lit(row[0])) for i, row in enumerate(factor)]
             sides.append(F.lit(constant) - F.lit(0.5) * sum((r * r for r in rows[1:]), rows[0] * rows[0]))
         return sides[1] - sides[0]
@@ -139,7 +139,7 @@ def fit(rows: DataFrame, labels: DataFrame, *, label: str = "quality", learn_fro
         marked = marked.where(learn_from)
     rows = stage(rows.join(marked, rows["doc_id"] == F.col("_id")).drop("doc_id", "_id"), "learned")
     d = len(FEATURES)
-    x = [F.col(f"_x_{n}") for n in FEATURES]
+    x = [F.col(f"__x_{n}") for n in FEATURES]
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
     found = rows.groupBy("_y").agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("p")).collect()  # a row a class
     n, first, second = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
@@ -168,7 +168,8 @@ def _cut(rows: DataFrame, model: Discriminant, fine: int = 32) -> float:
 
 
 def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (double, 0 to 1)."""
+    """All columns of ``docs`` and ``quality_score`` (double, 0 to 1; it replaces a column of that name)."""
+    docs = docs.drop("quality_score")
     return featured(docs, [F.col(c) for c in docs.columns]).withColumn("quality_score", model.score()).select(*docs.columns, "quality_score")
 
 

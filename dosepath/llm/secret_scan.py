@@ -168,10 +168,10 @@ def all_spans(text: Column, cuts: dict[tuple[str, int], int]) -> tuple[Column, C
 
 
 def scanned(docs: DataFrame, *, fdr: float = 0.05) -> DataFrame:
-    """``docs`` (with text) and the columns base_spans and secret_spans (base and added), each sorted by start."""
+    """``docs`` (with text) and the columns base_spans and secret_spans (base and added), each sorted by start; they replace columns of their names."""
     cuts = thresholds(docs, fdr)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base, added = all_spans(text, cuts)
-    found = docs.withColumn("_base", base).withColumn("_added", added)
-    clear = F.filter("_added", lambda a: ~F.exists("_base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    return found.withColumn("base_spans", S.ordered(F.col("_base"), KINDS, False)).withColumn("secret_spans", S.ordered(F.concat("_base", clear), KINDS, False)).drop("_base", "_added")
+    found = docs.withColumn("__base", base).withColumn("__added", added)
+    clear = F.filter("__added", lambda a: ~F.exists("__base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
+    return found.withColumn("base_spans", S.ordered(F.col("__base"), KINDS, False)).withColumn("secret_spans", S.ordered(F.concat("__base", clear), KINDS, False)).drop("__base", "__added")
