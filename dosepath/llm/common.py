@@ -21,6 +21,21 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def release() -> None:
+    """Give a task's freed memory back: workers are kept for later tasks beside other ones."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (long); null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

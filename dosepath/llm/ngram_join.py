@@ -36,14 +36,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dosepath.llm.common import ship
+from dosepath.llm.common import release, ship
 from dosepath.llm.components import components
 from dosepath.plans.staging import stage, unstage
 
 ship(__name__)
 
 CHUNK_BYTES = 1 << 21  # text that is hashed at once
-COUNT_AT_ONCE = 1 << 22  # n-grams that are counted at once
+COUNT_AT_ONCE = 1 << 21  # n-grams that are counted at once
 HOT = 64  # a column with more rows is frequent
 MOST_HOT = 1 << 20  # frequent columns that are broadcast, 8 MB
 BLOCK_ENTRIES = 1_000_000
@@ -163,6 +163,8 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
                 yield counted()
                 held, waiting = [], 0
         yield counted()
+        held.clear()
+        release()
 
     return docs.mapInArrow(surveyed, "kind int, doc_id long, n long, set long")
 
@@ -187,17 +189,19 @@ def _packed(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, blocks
             prefix = count - -(-count * num // den) + 1
             keep = place < prefix[t]
             t, h, frequent = t[keep], h[keep], frequent[keep]
+            if not len(t):
+                continue
             hots = np.bincount(t[frequent], minlength=len(count))
             block = np.where(frequent, -1, (mix(h, 7) % np.uint64(blocks)).astype(np.int64))
             order = np.argsort(block, kind="stable")
             t, h, block = t[order], h[order], block[order]
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             out = []
             for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
                 rows, at = np.unique(t[lo:hi], return_inverse=True)
                 out.append((int(block[lo]), whole[rows].tobytes(), count[rows].astype(np.uint32).tobytes(), hots[rows].astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), h[lo:hi].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=["block", "sets", "sizes", "hots", "at", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out, strict=True))], names=["block", "sets", "sizes", "hots", "at", "keys"])
+        release()
 
     return docs.mapInArrow(packed, "block int, sets binary, sizes binary, hots binary, at binary, keys binary")
 
@@ -256,6 +260,8 @@ def _product(packed: DataFrame, num: int, den: int, limit: int) -> DataFrame:
         found = summed(found) if found else [tuple(np.zeros(0, np.uint64) for _ in range(6))]
         a, b, na, nb, c, spare = found[0]
         none = np.zeros(len(late), np.int64)
+        del k, s, z, f, found
+        release()
         i32 = lambda x: pa.array(np.r_[x.astype(np.int32), none.astype(np.int32)])
         return pa.table({"a": pa.array(np.r_[a.view(np.int64), none]), "b": pa.array(np.r_[b.view(np.int64), none]), "na": i32(na), "nb": i32(nb), "shared": i32(c), "spare": i32(spare), "late": pa.array([None] * len(a) + late.view(np.int64).tolist(), pa.int64())})
 
@@ -282,6 +288,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, owner: DataFrame, n: int) -> Da
         for _, count, whole, _, h in chunks(batches, Hasher(n)):
             end = np.cumsum(count)
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([h[e - c : e].tobytes() for c, e in zip(count, end, strict=True)], pa.binary())], names=["set", "grams"])
+        release()
 
     key = F.coalesce(docs["doc_id"], F.lit(-(2**63)))
     own = docs.withColumn("_k", key).join(of.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k")).distinct(), "_k", "left_semi").select("doc_id", "text")
@@ -302,6 +309,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+        release()
 
     left, right = sets.select(F.col("set").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("set").alias("b"), F.col("grams").alias("gb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compared, "a long, b long, linked boolean")
@@ -361,6 +369,7 @@ def _dense_links(entries: DataFrame, hubs: DataFrame, roots: DataFrame, sets: Da
                     parent[p] = q
                     out[0].append(int(ids[x]))
                     out[1].append(int(ids[y]))
+        release()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(multiplied, "a long, b long")

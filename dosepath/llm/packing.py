@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dosepath.llm.common import ship
+from dosepath.llm.common import release, ship
 
 ship(__name__)
 
@@ -163,6 +163,7 @@ def pack(
             place(*x)
         if out:
             yield drained()
+        release()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(packed, OUT)
