@@ -38,18 +38,25 @@ def _joined_set(df: DataFrame) -> DataFrame:
     return df.withColumn("active_set", F.array_join(F.col("active_set").cast("array<string>"), ","))
 
 
-def _eligible(spark: SparkSession, sf_dir: str, eras: DataFrame | None = None) -> DataFrame:
-    eras = testdata.eras(spark, sf_dir) if eras is None else eras
-    return cohort.eligible(eras, testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eras, observation, death = testdata.inputs(spark, sf_dir)
+    return cohort.eligible(eras, observation, death, washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
 
 
 def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return trajectory.relational(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), SETTINGS)
+    return trajectory.relational(*testdata.inputs(spark, sf_dir), SETTINGS)
 
 
 def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eras = testdata.eras(spark, sf_dir)
-    return intervals.clipped_eras(eras, _eligible(spark, sf_dir, eras))
+    eras, observation, death = testdata.inputs(spark, sf_dir)
+    eligible = cohort.eligible(eras, observation, death, washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
+    return intervals.clipped_eras(eras, eligible)
+
+
+def _months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The month grid and the months of clipped eras."""
+    run = _run(spark, sf_dir)
+    return grid.month_grid(run["eligible"], SETTINGS.followup_months), grid.era_months(run["clipped"], SETTINGS.followup_months)
 
 
 @query
@@ -152,12 +159,12 @@ def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def month_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.month_overlap(month_grid(spark, sf_dir), grid.era_months(_clipped(spark, sf_dir)))
+    return grid.month_overlap(*_months(spark, sf_dir))
 
 
 @query
 def month_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined_set(grid.month_burden(month_grid(spark, sf_dir), grid.era_months(_clipped(spark, sf_dir))))
+    return _joined_set(grid.month_burden(*_months(spark, sf_dir)))
 
 
 @query
@@ -266,7 +273,7 @@ def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def primary_vs_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eras of a 30-day gap against eras of a 60-day gap on the same exposures."""
-    other = trajectory.relational(testdata.eras(spark, sf_dir, 60), testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), SETTINGS)["persons"]
+    other = trajectory.relational(*testdata.inputs(spark, sf_dir, 60), SETTINGS)["persons"]
     out = validity.compared_runs(_persons(spark, sf_dir), other)
     return rounded(out, [c for c in out.columns if c.startswith(("mean_", "early_"))])
 
@@ -340,7 +347,7 @@ def phenotype_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _full(spark: SparkSession, sf_dir: str, s: Settings = SETTINGS, fixed_k: int | None = 4) -> dict:
-    return trajectory.run(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), testdata.deaths(spark, sf_dir), testdata.ingredients(spark, sf_dir), s, fixed_k=fixed_k)
+    return trajectory.run(*testdata.inputs(spark, sf_dir), testdata.ingredients(spark, sf_dir), s, fixed_k=fixed_k)
 
 
 @query

@@ -17,14 +17,18 @@ PERSON_COLUMNS = ("person_id", "trajectory_cluster", "discontinuation_phenotype"
 
 
 def relational(eras: DataFrame, observation: DataFrame, death: DataFrame | None, s: Settings) -> dict[str, DataFrame]:
-    """The lazy part of a run: eligible, eras, person_month_summary, era_events, persons."""
+    """The relational part of a run: eligible, clipped, person_month_summary, era_events, persons.
+
+    Eligibility and clipped eras feed several branches, so each is staged once;
+    the branches after them are lazy.
+    """
     chosen = intervals.focused(eras, s.focus_ingredients)
-    eligible = cohort.eligible(chosen, observation, death, washout_days=s.washout_days, followup_months=s.followup_months)
-    clipped = intervals.clipped_eras(chosen, eligible)
+    eligible = stage(cohort.eligible(chosen, observation, death, washout_days=s.washout_days, followup_months=s.followup_months), "eligible")
+    clipped = stage(intervals.clipped_eras(chosen, eligible), "clipped")
     months = grid.month_states(eligible, clipped, s)
     flagged = events.era_events(clipped, s)
     persons = features.phenotyped(features.person_features(eligible, months, flagged, s), s)
-    return {"eligible": eligible, "eras": clipped.drop("index_date", "censor_date"), "person_month_summary": months, "era_events": flagged, "persons": persons}
+    return {"eligible": eligible, "clipped": clipped, "person_month_summary": months, "era_events": flagged, "persons": persons}
 
 
 def run(
@@ -40,15 +44,12 @@ def run(
 ) -> dict[str, Any]:
     """A whole run; ``out`` writes the seven results and the silhouette grid there.
 
-    Eligibility, clipped eras and the month table are staged once, so the
-    aggregates, the iterations of k-means and the callers read tables instead of
-    running the plan again.
+    The month table, events and persons are staged, too, so aggregates, the
+    iterations of k-means and callers read tables instead of running a plan again.
     """
-    chosen = intervals.focused(eras, s.focus_ingredients)
-    eligible = stage(cohort.eligible(chosen, observation, death, washout_days=s.washout_days, followup_months=s.followup_months), "eligible")
-    clipped = stage(intervals.clipped_eras(chosen, eligible), "clipped")
-    months = stage(grid.month_states(eligible, clipped, s), "months")
-    flagged = stage(events.era_events(clipped, s), "events")
+    part = relational(eras, observation, death, s)
+    eligible, clipped = part["eligible"], part["clipped"]
+    months, flagged = stage(part["person_month_summary"], "months"), stage(part["era_events"], "events")
     persons = stage(features.phenotyped(features.person_features(eligible, months, flagged, s), s), "persons")
     found = cluster.clustered(persons, k_grid=s.k_grid, final_k=s.final_k, fixed_k=fixed_k, seed=s.seed)
     final = stage(cluster.with_clusters(persons, found.assigned).select(*PERSON_COLUMNS), "final")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dosepath.operators import intervals
+from dosepath.plans.staging import stage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,10 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exposures(spark: SparkSession, sf_dir: str, shipped: DataFrame | None = None) -> DataFrame:
     """drug_exposure: end known for returned items, supply of three days a unit but for seventh lines."""
     supply = (F.col("l_quantity") * 3).cast("int")
-    return _shipments(spark, sf_dir).select(
+    return (_shipments(spark, sf_dir) if shipped is None else shipped).select(
         "person_id",
         F.col("l_partkey").cast("long").alias("drug_concept_id"),
         F.col("shipped").alias("drug_exposure_start_date"),
@@ -51,24 +52,30 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products.unionByName(same)
 
 
-def eras(spark: SparkSession, sf_dir: str, gap_days: int = 30) -> DataFrame:
-    return intervals.exposure_eras(exposures(spark, sf_dir), concepts(spark, sf_dir), ancestors(spark, sf_dir), gap_days)
+def eras(spark: SparkSession, sf_dir: str, gap_days: int = 30, shipped: DataFrame | None = None) -> DataFrame:
+    return intervals.exposure_eras(exposures(spark, sf_dir, shipped), concepts(spark, sf_dir), ancestors(spark, sf_dir), gap_days)
 
 
-def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shipments(spark, sf_dir).groupBy("person_id").agg(F.min("shipped").alias("f"))
+def _first(spark: SparkSession, sf_dir: str, shipped: DataFrame | None) -> DataFrame:
+    return (_shipments(spark, sf_dir) if shipped is None else shipped).groupBy("person_id").agg(F.min("shipped").alias("f"))
 
 
-def observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observation(spark: SparkSession, sf_dir: str, shipped: DataFrame | None = None) -> DataFrame:
     """observation_period: one period a person, and an older one for every tenth."""
     one = F.struct(F.date_sub("f", (F.col("person_id") % 4 * 200).cast("int")).alias("s"), F.date_sub(F.date_add("f", 1000), (F.col("person_id") % 7 * 100).cast("int")).alias("e"))
     two = F.struct(F.date_sub("f", 800).alias("s"), F.date_add("f", 400).alias("e"))
     periods = F.when(F.col("person_id") % 10 == 0, F.array(one, two)).otherwise(F.array(one))
-    return _first(spark, sf_dir).select("person_id", F.explode(periods).alias("p")).select("person_id", F.col("p.s").alias("observation_period_start_date"), F.col("p.e").alias("observation_period_end_date"))
+    return _first(spark, sf_dir, shipped).select("person_id", F.explode(periods).alias("p")).select("person_id", F.col("p.s").alias("observation_period_start_date"), F.col("p.e").alias("observation_period_end_date"))
 
 
-def deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deaths(spark: SparkSession, sf_dir: str, shipped: DataFrame | None = None) -> DataFrame:
     """death: every thirteenth person, some of them twice."""
     died = F.date_add("f", (F.lit(300) + F.col("person_id") % 400).cast("int"))
     dates = F.when(F.col("person_id") % 26 == 0, F.array(died, F.date_add(died, 10))).otherwise(F.array(died))
-    return _first(spark, sf_dir).where("person_id % 13 = 0").select("person_id", F.explode(dates).alias("death_date"))
+    return _first(spark, sf_dir, shipped).where("person_id % 13 = 0").select("person_id", F.explode(dates).alias("death_date"))
+
+
+def inputs(spark: SparkSession, sf_dir: str, gap_days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(eras, observation_period, death) from one join of the sales tables, with eras merged once."""
+    shipped = stage(_shipments(spark, sf_dir), "shipped")
+    return stage(eras(spark, sf_dir, gap_days, shipped), "eras"), observation(spark, sf_dir, shipped), deaths(spark, sf_dir, shipped)
