@@ -34,11 +34,14 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(*COLUMNS)
     found = ngram_join.similar_components(docs, n=5, num=75, den=100)
-    lost = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti")
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    lost = (F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))
+    verdicts = found.groupBy("doc_id").agg(F.max(F.coalesce(lost, F.lit(False))).alias("lost"), F.count("*").alias("n"))
+    verdicts = stage(verdicts.where("doc_id is not null and (lost or n > 1)"), "verdicts")  # ids only
+    twice = verdicts.where("not lost").select("doc_id")
+    if twice.isEmpty():
+        return docs.join(verdicts.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    once = docs.join(verdicts.select("doc_id"), "doc_id", "left_anti")
+    return once.unionByName(docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ ship(__name__)
 
 #: Rows of a block: what one flight holds.
 BLOCK = 4096
+MOST_BROADCAST = 100_000  # sources; more are joined by a shuffle
 UNITS = "doc_id long, source_rank int, size long, whole int, part double, again int"
 
 
@@ -166,4 +167,6 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
         out = out.unionByName(more)
     unstage(sized)
     copies = F.col("whole") + F.col("part").cast("int")
-    return out.join(F.broadcast(plan.select("source_rank", "source", "source_size", "target")), "source_rank").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    names = plan.select("source_rank", "source", "source_size", "target")
+    names = F.broadcast(names) if len(rows) <= MOST_BROADCAST else names
+    return out.join(names, "source_rank").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
