@@ -280,19 +280,37 @@ def _hot_entries(packed: DataFrame) -> DataFrame:
     return packed.where("block = -1").mapInArrow(opened, "key long, set long, n int").distinct()
 
 
+def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each of 2**k hashes of doc_id, built on the executors; at most 64 MB. Few documents pass it besides ``ids``."""
+    slots = 1 << min(29, max(15, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(slots).cast("long"))
+    parts = ids.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    bits = np.zeros(slots >> 3, np.uint8)
+    for r in parts.collect():  # 4 KB a part
+        bits[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return bits, slots
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, owner: DataFrame, n: int) -> DataFrame:
-    """(set, grams) for the ``wanted`` sets: whole n-gram sets of one document each."""
-    of = owner.join(wanted, "set", "left_semi").select("doc_id")
+    """(set, grams): whole n-gram sets of one document for each ``wanted`` set, and of few others.
+
+    Documents are picked by a bit filter where they lie, so no text is shuffled.
+    """
+    bits, slots = _id_filter(owner.join(wanted, "set", "left_semi").select("doc_id"))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("at").to_numpy()
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, count, whole, _, h in chunks(batches, Hasher(n)):
+        for _, count, whole, _, h in chunks(picked(batches), Hasher(n)):
             end = np.cumsum(count)
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([h[e - c : e].tobytes() for c, e in zip(count, end, strict=True)], pa.binary())], names=["set", "grams"])
         release()
 
-    key = F.coalesce(docs["doc_id"], F.lit(-(2**63)))
-    own = docs.withColumn("_k", key).join(of.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k")).distinct(), "_k", "left_semi").select("doc_id", "text")
-    return own.mapInArrow(hashed, "set long, grams binary").dropDuplicates(["set"])
+    own = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(slots).cast("long")))
+    return own.mapInArrow(hashed, "set long, grams binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
