@@ -98,4 +98,25 @@ ORACLES: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
         )
         SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d
+        ), n AS (
+            SELECT doc_id, len(g) AS n FROM s
+        ), e AS (
+            SELECT doc_id, unnest(g) AS x FROM s
+        ), p AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT u, v FROM p JOIN n a ON u = a.doc_id JOIN n b ON v = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)
+        ), b AS (
+            SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+        ), r(doc_id, m) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.m
+        )
+        SELECT doc_id, any_value(n.n)::BIGINT AS n_shingles, min(m) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
 }
