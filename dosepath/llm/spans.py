@@ -3,12 +3,17 @@
 ``regexp_extract_all`` gives the matches and ``split`` the gaps between them,
 both leftmost and non-overlapping; their lengths give the positions.  A span is a
 struct (kind, start, end, value) in code points, end exclusive.
+
+Arrays are built in blocks, so a text of very many matches costs about its
+length, not the square of their number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+BLOCK = 256  # matches of a block
+CHUNK = 4096  # code points of a chunk
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -20,18 +25,46 @@ def _span(kind: Column, start: Column, end: Column, value: Column) -> Column:
     return F.struct(kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` bound once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocked(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(values: Column, add) -> Column:
+    """For each of ``values`` (one a block) what ``add`` makes of those before it, from 0."""
+    return F.transform(values, lambda _, i: F.aggregate(F.slice(values, F.lit(1), i), F.lit(0), add))
+
+
 def located(text: Column, matches: Column, pattern: str, kind: str) -> Column:
     """Spans of ``matches``, which are all matches of ``pattern`` in ``text``, in order."""
     gaps = F.split(text, pattern, -1)
-    none = F.struct(F.lit(0).alias("at"), empty().alias("spans"))
 
-    def step(acc: Column, gap_match: Column) -> Column:
-        start = acc["at"] + F.length(gap_match["gap"])
-        end = start + F.length(gap_match["value"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(_span(F.lit(kind), start, end, gap_match["value"]))).alias("spans"))
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["gap"]
+        end = start + F.length(p["value"])
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(_span(F.lit(kind), start, end, p["value"]))).alias("spans"))
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["value"])))
+        return _let(_before(sizes, lambda n, x: n + x), lambda starts: F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty().alias("spans")), step)["spans"])))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    return F.when(F.size(matches) == 0, empty()).otherwise(F.aggregate(pairs, none, step)["spans"])
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    return F.when(F.size(matches) == 0, empty()).otherwise(_let(_blocked(pairs), placed))
+
+
+def chunked(text: Column) -> Column:
+    """``text`` in chunks, for ``piece``."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / CHUNK).cast("int") + 1), lambda i: F.substring(text, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def piece(chunks: Column, begin: Column, length: Column) -> Column:
+    """Code points from ``begin`` (0 is the first), at most CHUNK, at a cost that the place does not change."""
+    i = F.floor(begin / CHUNK).cast("int")
+    return F.substring(F.concat(F.get(chunks, i), F.coalesce(F.get(chunks, i + 1), F.lit(""))), begin - i * CHUNK + 1, length)
 
 
 def ordered(spans: Column, kinds: list[str], by_kind: bool) -> Column:
@@ -53,13 +86,23 @@ def count_of(spans: Column, kind: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by <KIND>; of overlapping spans the first, then the longest, is shown once."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def one_block(block: Column, at: Column) -> Column:
+        end = F.aggregate(block, at, lambda n, s: F.greatest(n, -s["back"]))
+
+        def shown(part: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                new = F.array(F.substring(part, acc["at"] - at + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+                return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step)["out"], "")
+
+        return _let(F.substring(text, at + 1, end - at), shown)
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, s: F.greatest(n, -s["back"])))
+        body = F.array_join(F.zip_with(blocks, _before(ends, lambda n, x: F.greatest(n, x)), one_block), "")
+        return F.concat(body, F.substring(text, F.array_max(ends) + 1, F.length(text)))
 
-    done = F.aggregate(F.array_sort(keyed), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_blocked(keyed), joined))

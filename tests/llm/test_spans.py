@@ -68,6 +68,17 @@ def test_pii_base_spans(spark, texts):
     assert pii.sanitised(frame(spark, [])).count() == 0
 
 
+def test_many_matches_and_long_texts_cost_their_length(spark):
+    texts = ["é a@b.co " * 30_000, "x@y" + ".z" * 20_000, "+1 415 555 0100 1.2.3.4 😀\n" * 9000, "token=abcdefgh1 " * 20_000, "1 " * 50_000, "@." * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    for r in pii.sanitised(df).collect():
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.base_spans) == base_pii(r.text)
+        want = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<EMAIL>", r.text)
+        assert r.doc_id == 2 or r.clean_text == want
+    for r in secret_scan.scanned(df).collect():
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.base_spans) == base_secrets(r.text)
+
+
 def test_disclosing_terms_are_generalised(spark):
     r = random.Random(6)
     plain = [" ".join("".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(40)) for _ in range(300)]
