@@ -8,11 +8,11 @@ or 1.  With a window of three open documents the null space is the cross product
 of (1, 1, 1) and their sizes, so a step costs a few operations.
 
 Flights run in blocks of a source dealt by a hash (a source with a third of all
-rows has a third of the blocks); a block leaves at most two open fractions.
+rows has a third of the blocks); a block leaves two open fractions and a reserve.
 These are dealt into blocks again, level by level, until each source has one
-block; its last two open fractions are the landing problem, decided by the
-outcome nearest to both totals.  Balance is kept exactly at every level, so only
-the landing moves a source's total, by less than its two documents.
+block.  What its flight leaves open and a reserve of falling sizes are the landing
+problem: of all their outcomes, the nearest to both totals.  Balance is kept exactly at every level, so only the landing moves a
+source's totals, commonly by some words.
 
 Nulls and edges: a null text has no words; a null source is a source of its own
 and last; repeated rows are units each; equal ids with different texts are units
@@ -23,8 +23,10 @@ block is a hash of doc_id and seed, so reruns agree.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,6 +37,7 @@ ship(__name__)
 
 #: Rows of a block: what one flight holds.
 BLOCK = 4096
+RESERVE = 12  # units that a block hands on besides the last two, and that the landing decides
 MOST_BROADCAST = 100_000  # sources; more are joined by a shuffle
 UNITS = "doc_id long, source_rank int, size long, whole int, part double, again int"
 
@@ -99,25 +102,49 @@ def flight(size: list[float], part: list[float], key) -> list[float]:
         open_ = [i for i in open_ if 0.0 < part[i] < 1.0]
 
 
+def reserve(size: list[float], part: list[float]) -> list[int]:
+    """Up to RESERVE open units of about the largest size, a half, a quarter ... of it: a flight leaves them to the landing."""
+    free = [i for i, p in enumerate(part) if 0.0 < p < 1.0 and size[i] > 0]
+    most, found = max((size[i] for i in free), default=0.0), []
+    for k in range(min(RESERVE, len(free))):
+        near = min(free, key=lambda i: (abs(math.log(size[i] * 2.0**k / most)), i))
+        free.remove(near)
+        found.append(near)
+    return found
+
+
 def landing(size: list[float], part: list[float]) -> list[float]:
-    """Decide the last open fractions: the outcome nearest to the word total, then to the count."""
+    """Decide the open fractions (RESERVE and two at most): of all outcomes the nearest to both totals."""
     open_ = [i for i, p in enumerate(part) if 0.0 < p < 1.0]
     part = list(part)
-    words, count = sum(size[i] * part[i] for i in open_), sum(part[i] for i in open_)
-    outcomes = [[k >> j & 1 for j in range(len(open_))] for k in range(1 << len(open_))]
-    chosen = min(outcomes, key=lambda o: (abs(sum(size[i] * x for i, x in zip(open_, o, strict=True)) - words), abs(sum(o) - count)))
-    for i, x in zip(open_, chosen, strict=True):
-        part[i] = float(x)
+    if open_:
+        sizes, parts = np.array([size[i] for i in open_]), np.array([part[i] for i in open_])
+        outcomes = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+        off = np.abs(outcomes @ sizes - sizes @ parts) + 0.05 * sizes.mean() * np.abs(outcomes.sum(axis=1) - parts.sum())
+        for i, x in zip(open_, outcomes[int(off.argmin())], strict=True):
+            part[i] = float(x)
     return part
 
 
+def flown_but_reserve(size: list[float], part: list[float], key) -> list[float]:
+    """The flight of all units but the reserve."""
+    kept = reserve(size, part)
+    flown = list(part)
+    for i in kept:
+        flown[i] = 0.0
+    flown = flight(size, flown, key)
+    for i in kept:
+        flown[i] = part[i]
+    return flown
+
+
 def _flown(units: DataFrame, keys: list[str], level: int, last: bool, seed: int) -> DataFrame:
     def one(key: tuple, group: pa.Table) -> pa.Table:
         name = (seed, level, *[k.as_py() for k in key])
         cols = {c: group.column(c).to_pylist() for c in ("doc_id", "size", "part", "again", "whole", "source_rank")}
         order = sorted(range(group.num_rows), key=lambda i: (-cols["size"][i].bit_length(), _toss(seed, level, cols["doc_id"][i]), cols["size"][i], cols["part"][i]))  # large ones settle first, so landings are small
         size = [float(cols["size"][i]) for i in order]
-        part = flight(size, [cols["part"][i] for i in order], name)
+        part = flown_but_reserve(size, [cols["part"][i] for i in order], name)
         if last:
             part = landing(size, part)
         again = [0 if p in (0.0, 1.0) else 1 for p in part]
@@ -160,7 +187,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
         settled.append(done.where(F.col("again") == 0))
         if last:
             break
-        level, blocks = level + 1, -(-blocks * 2 // BLOCK)
+        level, blocks = level + 1, -(-blocks * (RESERVE + 2) // BLOCK)
         units = done.where(F.col("again") == 1).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + level)), F.lit(blocks).cast("long")))
     out = settled[0]
     for more in settled[1:]:

@@ -82,7 +82,7 @@ def test_targets_stop_at_twice_the_size_and_share_the_excess():
 
 
 def test_mixing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 16)  # several levels
+    monkeypatch.setattr(mixing, "BLOCK", 32)  # several levels
     rows = documents() + ODD
     got = mixing.mix(frame(spark, rows)).collect()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(frame(spark, rows).repartition(7)).collect()))
