@@ -39,8 +39,8 @@ def scaled(features: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
 def standardised_unit(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """The same scaling as columns u_<name>, by two aggregates; for few columns and any number of rows."""
     rows = features.where("disc_evaluable").fillna(0, list(names))
-    stats = rows.agg(*[f(c).alias(f"{p}{c}") for c in names for p, f in (("m_", F.avg), ("s_", F.stddev_samp))])
-    z = rows.crossJoin(stats).select("person_id", *[F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0).alias(f"z_{c}") for c in names])  # one row on the right
+    stats = rows.agg(*[f(c).alias(f"{p}{c}") for c in names for p, f in (("m_", F.avg), ("s_", F.stddev_samp))]).collect()[0]  # one row
+    z = rows.select("person_id", *[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else F.lit(0.0)).alias(f"z_{c}") for c in names])
     norm = F.sqrt(sum((F.col(f"z_{c}") * F.col(f"z_{c}") for c in names[1:]), F.col(f"z_{names[0]}") * F.col(f"z_{names[0]}")))
     return z.select("person_id", *[F.when(norm > 0, F.col(f"z_{c}") / norm).otherwise(0.0).alias(f"u_{c}") for c in names])
 

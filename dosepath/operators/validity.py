@@ -97,12 +97,13 @@ def dominant_ingredient(eras: DataFrame) -> DataFrame:
 
 def adjusted_rand_index(labels: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the agreement of two labellings, corrected for chance (1 where neither splits)."""
-    pairs = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
     cells = labels.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
-    both = cells.agg(pairs("n").alias("both"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("all"))
-    rows = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(pairs("n").alias("rows"))
-    cols = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(pairs("n").alias("cols"))
-    one = both.crossJoin(rows).crossJoin(cols)  # one row each
+    pairs = lambda df, name: df.select(F.lit(name).alias("of"), (F.col("n") * (F.col("n") - 1) / 2).alias("v"))
+    sizes = pairs(cells, "both").unionByName(cells.select(F.lit("all").alias("of"), F.col("n").alias("v")))
+    for name, c in (("rows", a), ("cols", b)):
+        sizes = sizes.unionByName(pairs(cells.groupBy(c).agg(F.sum("n").alias("n")), name))
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("of") == name, F.col("v"))), F.lit(0.0)).alias(name)
+    one = sizes.agg(*[total(n) for n in ("both", "all", "rows", "cols")])
     expected = F.col("rows") * F.col("cols") / F.nullif(F.col("all") * (F.col("all") - 1) / 2, F.lit(0.0))
     top = (F.col("rows") + F.col("cols")) / 2 - expected
     return one.select(F.when(top == 0, 1.0).otherwise((F.col("both") - expected) / top).alias("ari"))
