@@ -2,18 +2,18 @@
 
 Protected entities are the values of formats (e-mail, IP address, payment card,
 phone number).  From the whole corpus it is estimated how much a term tells
-about an entity: with n(t,e) the contexts of entity e that hold term t, the
+about an entity: with n(t,e) the documents with term t in a context of entity e, the
 pointwise mutual information of t and e over the information content of e,
 PMI(t,e) / -log2 P(e), is the share of the entity that the term discloses.  A
-term at or over ``disclosure`` with ``support`` different contexts is generalised
+term at or over ``disclosure`` with ``support`` different documents is generalised
 (masked as <TERM>) in the entity's contexts, besides the entity itself.
 
-Contexts are the ``reach`` characters on both sides of an entity; they are told
-apart by the words next to it.  A term needs ``support`` different contexts of the
-entity, and a new one in at least every second document that holds both, so
-copies and near copies of one document do not make every word of theirs a
-disclosing one.  P(t) counts all documents that hold the term, P(e) all that hold
-the entity.
+Contexts are the ``reach`` characters on both sides of an entity.  Copies count
+once, and near copies among an entity's documents support a term as one document
+(their 5-word shingles have a Jaccard similarity of 0.75 or more), so they do not
+make every word of theirs a disclosing one; the words around an entity may be the
+same in all of its documents.  P(t) counts all documents that hold the term, P(e)
+all that hold the entity.
 
 All is made of built-in functions.  Entities and terms are joined, never
 collected; only documents with entities go through a join.
@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dosepath.llm import spans as S
+from dosepath.llm.common import WORD
+from dosepath.llm.components import components
 from dosepath.plans.staging import stage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -39,6 +41,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]{3,}+"
 LETTERS = 4  # a term of fewer letters names nothing
+SHINGLE, NUM, DEN = 5, 75, 100  # near copies, as op9 has them
 
 
 def _digits(value: Column) -> Column:
@@ -102,12 +105,46 @@ def _key(docs_text: Column) -> Column:
     return F.struct(F.xxhash64(docs_text).alias("a"), F.crc32(docs_text.cast("binary")).alias("b"), F.length(docs_text).alias("n"))
 
 
-def disclosing(docs: DataFrame, contexts: DataFrame, *, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) pairs over the threshold.  contexts: (key, entity, left_at, left, right_at, right)."""
-    sides = contexts.select("key", "entity", F.xxhash64(F.regexp_extract("left", r"(\S+)\s*$", 1), F.regexp_extract("right", r"^\s*(\S+)", 1)).alias("context"), F.array_distinct(F.concat(_terms(F.col("left"), F.col("left_at"))["term"], _terms(F.col("right"), F.col("right_at"))["term"])).alias("terms"))
-    per_entity = contexts.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
-    pairs = sides.select("key", "entity", "context", F.explode("terms").alias("term")).where(F.length(F.regexp_replace("term", r"\P{L}+", "")) >= LETTERS)
-    joint = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_c"), F.count_distinct("key").alias("n_te")).where((F.col("n_c") >= support) & (F.col("n_c") * 2 >= F.col("n_te")))
+def _shingles(text: Column) -> Column:
+    """Sorted hashes of the distinct word n-grams of a text; a text of fewer words is one n-gram."""
+
+    def made(words: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - SHINGLE))
+        return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]))))
+
+    return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), made)[0]
+
+
+def near_copies(holders: DataFrame) -> DataFrame:
+    """(node, root): classes of near copies among the documents of an entity; documents without one are absent.
+
+    holders: (key, __text, entities).  node is xxhash64(entity, key).  Near copies
+    share an n-gram of their prefixes; of each such n-gram all documents of the
+    entity are compared, by their whole sets, with the least one: no pairs of all.
+    """
+    sets = stage(holders.withColumn("grams", _shingles(F.col("__text"))).select("key", "grams", F.explode("entities").alias("entity")).select("entity", F.xxhash64("entity", "key").alias("node"), "grams"), "shingles")
+    prefix = F.size("grams") - F.ceil(F.size("grams") * NUM / DEN).cast("int") + 1
+    heads = sets.select("entity", "node", F.explode(F.slice("grams", F.lit(1), prefix)).alias("gram"))
+    hubs = heads.groupBy("entity", "gram").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = heads.join(hubs, ["entity", "gram"]).where("node <> hub").select("node", "hub").distinct()
+    of = sets.select("node", "grams")
+    both = pairs.join(of, "node").join(of.select(F.col("node").alias("hub"), F.col("grams").alias("others")), "hub")
+    shared = F.size(F.array_intersect("grams", "others"))
+    return components(both.where(DEN * shared >= NUM * (F.size("grams") + F.size("others") - shared)), "node", "hub")
+
+
+def disclosing(docs: DataFrame, holders: DataFrame, contexts: DataFrame, *, support: int, disclosure: float) -> DataFrame:
+    """(entity, term) pairs over the threshold.  holders: (key, __text, entities); contexts: (key, entity, left_at, left, right_at, right)."""
+    per_entity = contexts.groupBy("entity").agg(F.count_distinct("key").alias("n_e")).where(F.col("n_e") >= support)
+    held = holders.select("key", "__text", F.explode("entities").alias("entity")).join(per_entity, "entity", "left_semi")
+    held = stage(held.groupBy("key").agg(F.first("__text").alias("__text"), F.collect_list("entity").alias("entities")), "held")
+    nodes = held.select("key", F.explode("entities").alias("entity")).withColumn("node", F.xxhash64("entity", "key"))
+    nodes = nodes.join(near_copies(held), "node", "left").select("key", "entity", F.coalesce("root", "node").alias("class"))
+    per_entity = stage(per_entity.join(nodes.groupBy("entity").agg(F.count_distinct("class").alias("n_c")).where(F.col("n_c") >= support).select("entity"), "entity"), "supported")
+    nodes = stage(nodes.join(per_entity, "entity", "left_semi"), "classes")
+    terms = F.array_distinct(F.concat(_terms(F.col("left"), F.col("left_at"))["term"], _terms(F.col("right"), F.col("right_at"))["term"]))
+    pairs = contexts.select("key", "entity", F.explode(terms).alias("term")).where(F.length(F.regexp_replace("term", r"\P{L}+", "")) >= LETTERS)
+    joint = pairs.join(nodes, ["key", "entity"]).groupBy("entity", "term").agg(F.count_distinct("class").alias("n_c"), F.count_distinct("key").alias("n_te")).where(F.col("n_c") >= support)
     total = float(max(1, docs.count()))
 
     def told(n_t: str) -> Column:
@@ -136,9 +173,11 @@ def sanitised(docs: DataFrame, *, reach: int = 60, support: int = 3, disclosure:
     found = docs.withColumn("__text", text).withColumn("base_spans", S.ordered(base_spans(text), KINDS, True))
     some = F.size("base_spans") > 0
     with_any = found.where(some)
-    each = with_any.select(_key(F.col("__text")).alias("key"), "__text", "base_spans").select("key", F.explode(_contexts(F.col("__text"), F.col("base_spans"), reach)).alias("c")).select("key", "c.*")
-    contexts = stage(each, "contexts")
-    told = stage(disclosing(docs.select(text.alias("__text")), contexts, support=support, disclosure=disclosure), "disclosing")
+    near = _contexts(F.col("__text"), F.col("base_spans"), reach)
+    holders = stage(with_any.select(_key(F.col("__text")).alias("key"), "__text", near.alias("c")).dropDuplicates(["key"]), "holders")
+    contexts = holders.select("key", F.explode("c").alias("c")).select("key", "c.*")
+    holders = holders.select("key", "__text", F.array_distinct("c.entity").alias("entities"))
+    told = stage(disclosing(docs.select(text.alias("__text")), holders, contexts, support=support, disclosure=disclosure), "disclosing")
     places = contexts.select("key", "entity", F.explode(F.concat(_terms(F.col("left"), F.col("left_at")), _terms(F.col("right"), F.col("right_at")))).alias("t")).select("key", "entity", "t.*")
     hits = places.join(told, ["entity", "term"], "left_semi").select("key", F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"), F.col("value")).alias("s"))
     hits = hits.groupBy("key").agg(F.sort_array(F.collect_set("s")).cast(S.SPAN).alias("__terms"))

@@ -92,6 +92,23 @@ def test_disclosing_terms_are_generalised(spark):
     assert all(not out[i].pii_spans for i in range(300))
 
 
+def test_a_fixed_phrase_around_an_entity_does_not_hide_its_terms(spark):
+    r = random.Random(16)
+    text = lambda n: " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(n))
+    phrase = "Contact Zworykin at z@x.example.org or later"
+    plain = [text(40) for _ in range(300)]
+    told = [f"{text(30)} {phrase} {text(30)}" for _ in range(60)]
+    body = text(60).split()
+    near = []  # near copies: one word differs, next to the entity in turn
+    for i in range(30):
+        own = [*body[:30], "Quentin", f"w{i}x", "q@y.example.org", f"v{i}y", *body[30:]]
+        near.append(" ".join(own))
+    out = {x.doc_id: x for x in pii.sanitised(spark.createDataFrame(list(enumerate(plain + told + near)), "doc_id long, text string")).collect()}
+    assert all("Zworykin" not in out[i].clean_text and "<EMAIL>" in out[i].clean_text for i in range(300, 360))
+    assert all("Quentin" in out[i].clean_text and "<EMAIL>" in out[i].clean_text for i in range(360, 390))
+    assert all(not out[i].pii_spans for i in range(300))
+
+
 def test_masks_of_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("b", 2, 5, ""), ("a", 2, 7, ""), ("c", 6, 8, ""), ("d", 9, 10, "")])], f"text string, s {spans.SPAN}")
     assert df.select(spans.masked(F.col("text"), F.col("s")).alias("m")).collect()[0].m == "01<A>8<D>"
