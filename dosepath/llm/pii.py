@@ -2,18 +2,18 @@
 
 Protected entities are the values of formats (e-mail, IP address, payment card,
 phone number).  From the whole corpus it is estimated how much a term tells
-about an entity: with n(t,e) the documents with term t in a context of entity e, the
+about an entity: with n(t,e) the documents that hold term t and entity e, the
 pointwise mutual information of t and e over the information content of e,
 PMI(t,e) / -log2 P(e), is the share of the entity that the term discloses.  A
 term at or over ``disclosure`` with ``support`` different documents is generalised
-(masked as <TERM>) in the entity's contexts, besides the entity itself.
+(masked as <TERM>) at all its places in every text that holds the entity, besides
+the entity itself.
 
-Contexts are the ``reach`` characters on both sides of an entity.  Copies count
-once, and near copies among an entity's documents support a term as one document
-(their 5-word shingles have a Jaccard similarity of 0.75 or more), so they do not
-make every word of theirs a disclosing one; the words around an entity may be the
-same in all of its documents.  P(t) counts all documents that hold the term, P(e)
-all that hold the entity.
+Terms are counted in whole documents, outside the entities.  Copies count once,
+and near copies among an entity's documents support a term as one document (their
+5-word shingles have a Jaccard similarity of 0.75 or more), so they do not make
+every word of theirs a disclosing one.  P(t) counts all documents that hold the
+term, P(e) all that hold the entity.
 
 All is made of built-in functions.  Entities and terms are joined, never
 collected; only documents with entities go through a join.
@@ -73,32 +73,36 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def _contexts(text: Column, spans: Column, reach: int) -> Column:
-    """For each span: the entity, and the whole words within reach before and after with their places."""
-
-    def one(chunks: Column, s: Column) -> Column:
-        begin = F.greatest(F.lit(0), s["start"] - reach)
-        before, after = S.piece(chunks, begin, s["start"] - begin), S.piece(chunks, s["end"], F.lit(reach))
-        cut = F.when(begin > 0, F.regexp_extract(before, r"^\S*", 0)).otherwise(F.lit(""))  # a word that reach cuts
-        return F.struct(
-            F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits_or(s))).alias("entity"),
-            (begin + F.length(cut)).alias("left_at"),
-            F.substring(before, F.length(cut) + 1, F.lit(reach)).alias("left"),
-            s["end"].alias("right_at"),
-            F.when(F.length(after) == reach, F.regexp_replace(after, r"\S*$", "")).otherwise(after).alias("right"),
-        )
-
-    return F.transform(F.array(S.chunked(text)), lambda chunks: F.transform(spans, lambda s: one(chunks, s)))[0]
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(_digits_or(s)))))
 
 
 def _digits_or(s: Column) -> Column:
     return F.when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
 
 
-def _terms(side: Column, at: Column) -> Column:
-    """Places of the terms in one side of a context, in the text's code points."""
-    found = S.located(side, F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), TERM, "term")
-    return F.transform(found, lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["value"].alias("value")))
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def _blanked(docs: DataFrame, text: Column) -> DataFrame:
+    """With ``__blank``: ``text`` of the same length with no term in base_spans, one format after the other as they may overlap."""
+    docs = docs.withColumn("__blank", text)
+    for kind in KINDS[:-1]:
+        blanks = F.transform(F.filter("base_spans", _is(kind)), lambda s: F.struct(F.repeat(F.lit(" "), s["end"] - s["start"] - 2).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        docs = docs.withColumn("__blank", S.masked(F.col("__blank"), blanks))
+    return docs
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(blank: Column, terms: Column) -> Column:
+    """Spans of all places of ``terms`` in a blanked text."""
+    found = S.located(blank, F.regexp_extract_all(blank, F.lit(TERM), F.lit(0)), TERM, "term")
+    return F.filter(found, lambda s: F.array_contains(terms, F.lower(s["value"])))
 
 
 def _key(docs_text: Column) -> Column:
@@ -133,37 +137,39 @@ def near_copies(holders: DataFrame) -> DataFrame:
     return components(both.where(DEN * shared >= NUM * (F.size("grams") + F.size("others") - shared)), "node", "hub")
 
 
-def disclosing(docs: DataFrame, holders: DataFrame, contexts: DataFrame, *, support: int, disclosure: float) -> DataFrame:
-    """(entity, term) pairs over the threshold.  holders: (key, __text, entities); contexts: (key, entity, left_at, left, right_at, right)."""
-    per_entity = contexts.groupBy("entity").agg(F.count_distinct("key").alias("n_e")).where(F.col("n_e") >= support)
-    held = holders.select("key", "__text", F.explode("entities").alias("entity")).join(per_entity, "entity", "left_semi")
-    held = stage(held.groupBy("key").agg(F.first("__text").alias("__text"), F.collect_list("entity").alias("entities")), "held")
+def disclosing(docs: DataFrame, holders: DataFrame, *, support: int, disclosure: float) -> DataFrame:
+    """(key, __told terms) of the documents that hold an entity with terms over the threshold.  holders: (key, __text, base_spans, entities), each key once."""
+    each = holders.select("key", F.explode("entities").alias("entity"))
+    per_entity = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    shared = each.join(per_entity, "entity", "left_semi").groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    held = stage(holders.drop("entities").join(shared, "key"), "held")
     nodes = held.select("key", F.explode("entities").alias("entity")).withColumn("node", F.xxhash64("entity", "key"))
     nodes = nodes.join(near_copies(held), "node", "left").select("key", "entity", F.coalesce("root", "node").alias("class"))
     per_entity = stage(per_entity.join(nodes.groupBy("entity").agg(F.count_distinct("class").alias("n_c")).where(F.col("n_c") >= support).select("entity"), "entity"), "supported")
     nodes = stage(nodes.join(per_entity, "entity", "left_semi"), "classes")
-    terms = F.array_distinct(F.concat(_terms(F.col("left"), F.col("left_at"))["term"], _terms(F.col("right"), F.col("right_at"))["term"]))
-    pairs = contexts.select("key", "entity", F.explode(terms).alias("term")).where(F.length(F.regexp_replace("term", r"\P{L}+", "")) >= LETTERS)
-    joint = pairs.join(nodes, ["key", "entity"]).groupBy("entity", "term").agg(F.count_distinct("class").alias("n_c"), F.count_distinct("key").alias("n_te")).where(F.col("n_c") >= support)
+    of_key = nodes.groupBy("key").agg(F.collect_list(F.struct("entity", "class")).alias("nodes"))
+    said = _blanked(held.join(of_key, "key"), F.col("__text")).select("key", "nodes", F.explode(_terms(F.col("__blank"))).alias("term")).where(F.length(F.regexp_replace("term", r"\P{L}+", "")) >= LETTERS)
+    joint = said.select("term", F.explode("nodes").alias("node")).groupBy("node.entity", "term").agg(F.count_distinct("node.class").alias("n_c"), F.count("*").alias("n_te")).where(F.col("n_c") >= support)
     total = float(max(1, docs.count()))
 
     def told(n_t: str) -> Column:
         prior = F.log2(F.col("n_e") / F.lit(total))
         return (F.log2(F.col("n_te") / F.col(n_t)) - prior) / -prior
 
-    # documents that hold a term near any entity are a part of those that hold it: what they rule out is out
-    near = pairs.groupBy("term").agg(F.count_distinct("key").alias("n_near"))
+    # documents that hold a term and any shared entity are a part of those that hold it: what they rule out is out
+    near = said.groupBy("term").agg(F.count("*").alias("n_near"))
     joint = stage(joint.join(near, "term").join(per_entity, "entity").where(told("n_near") >= disclosure), "joint")
     if joint.isEmpty():
-        return joint.select("entity", "term")
+        return nodes.where("false").select("key", F.array("entity").alias("__told"))
     terms = joint.select("term").distinct()
     # documents (each text once) that hold a candidate term
-    held = docs.select(_key(F.col("__text")).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = docs.select(_key(F.col("__text")).alias("key"), F.explode(_terms(F.col("__text"))).alias("term"))
     per_term = held.join(terms, "term", "left_semi").groupBy("term").agg(F.count_distinct("key").alias("n_t"))
-    return joint.join(per_term, "term").where(told("n_t") >= disclosure).select("entity", "term")
+    over = joint.join(per_term, "term").where(told("n_t") >= disclosure).select("entity", "term")
+    return nodes.join(over, "entity").groupBy("key").agg(F.collect_set("term").alias("__told"))
 
 
-def sanitised(docs: DataFrame, *, reach: int = 60, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def sanitised(docs: DataFrame, *, support: int = 3, disclosure: float = 0.8) -> DataFrame:
     """``docs`` (with text) and base_spans (by kind), pii_spans (terms besides) and clean_text.
 
     Spans are structs (kind, start, end, value) in code points; clean_text has
@@ -173,17 +179,13 @@ def sanitised(docs: DataFrame, *, reach: int = 60, support: int = 3, disclosure:
     found = docs.withColumn("__text", text).withColumn("base_spans", S.ordered(base_spans(text), KINDS, True))
     some = F.size("base_spans") > 0
     with_any = found.where(some)
-    near = _contexts(F.col("__text"), F.col("base_spans"), reach)
-    holders = stage(with_any.select(_key(F.col("__text")).alias("key"), "__text", near.alias("c")).dropDuplicates(["key"]), "holders")
-    contexts = holders.select("key", F.explode("c").alias("c")).select("key", "c.*")
-    holders = holders.select("key", "__text", F.array_distinct("c.entity").alias("entities"))
-    told = stage(disclosing(docs.select(text.alias("__text")), holders, contexts, support=support, disclosure=disclosure), "disclosing")
-    places = contexts.select("key", "entity", F.explode(F.concat(_terms(F.col("left"), F.col("left_at")), _terms(F.col("right"), F.col("right_at")))).alias("t")).select("key", "entity", "t.*")
-    hits = places.join(told, ["entity", "term"], "left_semi").select("key", F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end"), F.col("value")).alias("s"))
-    hits = hits.groupBy("key").agg(F.sort_array(F.collect_set("s")).cast(S.SPAN).alias("__terms"))
-    joined = with_any.withColumn("__key", _key(F.col("__text"))).join(hits.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    holders = with_any.select(_key(F.col("__text")).alias("key"), "__text", "base_spans", _entities(F.col("base_spans")).alias("entities"))
+    holders = stage(holders.dropDuplicates(["key"]), "holders")
+    told = stage(disclosing(docs.select(text.alias("__text")), holders, support=support, disclosure=disclosure), "disclosing")
+    joined = with_any.withColumn("__key", _key(F.col("__text"))).join(told.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    any_told = F.col("__told").isNotNull()
+    joined = _blanked(joined, F.when(any_told, F.col("__text"))).withColumn("__terms", F.when(any_told, _places(F.col("__blank"), F.col("__told"))).otherwise(S.empty())).drop("__blank", "__told")
     none = found.where(~some).withColumn("__terms", S.empty())
-    out = joined.withColumn("__terms", F.coalesce("__terms", S.empty())).unionByName(none)
-    free = F.filter("__terms", lambda t: ~F.exists("base_spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = out.withColumn("pii_spans", F.concat("base_spans", free))
+    out = joined.unionByName(none)
+    out = out.withColumn("pii_spans", F.concat("base_spans", "__terms"))
     return out.withColumn("clean_text", S.masked(F.col("__text"), F.col("pii_spans"))).drop("__text", "__terms")

@@ -109,6 +109,20 @@ def test_a_fixed_phrase_around_an_entity_does_not_hide_its_terms(spark):
     assert all(not out[i].pii_spans for i in range(300))
 
 
+def test_disclosing_terms_go_from_the_whole_text(spark):
+    r = random.Random(17)
+    text = lambda n: " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(n))
+    plain = [text(40) for _ in range(300)]
+    near = [f"é Zworykin {text(30)} ask Zworykin at z@x.example.org {text(30)} zworykin. {text(5)}" for _ in range(4)]
+    far = [f"Mulligan {text(40)} or +1 415 555 01{i // 2:02} or 1.2.3.4 {text(40)} MULLIGAN" for i in range(8)]
+    out = {x.doc_id: x for x in pii.sanitised(spark.createDataFrame(list(enumerate(plain + near + far)), "doc_id long, text string").withColumn("terms", F.lit("clash"))).collect()}
+    for i in range(300, 312):
+        own = [s for s in out[i].pii_spans if s.kind == "term"]
+        assert all(x.text[s.start : s.end] == s.value for x in [out[i]] for s in own) and out[i].terms == "clash"
+        assert [s.value.lower() for s in own] == (["zworykin"] * 3 if i < 304 else ["mulligan"] * 2)
+    assert all(not out[i].pii_spans for i in range(300))
+
+
 def test_masks_of_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("b", 2, 5, ""), ("a", 2, 7, ""), ("c", 6, 8, ""), ("d", 9, 10, "")])], f"text string, s {spans.SPAN}")
     assert df.select(spans.masked(F.col("text"), F.col("s")).alias("m")).collect()[0].m == "01<A>8<D>"
