@@ -31,17 +31,19 @@ from dosepath.llm.common import release, ship
 
 ship(__name__)
 
+SPECIAL = {"<|endoftext|>": 50256}  # of byte_bpe_50k.json; the file of ranks has none
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def byte_bpe(ranks_file: str, pattern: str):
-    """An encoder for a list of texts, from a file of ranks; special strings are ordinary text."""
+def byte_bpe(ranks_file: str, pattern: str, special: dict[str, int] | None = None):
+    """An encoder for a list of texts, from a file of ranks; strings of ``special`` get their ids, all else is ordinary text."""
     import tiktoken
 
+    special = special or {}
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [own.encode_ordinary(t) for t in texts]
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda texts: [own.encode(t, allowed_special="all") if any(x in t for x in special) else own.encode_ordinary(t) for t in texts]
 
 
 class Packer:
@@ -111,6 +113,7 @@ def pack(
     ranks_file: str,
     pattern: str,
     *,
+    special: dict[str, int] | None = None,
     end_id: int = 1,
     max_tokens: int = 2048,
     max_segments: int = 64,
@@ -120,6 +123,7 @@ def pack(
 ) -> DataFrame:
     """Tokenise and pack all rows of ``docs`` (doc_id, text).
 
+    ``special``: ids of the tokenizer's special tokens, as they are found in texts.
     Limits of a sequence: ``max_tokens``, ``max_segments`` pieces and
     ``max_loss_tokens`` tokens that bear loss (every token but a document's
     first).  With ``cut=False`` only documents longer than a sequence are cut.
@@ -128,7 +132,7 @@ def pack(
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = byte_bpe(ranks_file, pattern)
+        encode = byte_bpe(ranks_file, pattern, special)
         base = TaskContext.get().partitionId() << 32
         packer = Packer((max_tokens, max_segments, max_loss_tokens), window, cut)
         out: list[tuple] = []

@@ -131,6 +131,22 @@ def test_packing_is_whole_and_equals_the_tokenizer(spark):
     assert packing.pack(frame(spark, []), *files).count() == 0
 
 
+def test_special_tokens_of_a_text_are_those_of_the_tokenizer(spark, tmp_path):
+    from dosepath.llm import queries
+
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x <|endoftext|", "  <|endoftext|>  \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = defaultdict(list)
+    for r in queries.op10_vector_packing(spark, str(tmp_path)).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for d, t in enumerate(texts):
+        ids = [*reference.encode(t or "", add_special_tokens=False).ids, 1]
+        assert sum(n for _, n, _, _ in got[d]) == len(ids)
+        for start, n, crc, total in got[d]:
+            assert (crc, total) == (zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()), len(ids))
+
+
 def test_packer_fills_sequences_and_keeps_limits():
     r = random.Random(2)
     packer, out = packing.Packer((100, 5, 60), 20, True), []
