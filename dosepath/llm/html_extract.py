@@ -14,8 +14,10 @@ unique ones are kept.  The markup then has the last word where it speaks: blocks
 of an article stay though another page copies them, marked regions go, and open
 blocks go where the page has an article.
 
-A host of more than ``pages`` pages is dealt by a hash into groups of about that
-size, so no task holds a hot host; a host-wide run occurs in each of them.
+A host of more than ``group_pages`` pages is dealt by a hash into groups of about
+that size, so no task holds a hot host.  Runs that groups of it share are found by
+64-bit hashes of all windows of ``run`` tokens: those in two or more groups are
+handed back to each of them, and the result does not depend on the groups.
 
 Nulls and edges: a null or empty html has empty text; pages of a null url are one
 host; unclosed and stray tags are tolerated; repeated rows give repeated results;
@@ -24,6 +26,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -162,6 +165,21 @@ def repeated_runs(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray
     return edge.cumsum()[:n] > 0
 
 
+def window_hashes(words: list[list[str]], run: int) -> list[np.ndarray]:
+    """For each page's words the hashes of its windows of ``run`` words, in order."""
+    ids: dict[str, int] = {}
+    pages = [np.fromiter((ids.setdefault(w, len(ids)) for w in page), np.int64, len(page)) for page in words]
+    own = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in ids), np.uint64)
+    out = []
+    for page in pages:
+        n = max(0, len(page) - run + 1)
+        total = np.zeros(n, np.uint64)
+        for j in range(run if n else 0):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + own[page[j : j + n]]
+        out.append(total.view(np.int64))
+    return out
+
+
 OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
 
 
@@ -192,9 +210,19 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
 
     read = slim.mapInArrow(parsed, "page_id long, url string, host string, kinds array<int>, blocks array<string>")
     dealt = read.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
-    dealt = dealt.repartition("host", "part")  # a join on the host alone would keep a hot host in one task
+    dealt = stage(dealt.repartition("host", "part"), "dealt")  # a join on the host alone would keep a hot host in one task
+
+    def windows(key: tuple, group: pa.Table) -> pa.Table:
+        words = [[w for block in page for w in block.split("\x00")] for page in group.column("blocks").to_pylist()]
+        found = np.unique(np.concatenate([np.zeros(0, np.int64), *window_hashes(words, run)]))
+        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "part": pa.array([key[1].as_py()] * len(found), pa.int64()), "hash": pa.array(found)})
+
+    # windows of hosts in several groups, each once a group; those of two groups or more
+    held = stage(dealt.join(hot, "host", "left_semi").groupBy("host", "part").applyInArrow(windows, "host string, part long, hash long"), "windows")
+    shared = held.groupBy("host", "hash").agg(F.count("*").alias("n")).where("n > 1").select("host", "hash")
+    marked = held.join(shared, ["host", "hash"], "left_semi").select("host", "part", "hash")
 
-    def chosen(key: tuple, group: pa.Table) -> pa.Table:
+    def chosen(key: tuple, group: pa.Table, others: pa.Table) -> pa.Table:
         kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
         ids: dict[str, int] = {}
         tokens: list[int] = []
@@ -206,7 +234,16 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
             tokens.append(-1 - p)
             page_of.append(np.full(len(tokens) - begin, p))
             ends.append(begin)
+        if not ends:
+            return pa.table({n: pa.array([], t) for n, t in zip(("page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
         covered = repeated_runs(np.array(tokens, np.int64), np.concatenate(page_of), run)
+        if others.num_rows:
+            far = np.sort(others.column("hash").to_numpy())
+            words = [[w for block in page for w in block.split("\x00")] for page in texts]
+            for begin, own in zip(ends, window_hashes(words, run), strict=True):
+                at = np.minimum(np.searchsorted(far, own), len(far) - 1)
+                for start in begin + np.flatnonzero(far[at] == own):
+                    covered[start : start + run] = True
         marks = np.r_[0, covered.cumsum()]
         out: list[list] = [[], [], [], []]
         for p, (kind, page) in enumerate(zip(kinds, texts, strict=True)):
@@ -222,4 +259,4 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
                 o.append(x)
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out[0], pa.string()), **{n: pa.array(o, pa.int64()) for n, o in zip(("n_chars", "n_tokens", "n_repeated"), out[1:], strict=True)}})
 
-    return dealt.groupBy("host", "part").applyInArrow(chosen, OUT)
+    return dealt.groupBy("host", "part").cogroup(marked.groupBy("host", "part")).applyInArrow(chosen, OUT)

@@ -190,6 +190,17 @@ def test_repeated_runs_of_a_host_go_where_markup_is_silent(spark):
     assert all(shared in x.text for x in html_extract.extracted(articles).collect())
 
 
+def test_runs_that_few_pages_of_a_hot_host_share_are_found_across_groups(spark):
+    r = random.Random(21)
+    text = lambda n: " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(n))
+    own = [text(40) for _ in range(60)]
+    menus = [text(20) for _ in range(30)]  # each on two pages
+    rows = [(i, f"http://a.org/{i}", f"<div>{menus[i % 30]}</div><div>{t}</div>") for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {size: sorted(map(tuple, html_extract.extracted(df, group_pages=size).collect())) for size in (1000, 5)}
+    assert got[5] == got[1000] and [x[2] for x in got[5]] == own
+
+
 def test_repeated_runs_equal_brute_force():
     import numpy as np
 
