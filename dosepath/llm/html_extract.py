@@ -60,6 +60,7 @@ BOILER_NAMES = set(
     "header masthead footer cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended "
     "comment comments disqus reply replies pagination pager toolbar widget widgets login signup search copyright skip".split()
 )
+SMALL_ARTICLES = set("comment comments reply replies teaser teasers".split())  # an article element of such a name is no article
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 
@@ -81,7 +82,8 @@ def region(tag: str, attributes: str, inside: int) -> int | None:
             if value in ("main", "article"):
                 return MAIN
         elif name in ("class", "id"):
-            if kind != MAIN and BOILER_NAMES & set(re.split(r"[^a-z0-9]+", value)):
+            names = set(re.split(r"[^a-z0-9]+", value))
+            if (kind != MAIN and BOILER_NAMES & names) or (tag == "article" and SMALL_ARTICLES & names):
                 return BOILER
         elif (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (name == "aria-hidden" and value == "true"):
             return BOILER

@@ -201,6 +201,12 @@ def test_runs_that_few_pages_of_a_hot_host_share_are_found_across_groups(spark):
     assert got[5] == got[1000] and [x[2] for x in got[5]] == own
 
 
+def test_a_teaser_or_comment_article_does_not_displace_the_text():
+    for name in ("teaser", "comment reply-2"):
+        got = html_extract.blocks(f"<div>The text</div><article class='{name}'>Other</article><article class='post'>Own</article>")
+        assert got == [(html_extract.OPEN, ["The", "text"]), (html_extract.BOILER, ["Other"]), (html_extract.MAIN, ["Own"])]
+
+
 def test_repeated_runs_equal_brute_force():
     import numpy as np
 
