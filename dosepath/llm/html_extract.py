@@ -42,6 +42,7 @@ ship(__name__)
 
 OPEN, MAIN, BOILER = 0, 1, 2
 MOST_BROADCAST = 100_000
+NO_ROWS = pa.table({"data": pa.array([], pa.binary())})
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
@@ -196,7 +197,9 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     slim = slim.withColumn("host", host)
     hot = stage(slim.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).alias("parts")), "hosts")
-    if hot.count() <= MOST_BROADCAST:  # names of hosts, some MB at most; more are joined by a shuffle
+    hosts, hot_pages = hot.agg(F.count("*"), F.sum(F.col("parts") * group_pages)).collect()[0]
+    buckets = max(32, (hot_pages or 0) // 5000)
+    if hosts <= MOST_BROADCAST:  # names of hosts, some MB at most; more are joined by a shuffle
         hot = F.broadcast(hot)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,17 +215,64 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
 
     read = slim.mapInArrow(parsed, "page_id long, url string, host string, kinds array<int>, blocks array<string>")
     dealt = read.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
-    dealt = stage(dealt.repartition("host", "part"), "dealt")  # a join on the host alone would keep a hot host in one task
+    spread, dealt = dealt, dealt.repartition("host", "part")  # a join on the host alone would keep a hot host in one task
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Window hashes of a task's pages, each once a group, packed by bucket of the hash."""
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            rows: dict[int, tuple] = {}
+            for (host, part), some in held.items():
+                salt = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=8).digest(), np.int64)
+                found = np.unique(np.concatenate(some) ^ salt)
+                of = (found.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                edges = np.searchsorted(of[order], np.arange(buckets + 1))
+                for k in range(buckets):
+                    if edges[k] < edges[k + 1]:
+                        row = rows.setdefault(k, ([], [], [], []))
+                        for o, x in zip(row, (host, part, int(edges[k + 1] - edges[k]), found[order[edges[k] : edges[k + 1]]].tobytes()), strict=True):
+                            o.append(x)
+            held.clear()
+            for k, (hosts, parts, sizes, data) in rows.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([hosts], pa.list_(pa.string())), pa.array([parts], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())], names=["bucket", "hosts", "parts", "sizes", "data"])
 
-    def windows(key: tuple, group: pa.Table) -> pa.Table:
-        words = [[w for block in page for w in block.split("\x00")] for page in group.column("blocks").to_pylist()]
-        found = np.unique(np.concatenate([np.zeros(0, np.int64), *window_hashes(words, run)]))
-        return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "part": pa.array([key[1].as_py()] * len(found), pa.int64()), "hash": pa.array(found)})
+        for b in batches:
+            words = [[w for block in page for w in block.split("\x00")] for page in b.column("blocks").to_pylist()]
+            for host, part, own in zip(b.column("host").to_pylist(), b.column("part").to_pylist(), window_hashes(words, run), strict=True):
+                held.setdefault((host, part), []).append(own)
+                size += len(own)
+            if size > 4_000_000:
+                yield from packed()
+                size = 0
+        yield from packed()
+        release()
+
+    def met(key: tuple, group: pa.Table) -> pa.Table:
+        """The hashes of a bucket that two groups or more hold, for each of these groups."""
+        names: dict[tuple, int] = {}
+        at, hashes = [], []
+        for r in group.to_pylist():
+            at.append(np.repeat([names.setdefault(x, len(names)) for x in zip(r["hosts"], r["parts"], strict=True)], r["sizes"]))
+            hashes.append(np.frombuffer(r["data"], np.int64))
+        g, h = np.concatenate(at), np.concatenate(hashes)
+        order = np.lexsort((g, h))
+        g, h = g[order], h[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+        g, h = g[new], h[new]
+        same = h[1:] == h[:-1]
+        both = np.r_[False, same] | np.r_[same, False]
+        g, h = g[both], h[both]
+        order = np.argsort(g, kind="stable")
+        edges = np.searchsorted(g[order], np.arange(len(names) + 1))
+        rows = [(host, part, h[order[edges[k] : edges[k + 1]]].tobytes()) for (host, part), k in names.items() if edges[k] < edges[k + 1]]
+        release()
+        return pa.table({"host": pa.array([x[0] for x in rows], pa.string()), "part": pa.array([x[1] for x in rows], pa.int64()), "data": pa.array([x[2] for x in rows], pa.binary())})
 
-    # windows of hosts in several groups, each once a group; those of two groups or more
-    held = stage(dealt.join(hot, "host", "left_semi").groupBy("host", "part").applyInArrow(windows, "host string, part long, hash long"), "windows")
-    shared = held.groupBy("host", "hash").agg(F.count("*").alias("n")).where("n > 1").select("host", "hash")
-    marked = held.join(shared, ["host", "hash"], "left_semi").select("host", "part", "hash")
+    several = spread.join(hot.select("host"), "host", "left_semi").mapInArrow(windows, "bucket long, hosts array<string>, parts array<long>, sizes array<long>, data binary")
+    marked = several.repartition("bucket").groupBy("bucket").applyInArrow(met, "host string, part long, data binary")
 
     def chosen(key: tuple, group: pa.Table, others: pa.Table) -> pa.Table:
         kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
@@ -240,7 +290,8 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
             return pa.table({n: pa.array([], t) for n, t in zip(("page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
         covered = repeated_runs(np.array(tokens, np.int64), np.concatenate(page_of), run)
         if others.num_rows:
-            far = np.sort(others.column("hash").to_numpy())
+            salt = np.frombuffer(hashlib.blake2b(group.column("host")[0].as_py().encode(), digest_size=8).digest(), np.int64)
+            far = np.sort(np.frombuffer(b"".join(others.column("data").to_pylist()), np.int64) ^ salt)
             words = [[w for block in page for w in block.split("\x00")] for page in texts]
             for begin, own in zip(ends, window_hashes(words, run), strict=True):
                 at = np.minimum(np.searchsorted(far, own), len(far) - 1)
@@ -261,4 +312,6 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
                 o.append(x)
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out[0], pa.string()), **{n: pa.array(o, pa.int64()) for n, o in zip(("n_chars", "n_tokens", "n_repeated"), out[1:], strict=True)}})
 
+    if not hosts:
+        return dealt.groupBy("host", "part").applyInArrow(lambda key, group: chosen(key, group, NO_ROWS), OUT)
     return dealt.groupBy("host", "part").cogroup(marked.groupBy("host", "part")).applyInArrow(chosen, OUT)
