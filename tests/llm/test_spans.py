@@ -149,6 +149,42 @@ def test_random_tokens_are_told_from_others(spark):
     assert not any(s.kind == "random" for i in range(60, 64) for s in out[i])
 
 
+WORDS = "summer party winter report final draft budget meeting notes release plan team project update review annual quarter sales market product launch guide customer order price holiday travel hotel flight garden kitchen recipe music video photo family school student teacher lesson history science health sport coffee morning evening city street house window table paper letter number simple yellow river mountain forest island".split()
+
+
+def planted_tokens():
+    """(kind, token): keys of 32 characters, four-word slugs, short slugs, and identifiers."""
+    r = random.Random(3)
+    out = [("key", "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32))) for _ in range(194)]
+    out += [("slug", "-".join(r.choice(WORDS) for _ in range(4)) + f"-{r.randint(1, 9999)}") for _ in range(800)]
+    out += [("short", f"{r.choice(WORDS)}-{r.choice(WORDS)}-{r.randint(1990, 2030)}") for _ in range(800)]
+    out += [("camel", "".join(r.choice(WORDS).title() for _ in range(3)) + str(r.randint(1, 9999))) for _ in range(300)]
+    return out + [("path", "/".join(r.choice(WORDS) for _ in range(3)) + f"/img_{r.randint(1, 10**8):08d}") for _ in range(300)]
+
+
+def test_keys_are_found_and_ordinary_tokens_are_not(spark):
+    rows = [(i, kind, f"see {t} there") for i, (kind, t) in enumerate(planted_tokens())]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string").repartition(4)
+    hit = {}
+    for x in secret_scan.scanned(df).collect():
+        hit.setdefault(x.kind, []).append(any(s.kind == "random" and x.text[s.start : s.end] == s.value for s in x.secret_spans))
+    share = {k: sum(v) / len(v) for k, v in hit.items()}
+    assert share["key"] >= 0.9
+    assert max(share[k] for k in ("slug", "short", "camel", "path")) <= 0.02
+
+
+def test_copies_of_a_token_do_not_move_the_cuts(spark):
+    rows = [(i, f"see {t} there") for i, (_, t) in enumerate(planted_tokens()[:400])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    more = df.unionByName(df.where("doc_id % 7 = 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).select("doc_id", "text"))
+    assert secret_scan.thresholds(df) == secret_scan.thresholds(more) != {}
+
+
+def test_without_words_nothing_is_random(spark):
+    df = spark.createDataFrame([(1, planted_tokens()[0][1]), (2, None), (3, "")], "doc_id long, text string")
+    assert [x.secret_spans for x in secret_scan.scanned(df).orderBy("doc_id").collect()] == [[], [], []]
+
+
 def test_battery_p_values_are_calibrated(spark):
     r = random.Random(10)
     rows = [("".join(r.choice("0123456789abcdef") for _ in range(64)),) for _ in range(400)]
