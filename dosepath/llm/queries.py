@@ -71,31 +71,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+            SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            SELECT q.own, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.own <> c.own AND len(q.e) = len(c.e)
             WHERE q.vec_id % 100 = 0
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+            SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS n FROM s
         )
         SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 10""",
     "op8_nearest_neighbours": """
         WITH v AS (
-            SELECT vec_id, embedding::DOUBLE[] AS e
+            SELECT row_number() OVER () AS own, vec_id, embedding::DOUBLE[] AS e
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            SELECT q.own, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.own <> c.own AND len(q.e) = len(c.e)
             WHERE q.vec_id % 20 = 0
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
+            SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS n FROM s
         )
         SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20""",
     "op9_ngram_join": r"""

@@ -9,9 +9,9 @@ reach it, a last pass keeps the candidates at or above its lower edge, and ties
 are broken by the smaller id.  Scores are made again in every pass and never
 written; a task returns at most k rows of a query.
 
-Nulls and edges: see vectors.usable.  Rows with a query's own id are not its
-candidates; repeated candidates count each; fewer than k candidates are all
-returned; an empty table gives no rows.
+Nulls and edges: see vectors.usable, and vectors for repeated rows.  Repeated
+candidates count each; fewer than k candidates are all returned; an empty table
+gives no rows; scores that leave the range of long are an error.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dosepath.llm.common import ship
-from dosepath.llm.vectors import best, main_length, matrix, query_blocks, usable
+from dosepath.llm.vectors import FOUND, Group, best, by_length, found_batch, matrix, query_blocks, ranked, together, usable
+from dosepath.plans.staging import stage
 
 ship(__name__)
 
@@ -36,26 +37,28 @@ def _ints(v: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(v * scale)
 
 
-def _scored(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch], scale: float):
-    """(first query, integer scores, candidates' ids) by batch and chunk of queries; a query's own rows get the least int64."""
+def _scored(groups: dict[int, Group], batches: Iterator[pa.RecordBatch], scale: float):
+    """(number of the first query, integer scores, candidates' ids) by batch, length and chunk of queries."""
     for b in batches:
-        vec, c = b.column("vec_id").to_numpy(), _ints(matrix(b.column("v")), scale)
-        top = np.abs(q).max() * np.abs(c).max() * q.shape[1] if len(vec) else 0
-        if top >= 2.0**63:
-            raise ValueError("inner products leave the range of long")
-        exact = np.float64 if top < 2**53 else np.int64
-        for lo in range(0, len(ids), CHUNK):
-            s = (q[lo : lo + CHUNK].astype(exact) @ c.astype(exact).T).astype(np.int64)
-            s[ids[lo : lo + CHUNK, None] == vec[None, :]] = np.iinfo(np.int64).min
-            yield lo, s, vec
-
-
-def _histograms(rows: DataFrame, ids, q, low, width, scale) -> dict[int, list[int]]:
+        for d, part in by_length(b, "v").items():
+            if d not in groups:
+                continue
+            first, _, _, q = groups[d]
+            vec, c = part["vec_id"].to_numpy(), _ints(matrix(part["v"]), scale)
+            most = np.abs(q).max() * np.abs(c).max() * d
+            if most >= 2.0**63:
+                raise ValueError("inner products leave the range of long")
+            exact = np.float64 if most < 2**53 else np.int64
+            for lo in range(0, len(q), CHUNK):
+                yield first + lo, (q[lo : lo + CHUNK].astype(exact) @ c.astype(exact).T).astype(np.int64), vec
+
+
+def _histograms(rows: DataFrame, groups, low, width, scale) -> dict[int, list[int]]:
     """Counts of every query's scores in BINS bins of ``width`` from ``low``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(ids), BINS), dtype=np.int64)
-        for lo, s, _ in _scored(ids, q, batches, scale):
+        total = np.zeros((len(low), BINS), dtype=np.int64)
+        for lo, s, _ in _scored(groups, batches, scale):
             at = slice(lo, lo + len(s))
             inside = s >= low[at, None]
             bins = np.where(inside, s - low[at, None], 0) // width[at, None]
@@ -70,20 +73,35 @@ def _histograms(rows: DataFrame, ids, q, low, width, scale) -> dict[int, list[in
     return {r["q"]: r["h"] for r in sums.collect()}  # one row for each query of the block
 
 
-def _kept(rows: DataFrame, ids, q, low, k, scale) -> DataFrame:
+def _kept(rows: DataFrame, block: int, groups, low, k, scale) -> DataFrame:
     """The k best of each task among the scores at or above ``low``."""
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, times = together(groups)
+        own = np.zeros(len(ids), np.int64)
+        for first, _, _, q in groups.values():
+            own[first : first + len(q)] = (q.astype(np.int64) ** 2).sum(axis=1)
         held = [np.zeros(0, np.int64)] * 3
-        for lo, s, vec in _scored(ids, q, batches, scale):
+        for lo, s, vec in _scored(groups, batches, scale):
             r, c = np.nonzero(s >= low[lo : lo + len(s), None])
             held = [np.concatenate(x) for x in zip(held, (r + lo, s[r, c], vec[c]), strict=True)]
             if len(held[0]) > 8 * k * len(ids):
                 held = [x[keep] for keep in [best(*held, k)] for x in held]
         keep = best(*held, k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0][keep]]), pa.array(held[2][keep]), pa.array(held[1][keep])], names=["query_id", "vec_id", "score"])
+        yield found_batch(block, ids, times, held[0][keep], held[2][keep], held[1][keep], own)
 
-    return rows.mapInArrow(chosen, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(chosen, f"{FOUND}, score long")
+
+
+def _open(groups: dict[int, Group], open_: np.ndarray) -> dict[int, Group]:
+    """The queries of a block whose interval is still open, numbered anew."""
+    out, first = {}, 0
+    for d, (at, ids, times, q) in sorted(groups.items(), key=lambda g: g[1][0]):
+        keep = open_[at : at + len(ids)]
+        if keep.any():
+            out[d] = first, ids[keep], times[keep], q[keep]
+            first += int(keep.sum())
+    return out
 
 
 def exact_top_k(table: DataFrame, chosen: Column, *, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -94,19 +112,21 @@ def exact_top_k(table: DataFrame, chosen: Column, *, k: int = 10, vec_id: str =
     """
     spark = table.sparkSession
     rows = usable(table, vec_id, vector, zero=True)
-    d, n = main_length(rows)
-    rows = rows.where(F.size("v") == d)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * scale).cast("double"), 2.0)))
-    found = []
-    most = float(rows.agg(F.max(norm)).collect()[0][0] or 0) if n else 0.0
-    for ids, v in query_blocks(rows, chosen):
-        q = _ints(v, scale)
-        reach = np.ceil(np.sqrt((q * q).sum(axis=1)) * most * (1 + 1e-9)).astype(np.int64) + 1
+    blocks, queries = query_blocks(rows, chosen)
+    most = float(rows.agg(F.max(norm)).collect()[0][0] or 0) if blocks else 0.0
+    out = None
+    for block, groups in enumerate(queries):
+        groups = {d: (first, ids, times, _ints(v, scale)) for d, (first, ids, times, v) in groups.items()}
+        n = sum(len(g[1]) for g in groups.values())
+        reach = np.zeros(n, np.int64)
+        for first, ids, _, q in groups.values():
+            reach[first : first + len(ids)] = np.ceil(np.sqrt((q * q).sum(axis=1)) * most * (1 + 1e-9)).astype(np.int64) + 1
         low, width = -reach, -(-(2 * reach + 1) // BINS)
-        want = np.full(len(ids), k, dtype=np.int64)
-        open_ = np.ones(len(ids), dtype=bool)
+        want = np.full(n, k + 1, dtype=np.int64)  # with the query's own row
+        open_ = np.ones(n, dtype=bool)
         while open_.any():
-            hist = _histograms(rows, ids[open_], q[open_], low[open_], width[open_], scale)
+            hist = _histograms(rows, _open(groups, open_), low[open_], width[open_], scale)
             for at, i in enumerate(np.flatnonzero(open_)):
                 h = np.array(hist.get(at, [0] * BINS), dtype=np.int64)
                 above = np.cumsum(h[::-1])[::-1]  # scores in a bin or over it, inside the interval
@@ -120,11 +140,9 @@ def exact_top_k(table: DataFrame, chosen: Column, *, k: int = 10, vec_id: str =
                 want[i] -= over
                 open_[i] = width[i] > 1 and h[b] > 4 * k
                 width[i] = -(-width[i] // BINS)
-        found.append(_kept(rows, ids, q, low, k, scale))
-    if not found:
+        found = _kept(rows, block, groups, low, k + 1, scale)
+        found = found if blocks == 1 else stage(found, f"found{block}")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
         return spark.createDataFrame([], OUT)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(out, k)

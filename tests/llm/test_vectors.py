@@ -19,11 +19,12 @@ def frame(spark, rows):
 
 
 def by_hand(rows, every, k, score):
+    """A query's candidates are all rows of its length but its own."""
     out = []
-    for q, a in rows:
+    for i, (q, a) in enumerate(rows):
         if q is None or q % every:
             continue
-        found = sorted(((-score(a, b), c) for c, b in rows if c != q))[:k]
+        found = sorted(((-score(a, b), c) for j, (c, b) in enumerate(rows) if i != j and len(a) == len(b)))[:k]
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(found)]
     return sorted(out)
 
@@ -67,14 +68,27 @@ def test_empty_and_lonely(spark, search):
     assert search(frame(spark, []), F.col("vec_id") % 2 == 0).count() == 0
     assert search(frame(spark, [(0, [1.0, 2.0, 3.0, 4.0])]), F.col("vec_id") % 2 == 0).count() == 0
     twice = search(frame(spark, [(0, [1.0] * 4), (0, [1.0] * 4), (1, [1.0] * 4), (1, [1.0] * 4)]), F.col("vec_id") % 2 == 0)
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in twice.collect()) == [(0, 1, 1), (0, 2, 1)]
+    # two queries of one id: the other row of the id is a candidate of each
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in twice.collect()) == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1), (0, 3, 1), (0, 3, 1)]
 
 
-def test_quantisation_bounds_hold():
+@pytest.mark.parametrize("search, score", [(topk.exact_top_k, ints), (neighbours.nearest, real)])
+def test_repeated_ids_and_other_lengths(spark, search, score):
+    rng = np.random.default_rng(5)
+    rows = [(i % 40, [float(np.float32(x)) for x in rng.normal(size=4 if i % 3 else 6).round(2)]) for i in range(160)]
+    rows += [rows[0], rows[0], rows[20]]  # a query's row again
+    for k in (1, 5, 300):
+        assert sorted(map(tuple, search(frame(spark, rows), F.col("vec_id") % 20 == 0, k=k).collect())) == by_hand(rows, 20, k, score)
+
+
+@pytest.mark.parametrize("d", [16, 1040, 3000])
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e6])
+@pytest.mark.parametrize("grid", [False, True])
+def test_quantisation_bounds_hold(d, scale, grid):
     rng = np.random.default_rng(3)
-    a, b = rng.normal(size=(40, 16)), rng.normal(size=(50, 16)) * 100
-    ca, sa, na, ea = neighbours.quantise(a)
-    cb, sb, _, eb = neighbours.quantise(b)
-    about = (ca @ cb.T) * sa[:, None] * sb[None, :]
-    slack = na[:, None] * eb[None, :] + ea[:, None] * np.linalg.norm(b, axis=1)[None, :]
-    assert (np.abs(about - a @ b.T) <= slack + 1e-9).all()
+    draw = (lambda *n: rng.integers(-127, 128, size=n).astype(float)) if grid else (lambda *n: rng.normal(size=n))
+    a, b = draw(40, d) * scale, draw(50, d) * scale * 100
+    norm = lambda v: np.linalg.norm(v, axis=1)
+    about, slack = neighbours.bounded(neighbours.quantise(a), norm(a), neighbours.quantise(b), norm(b))
+    score = np.stack([neighbours.products(np.repeat(x[None], len(b), axis=0), b) for x in a])
+    assert (np.abs(about - score) <= slack).all()
