@@ -1,19 +1,24 @@
 """Written tables that cut lineage, in the folder every executor shares.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-where that is unset (tests, a laptop) a temporary folder is made.
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that is
+unset, a temporary folder is made if the master is local (tests, a laptop); on a
+cluster each executor would write its own disk, so that is refused.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,12 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir names no folder that executors of {master} share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="dosepath-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at its end the tables staged inside: for work whose results are written elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        unstage(*_scopes.pop())
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
@@ -37,9 +55,18 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A staged table that outlives the scope it was made in."""
+    if _scopes:
+        _scopes[-1][:] = [x for x in _scopes[-1] if x is not df]
+    return df
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:
