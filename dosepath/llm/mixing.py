@@ -14,10 +14,17 @@ block.  What its flight leaves open and a reserve of falling sizes are the landi
 problem: of all their outcomes, the nearest to both totals.  Balance is kept exactly at every level, so only the landing moves a
 source's totals, commonly by some words.
 
+A row is a unit.  Equal rows are counted before they are dealt and get numbers, so
+copies of one row, or rows of one id or of none, spread over blocks like others.
+
+One row a source comes to the driver (its name, size and count): that bounds the
+sources to some millions.
+
 Nulls and edges: a null text has no words; a null source is a source of its own
 and last; repeated rows are units each; equal ids with different texts are units
-each; an empty table or source without words takes nothing; the order inside a
-block is a hash of doc_id and seed, so reruns agree.
+each; an empty table or source without words takes nothing; blocks and the order
+in them are hashes of the row, its number among its equals and the seed, so reruns
+agree however the rows are dealt.
 """
 
 from __future__ import annotations
@@ -39,25 +46,26 @@ ship(__name__)
 BLOCK = 4096
 RESERVE = 12  # units that a block hands on besides the last two, and that the landing decides
 MOST_BROADCAST = 100_000  # sources; more are joined by a shuffle
-UNITS = "doc_id long, source_rank int, size long, whole int, part double, again int"
+EQUALS = 4096  # equal rows that one row is spread to at once
+UNITS = "doc_id long, unit long, nth long, source_rank int, size long, whole int, part double, again int"
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; what is cut off goes to the rest by weight."""
+    """Shares of ``total`` by weight, none above ``most`` times its size; what is cut off goes to the rest by weight.
+
+    Sources are full in the order of their limit over their weight; past the last
+    full one, all others share at one level.
+    """
     out = [0.0] * len(sizes)
-    open_ = set(range(len(sizes)))
-    left = total
-    while open_:
-        level = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * level >= most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * level
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    left, open_weight = total, math.fsum(weights)
+    for at, i in enumerate(order):
+        if weights[i] * left < most * sizes[i] * open_weight:
+            for j in order[at:]:
+                out[j] = weights[j] * left / open_weight
             break
-        for i in full:
-            out[i] = most * sizes[i]
-            open_.discard(i)
-        left = max(0.0, total - sum(out))
+        out[i] = most * sizes[i]
+        left, open_weight = max(0.0, left - out[i]), open_weight - weights[i]
     return out
 
 
@@ -141,35 +149,50 @@ def flown_but_reserve(size: list[float], part: list[float], key) -> list[float]:
 def _flown(units: DataFrame, keys: list[str], level: int, last: bool, seed: int) -> DataFrame:
     def one(key: tuple, group: pa.Table) -> pa.Table:
         name = (seed, level, *[k.as_py() for k in key])
-        cols = {c: group.column(c).to_pylist() for c in ("doc_id", "size", "part", "again", "whole", "source_rank")}
-        order = sorted(range(group.num_rows), key=lambda i: (-cols["size"][i].bit_length(), _toss(seed, level, cols["doc_id"][i]), cols["size"][i], cols["part"][i]))  # large ones settle first, so landings are small
+        cols = {c: group.column(c).to_pylist() for c in ("doc_id", "unit", "nth", "size", "part", "whole", "source_rank")}
+        order = sorted(range(group.num_rows), key=lambda i: (-cols["size"][i].bit_length(), _toss(seed, level, cols["unit"][i], cols["nth"][i]), cols["part"][i]))  # large ones settle first, so landings are small
         size = [float(cols["size"][i]) for i in order]
         part = flown_but_reserve(size, [cols["part"][i] for i in order], name)
         if last:
             part = landing(size, part)
         again = [0 if p in (0.0, 1.0) else 1 for p in part]
-        picked = {c: [cols[c][i] for i in order] for c in ("doc_id", "source_rank", "size", "whole")}
+        picked = {c: [cols[c][i] for i in order] for c in ("doc_id", "unit", "nth", "source_rank", "size", "whole")}
         return pa.table({
-            "doc_id": pa.array(picked["doc_id"], pa.int64()), "source_rank": pa.array(picked["source_rank"], pa.int32()), "size": pa.array(picked["size"], pa.int64()),
+            "doc_id": pa.array(picked["doc_id"], pa.int64()), "unit": pa.array(picked["unit"], pa.int64()), "nth": pa.array(picked["nth"], pa.int64()), "source_rank": pa.array(picked["source_rank"], pa.int32()), "size": pa.array(picked["size"], pa.int64()),
             "whole": pa.array(picked["whole"], pa.int32()), "part": pa.array(part, pa.float64()), "again": pa.array(again, pa.int32()),
         })
 
     return units.groupBy(*keys).applyInArrow(one, UNITS)
 
 
+def unit(docs: DataFrame) -> Column:
+    """The hash of a row of ``docs`` (doc_id, text, source); rows of one hash are equal."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Each row with ``nth``, its number among its equals (from 0)."""
+    some = F.floor((F.col("equals") - 1) / EQUALS)
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("equals"))
+    spread = counted.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), some)))
+    within = F.least(F.lit(EQUALS - 1).cast("long"), F.col("equals") - 1 - F.col("_turn") * EQUALS)
+    return spread.withColumn("_in", F.explode(F.sequence(F.lit(0).cast("long"), within))).withColumn("nth", F.col("_turn") * EQUALS + F.col("_in")).drop("_turn", "_in", "equals")
+
+
 def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """How often the mix takes each row of ``docs`` (doc_id, text, source).
 
     Sources in code-point order (null last) have the ``weights`` in turn and
     share ``share`` times all words; no target is above ``most`` times its
-    source's words.  Returns doc_id, source, size, source_size, target, copies, taken.
+    source's words.  Returns doc_id, unit (the row's hash), source, size, source_size, target, copies, taken.
     """
     spark = docs.sparkSession
-    sized = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sized")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), unit(docs).alias("unit"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = stage(_numbered(rows), "sized")
     # one row a source
     found = sorted(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     if not found:
-        return spark.createDataFrame([], "doc_id long, source string, size long, source_size long, target double, copies int, taken long")
+        return spark.createDataFrame([], "doc_id long, unit long, source string, size long, source_size long, target double, copies int, taken long")
     sizes = [float(r["size"]) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share * sum(sizes), most)
     rows = []
@@ -178,17 +201,18 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
         whole = int(rate + 1e-12)
         rows.append((i, r["source"], int(r["size"]), goal[i], whole, max(0.0, rate - whole), max(1, -(-r["n"] // BLOCK))))
     plan = spark.createDataFrame(rows, "source_rank int, source string, source_size long, target double, whole int, part double, blocks int")
-    units = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", "source_rank", "size", "whole", "part", "blocks")
-    units = units.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks").cast("long")))
+    units = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", "unit", "nth", "source_rank", "size", "whole", "part", "blocks")
+    dealt = lambda level, blocks: F.pmod(F.xxhash64("unit", "nth", F.lit(seed + level)), blocks.cast("long"))
+    units = units.withColumn("block", dealt(0, F.col("blocks")))
     settled, blocks, level = [], max(r[6] for r in rows), 0
     while True:
         last = blocks == 1
-        done = stage(_flown(units.withColumn("again", F.lit(0)), ["source_rank", "block"], level, last, seed), f"flight{level}")
+        done = stage(_flown(units, ["source_rank", "block"], level, last, seed), f"flight{level}")
         settled.append(done.where(F.col("again") == 0))
         if last:
             break
         level, blocks = level + 1, -(-blocks * (RESERVE + 2) // BLOCK)
-        units = done.where(F.col("again") == 1).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + level)), F.lit(blocks).cast("long")))
+        units = done.where(F.col("again") == 1).withColumn("block", dealt(level, F.lit(blocks)))
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
@@ -196,4 +220,4 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     copies = F.col("whole") + F.col("part").cast("int")
     names = plan.select("source_rank", "source", "source_size", "target")
     names = F.broadcast(names) if len(rows) <= MOST_BROADCAST else names
-    return out.join(names, "source_rank").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.join(names, "source_rank").select("doc_id", "unit", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
