@@ -9,14 +9,21 @@ term at or over ``disclosure`` with ``support`` different documents is generalis
 (masked as <TERM>) at all its places in every text that holds the entity, besides
 the entity itself.
 
-Terms are counted in whole documents, outside the entities.  Copies count once,
-and near copies among an entity's documents support a term as one document (their
-5-word shingles have a Jaccard similarity of 0.75 or more), so they do not make
-every word of theirs a disclosing one.  P(t) counts all documents that hold the
-term, P(e) all that hold the entity.
+One unit holds throughout: P(t), P(e) and their joint count distinct whole texts, so
+copies of any text change nothing.  Texts of an entity support a term as one where
+one is made from the other (their 5-word shingles have a Jaccard similarity of 0.4
+or more), so near copies do not make every word of theirs a disclosing one.
+
+Values that fewer than ``support`` texts hold cannot support a term alone.  Those
+of them that stand in one text (of at most ``record`` values) are taken as one
+entity, as the address and the number of a person are.
+
+Texts of candidate terms are counted last and exactly: texts with entities, then
+a hashed part of all texts, give lower bounds of P(t), which rule most terms out.
 
 All is made of built-in functions.  Entities and terms are joined, never
-collected; only documents with entities go through a join.
+collected; the texts are read from a staged copy beside their formats, which are
+searched once.
 
 Nulls and edges: a null or empty text has no spans; equal rows get equal spans;
 an empty table gives no rows; other columns are kept by ``sanitised``.
@@ -29,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dosepath.llm import spans as S
 from dosepath.llm.common import WORD
 from dosepath.llm.components import components
-from dosepath.plans.staging import stage
+from dosepath.plans.staging import stage, unstage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Formats of the contract (fixed values), written so that a match starts at the start of a run of its characters
@@ -41,7 +48,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]{3,}+"
 LETTERS = 4  # a term of fewer letters names nothing
-SHINGLE, NUM, DEN = 5, 75, 100  # near copies, as op9 has them
+SHINGLE, NUM, DEN = 5, 40, 100  # texts of this similarity or more are one context; independent ones share phrases only
+PARTS = 16  # of all texts one part gives a lower bound of a term's texts
+MOST_BROADCAST = 1_000_000  # hashes of terms, 8 MB; more are joined by a shuffle
 
 
 def _digits(value: Column) -> Column:
@@ -96,7 +105,7 @@ def _blanked(docs: DataFrame, text: Column) -> DataFrame:
 
 def _terms(text: Column) -> Column:
     """The distinct terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
 
 
 def _places(blank: Column, terms: Column) -> Column:
@@ -137,9 +146,33 @@ def near_copies(holders: DataFrame) -> DataFrame:
     return components(both.where(DEN * shared >= NUM * (F.size("grams") + F.size("others") - shared)), "node", "hub")
 
 
-def disclosing(docs: DataFrame, holders: DataFrame, *, support: int, disclosure: float) -> DataFrame:
-    """(key, __told terms) of the documents that hold an entity with terms over the threshold.  holders: (key, __text, base_spans, entities), each key once."""
-    each = holders.select("key", F.explode("entities").alias("entity"))
+def _linked(each: DataFrame, support: int, record: int) -> DataFrame:
+    """(key, entity) with the rare entities that texts of few ones hold together made one."""
+    rare = each.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") < support).select("entity")
+    sets = each.join(rare, "entity", "left_semi").groupBy("key").agg(F.slice(F.collect_set("entity"), 1, record + 1).alias("own"))
+    sets = sets.where(F.size("own").between(2, record))
+    roots = components(sets.select(F.array_min("own").alias("a"), F.explode("own").alias("b")), "a", "b")
+    return each.join(roots.withColumnRenamed("node", "entity"), "entity", "left").select("key", F.coalesce("root", "entity").alias("entity")).distinct()
+
+
+def _texts_of(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n) distinct texts that hold each of ``terms``.  texts: (key, text)."""
+    some = stage(terms.select("term", F.xxhash64("term").alias("hash")).distinct(), "terms")
+    hashes = some.select("hash")
+    if some.count() <= MOST_BROADCAST:
+        hashes = F.broadcast(hashes)
+    held = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).withColumn("hash", F.xxhash64("term"))
+    pairs = held.join(hashes, "hash", "left_semi").select("term", "key").distinct()
+    return pairs.groupBy("term").agg(F.count("*").alias("n")).join(some.select("term"), "term", "left_semi")
+
+
+def disclosing(texts: DataFrame, holders: DataFrame, *, support: int, disclosure: float, record: int) -> DataFrame:
+    """(key, __told terms) of the texts that hold an entity with terms over the threshold.
+
+    texts: (key, text) of all documents; holders: (key, __text, base_spans, entities), each key once.
+    """
+    each = stage(holders.select("key", F.explode("entities").alias("value")).select("key", F.xxhash64("value").alias("entity")).distinct(), "each")
+    each = stage(_linked(each, support, record), "linked")
     per_entity = each.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     shared = each.join(per_entity, "entity", "left_semi").groupBy("key").agg(F.collect_list("entity").alias("entities"))
     held = stage(holders.drop("entities").join(shared, "key"), "held")
@@ -150,42 +183,47 @@ def disclosing(docs: DataFrame, holders: DataFrame, *, support: int, disclosure:
     of_key = nodes.groupBy("key").agg(F.collect_list(F.struct("entity", "class")).alias("nodes"))
     said = _blanked(held.join(of_key, "key"), F.col("__text")).select("key", "nodes", F.explode(_terms(F.col("__blank"))).alias("term")).where(F.length(F.regexp_replace("term", r"\P{L}+", "")) >= LETTERS)
     joint = said.select("term", F.explode("nodes").alias("node")).groupBy("node.entity", "term").agg(F.count_distinct("node.class").alias("n_c"), F.count("*").alias("n_te")).where(F.col("n_c") >= support)
-    total = float(max(1, docs.count()))
-
-    def told(n_t: str) -> Column:
-        prior = F.log2(F.col("n_e") / F.lit(total))
-        return (F.log2(F.col("n_te") / F.col(n_t)) - prior) / -prior
-
-    # documents that hold a term and any shared entity are a part of those that hold it: what they rule out is out
-    near = said.groupBy("term").agg(F.count("*").alias("n_near"))
-    joint = stage(joint.join(near, "term").join(per_entity, "entity").where(told("n_near") >= disclosure), "joint")
-    if joint.isEmpty():
-        return nodes.where("false").select("key", F.array("entity").alias("__told"))
-    terms = joint.select("term").distinct()
-    # documents (each text once) that hold a candidate term
-    held = docs.select(_key(F.col("__text")).alias("key"), F.explode(_terms(F.col("__text"))).alias("term"))
-    per_term = held.join(terms, "term", "left_semi").groupBy("term").agg(F.count_distinct("key").alias("n_t"))
-    over = joint.join(per_term, "term").where(told("n_t") >= disclosure).select("entity", "term")
-    return nodes.join(over, "entity").groupBy("key").agg(F.collect_set("term").alias("__told"))
-
-
-def sanitised(docs: DataFrame, *, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+    joint = stage(joint.join(per_entity, "entity"), "joint")
+    total = float(max(1, texts.select("key").distinct().count()))
+    prior = F.log2(F.col("n_e") / F.lit(total))
+
+    def over(joint: DataFrame, counts: DataFrame) -> DataFrame:
+        """Pairs over the threshold where ``counts`` (term, n) are the texts of a term, or some of them."""
+        told = (F.log2(F.col("n_te") / F.greatest("n", "n_te")) - prior) / -prior
+        return joint.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).where(told >= disclosure).drop("n")
+
+    near = holders.select("key", F.col("__text").alias("text"))
+    part = texts.where(F.pmod(F.col("key.a"), F.lit(PARTS)) == 0)
+    for some, name in ((near, "near"), (part, "part"), (texts, "over")):
+        if joint.isEmpty():
+            return nodes.where("false").select("key", F.array(F.lit("")).alias("__told"))
+        left = stage(over(joint, _texts_of(some, joint)), name)
+        unstage(joint)
+        joint = left
+    return nodes.join(joint.select("entity", "term"), "entity").groupBy("key").agg(F.collect_set("term").alias("__told"))
+
+
+def sanitised(docs: DataFrame, *, support: int = 3, disclosure: float = 0.8, record: int = 8) -> DataFrame:
     """``docs`` (with text) and base_spans (by kind), pii_spans (terms besides) and clean_text.
 
     Spans are structs (kind, start, end, value) in code points; clean_text has
     every span replaced by <KIND>.  The three replace columns of their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.withColumn("__text", text).withColumn("base_spans", S.ordered(base_spans(text), KINDS, True))
+    docs = docs.drop("base_spans", "pii_spans", "clean_text")
+    found = docs.withColumn("__key", _key(text)).withColumn("base_spans", S.ordered(base_spans(text), KINDS, True))
+    found = stage(found, "formats").withColumn("__text", text)
     some = F.size("base_spans") > 0
     with_any = found.where(some)
-    holders = with_any.select(_key(F.col("__text")).alias("key"), "__text", "base_spans", _entities(F.col("base_spans")).alias("entities"))
+    holders = with_any.select(F.col("__key").alias("key"), "__text", "base_spans", _entities(F.col("base_spans")).alias("entities"))
     holders = stage(holders.dropDuplicates(["key"]), "holders")
-    told = stage(disclosing(docs.select(text.alias("__text")), holders, support=support, disclosure=disclosure), "disclosing")
-    joined = with_any.withColumn("__key", _key(F.col("__text"))).join(told.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    texts = found.select(F.col("__key").alias("key"), F.col("__text").alias("text"))
+    told = stage(disclosing(texts, holders, support=support, disclosure=disclosure, record=record), "disclosing")
+    unstage(holders)
+    joined = with_any.join(told.withColumnRenamed("key", "__key"), "__key", "left")
     any_told = F.col("__told").isNotNull()
     joined = _blanked(joined, F.when(any_told, F.col("__text"))).withColumn("__terms", F.when(any_told, _places(F.col("__blank"), F.col("__told"))).otherwise(S.empty())).drop("__blank", "__told")
     none = found.where(~some).withColumn("__terms", S.empty())
     out = joined.unionByName(none)
     out = out.withColumn("pii_spans", F.concat("base_spans", "__terms"))
-    return out.withColumn("clean_text", S.masked(F.col("__text"), F.col("pii_spans"))).drop("__text", "__terms")
+    return out.withColumn("clean_text", S.masked(F.col("__text"), F.col("pii_spans"))).drop("__text", "__terms", "__key")

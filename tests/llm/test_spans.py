@@ -123,6 +123,80 @@ def test_disclosing_terms_go_from_the_whole_text(spark):
     assert all(not out[i].pii_spans for i in range(300))
 
 
+def words(r, n):
+    return " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(5)) for _ in range(n))
+
+
+def told_terms(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {x.doc_id: sorted({s.value.lower() for s in x.pii_spans if s.kind == "term"}) for x in pii.sanitised(df, **options).collect()}
+
+
+def test_forms_of_many_persons_lose_names_and_keep_the_form(spark):
+    r = random.Random(26)
+    names = ["Zworykin", "Mulligan", "Quentin", "Barsukov", "Tremaine", "Oyelaran"]
+    plain = [words(r, 40) for _ in range(300)]
+    forms = [f"{words(r, 20)} office record contact {n} at +1 555 010 99{i}9 desk number {words(r, 20)}" for i, n in enumerate(names) for _ in range(6)]
+    got = told_terms(spark, plain + forms)
+    for k in range(len(forms)):
+        assert got[300 + k] == [names[k // 6].lower()]
+    assert not any(got[i] for i in range(300))
+    # copies of texts, whether they hold an entity or not, change no term of any text
+    more = told_terms(spark, plain + forms + [plain[0]] * 500 + [forms[0]] * 20)
+    assert {i: more[i] for i in got} == got and all(more[i] == [] for i in range(336, 836)) and more[840] == got[300]
+
+
+def test_rare_entities_of_one_text_are_one(spark):
+    r = random.Random(27)
+    plain = [words(r, 40) for _ in range(300)]
+    mail, phone = "p@host.example.org", "+1 415 555 0100"
+    texts = [f"{words(r, 20)} Zworykin {mail} {words(r, 20)}", f"{words(r, 20)} Zworykin {mail} {phone} {words(r, 20)}", f"{words(r, 20)} Zworykin {phone} {words(r, 20)}"]
+    got = told_terms(spark, plain + texts)
+    assert [got[300 + i] for i in range(3)] == [["zworykin"]] * 3
+    assert not any(told_terms(spark, plain + texts, record=1).values())
+
+
+def test_terms_equal_brute_force(spark):
+    import math
+    from collections import defaultdict
+
+    r = random.Random(28)
+    pool = [words(r, 1) for _ in range(60)]
+    texts = [" ".join(r.choice(pool) for _ in range(r.randint(3, 25))) for _ in range(400)]
+    for k in range(120):
+        e = r.randrange(6)
+        texts.append(" ".join([*(r.choice(pool) for _ in range(r.randint(5, 20))), f"name{'abcdef'[e]}x", *r.choices([f"rare{'abcdef'[e]}", "commonword"], k=2), f"u{e}@h.example.org", *(r.choice(pool) for _ in range(12))]))
+    texts += texts[:50]
+    got = told_terms(spark, texts, record=1)
+    own = sorted(set(texts))
+    term = lambda t: {w for w in re.findall(r"[^\W_]{3,}", re.sub(r"\S+@\S+", " ", t)) if sum(c.isalpha() for c in w) >= 4}
+    holds = defaultdict(set)
+    for t in own:
+        for w in re.findall(r"[^\W_]{3,}", t):
+            holds[w].add(t)
+    entity = defaultdict(list)
+    for t in own:
+        for e in set(re.findall(r"\S+@\S+", t)):
+            entity[e].append(t)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    want = defaultdict(set)
+    for e, held in entity.items():
+        assert all(len(shingles(a) & shingles(b)) * 100 < 40 * len(shingles(a) | shingles(b)) for a in held for b in held if a < b)
+        for w in set().union(*map(term, held)):
+            both = [t for t in held if w in term(t)]
+            prior = math.log2(len(held) / len(own))
+            if len(both) >= 3 and (math.log2(len(both) / len(holds[w])) - prior) / -prior >= 0.8:
+                for t in held:
+                    if w in term(t):
+                        want[t].add(w)
+    assert len({w for x in want.values() for w in x}) >= 6
+    assert {i: set(x) for i, x in got.items()} == {i: want[t] for i, t in enumerate(texts)}
+
+
 def test_masks_of_overlapping_spans(spark):
     df = spark.createDataFrame([("0123456789", [("b", 2, 5, ""), ("a", 2, 7, ""), ("c", 6, 8, ""), ("d", 9, 10, "")])], f"text string, s {spans.SPAN}")
     assert df.select(spans.masked(F.col("text"), F.col("s")).alias("m")).collect()[0].m == "01<A>8<D>"
