@@ -175,8 +175,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).where((F.col("n") >= COMMON) & (F.length("word") > 2)).select("word")
 
 
-def ordinary_keys(words: DataFrame, n_words: int, lengths: list[int]) -> DataFrame:
-    """(key) of null tokens of ``lengths``: of each encoding one for every word, several where words are few.
+def ordinary_keys(words: DataFrame, n_words: int, lengths: list[int], encodings: set[str]) -> DataFrame:
+    """(key) of null tokens of ``lengths``: of each of ``encodings`` one for every word, several where words are few.
 
     A hash deals words to lengths.  A word is followed by words that a hash picks among about DEALT others; a
     number of one to eight digits stands at a place that a hash picks.  Ordinary
@@ -189,7 +189,8 @@ def ordinary_keys(words: DataFrame, n_words: int, lengths: list[int]) -> DataFra
     line = F.transform(F.sequence(F.lit(0), F.lit(max(lengths) // 3)), lambda i: F.when(i == 0, F.col("word")).otherwise(F.get("others", F.pmod(draw(i), F.size("others").cast("long")).cast("int"))))
     digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(lengths) // 16 + 1)), lambda i: F.substring(F.lpad(F.pmod(draw("d", i), F.lit(10**17)).cast("string"), 17, "0"), 2, 16)), "")
     made = made.select("word", "round", line.alias("line"), digits.alias("digits"))
-    made = made.select("word", "round", "digits", F.explode(F.array(F.array_join("line", ""), F.array_join(F.transform("line", F.initcap), ""))).alias("joined"))
+    joined = F.explode(F.array(*[x for names, x in (({"base36", "base32", "hex"}, F.array_join("line", "")), ({"base64"}, F.array_join(F.transform("line", F.initcap), ""))) if names & encodings]))
+    made = made.select("word", "round", "digits", joined.alias("joined"))
     made = made.withColumn("length", F.get(F.array(*[F.lit(n) for n in lengths]), F.pmod(draw("l"), F.lit(len(lengths))).cast("int")))
     count = (F.pmod(draw("n", F.col("length")), F.lit(8)) + 1).cast("int")
     place = F.pmod(draw("p", F.col("length")), (F.col("length") - F.col("count") + 1).cast("long")).cast("int")
@@ -200,7 +201,8 @@ def ordinary_keys(words: DataFrame, n_words: int, lengths: list[int]) -> DataFra
     base32 = F.translate(F.upper(key), "0189", "2345")
     letters = F.array_join(F.transform(F.sequence(F.lit(1), F.col("count")), lambda i: F.substring(F.lit("abcdef"), (F.pmod(draw("x", i), F.lit(6)) + 1).cast("int"), F.lit(1))), "")
     hexed = F.concat(F.substring("digits", F.lit(9), F.col("place")), letters, F.substring("digits", F.col("place") + 9, F.col("length") - F.col("count") - F.col("place")))
-    keys = F.when(lower, F.array(key, base32, hexed)).otherwise(F.array(key))
+    small = [x for name, x in (("base36", key), ("base32", base32), ("hex", hexed)) if name in encodings]
+    keys = F.when(lower, F.array(*small)).otherwise(F.array(key)) if small else F.array(key)
     return made.select("length", F.explode(keys).alias("key")).where(F.length("key") == F.col("length")).select("key")
 
 
@@ -221,7 +223,7 @@ def thresholds(docs: DataFrame, fdr: float = 0.05) -> dict[tuple[str, int], int]
         return {}
     words = stage(vocabulary(docs), "words")
     n_words = words.count()
-    null = _histograms(ordinary_keys(words, n_words, sorted({LENGTHS[n] for _, n in classes}))) if n_words else {}
+    null = _histograms(ordinary_keys(words, n_words, sorted({LENGTHS[n] for _, n in classes}), {e for e, _ in classes})) if n_words else {}
     unstage(words)
     out = {}
     for key, bins in classes.items():
