@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosepath.config import Settings
@@ -11,6 +12,7 @@ from dosepath.functions.columns import atc_ingredient_id, md5_id
 from dosepath.operators import cluster, cohort, events, features, grid, intervals, validity
 from dosepath.oracles import _MEANS, _PROFILE, ORACLES
 from dosepath.plans import trajectory
+from dosepath.plans.staging import stage
 from dosepath.schemas import FEATURES, STATES, WINDOWS
 from dosepath.sources import registers, testdata
 
@@ -39,7 +41,7 @@ def _joined_set(df: DataFrame) -> DataFrame:
 
 
 def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eras, observation, death = testdata.inputs(spark, sf_dir)
+    eras, observation, death = testdata.inputs(spark, sf_dir, staged=False)
     return cohort.eligible(eras, observation, death, washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
 
 
@@ -48,8 +50,9 @@ def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eras, observation, death = testdata.inputs(spark, sf_dir)
-    eligible = cohort.eligible(eras, observation, death, washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
+    shipped = stage(testdata.shipments(spark, sf_dir), "shipped")
+    eras = stage(testdata.eras(spark, sf_dir, shipped=shipped), "eras")  # the index date and the eras themselves
+    eligible = cohort.eligible(eras, testdata.observation(spark, sf_dir, shipped), testdata.deaths(spark, sf_dir, shipped), washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
     return intervals.clipped_eras(eras, eligible)
 
 
@@ -327,8 +330,9 @@ def top_ingredients_by_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def standardised_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["mean_active_n", "mean_turnover", "burden_slope"]
-    return rounded(cluster.standardised_unit(_persons(spark, sf_dir), names), [f"u_{n}" for n in names])
+    """What k-means reads: all features of evaluable persons, standardised and of unit length."""
+    rows = cluster.scaled(_persons(spark, sf_dir)).select("person_id", vector_to_array("features_cosine").alias("u"))
+    return rounded(rows.select("person_id", *[F.get("u", F.lit(i)).alias(f"u_{n}") for i, n in enumerate(FEATURES)]), [f"u_{n}" for n in FEATURES])
 
 
 @query
@@ -355,19 +359,73 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full(spark, sf_dir)["final_person"]
 
 
+def _labelled(persons: DataFrame) -> DataFrame:
+    """Persons with labels that SQL can make too, in place of fitted clusters: evaluable persons in turn, but for every eleventh."""
+    assigned = persons.where("disc_evaluable and person_id % 11 <> 0").select("person_id", (F.col("person_id") % 4).cast("int").alias(cluster.CLUSTER))
+    return cluster.with_clusters(persons, assigned)
+
+
+@query
+def labelled_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(_persons(spark, sf_dir)).select("person_id", cluster.CLUSTER)
+
+
 @query
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _full(spark, sf_dir)["cluster_summary"]
+    return rounded(cluster.cluster_summary(_labelled(_persons(spark, sf_dir))), _MEANS)
 
 
 @query
 def top_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _full(spark, sf_dir)["top_ingredients"]
+    run = _run(spark, sf_dir)
+    return cluster.top_ingredients(_labelled(run["persons"]), run["person_month_summary"], testdata.ingredients(spark, sf_dir), 3)
 
 
-def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dosepath.plans.staging import stage
+@query
+def feasible_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(cluster.feasible_k(_persons(spark, sf_dir)),)], "k long")
+
+
+@query
+def label_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine silhouette of the labels."""
+    persons = stage(_persons(spark, sf_dir), "persons")
+    rows = cluster.scaled(persons).select("person_id", "features_cosine")
+    labels = _labelled(persons).select("person_id", cluster.CLUSTER).where(F.col(cluster.CLUSTER) >= 0)
+    found = cluster.silhouette(rows.join(labels, "person_id"), SETTINGS.seed)
+    return rounded(spark.createDataFrame([(found,)], "silhouette double"), ["silhouette"])
+
 
+@query
+def scaled_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.scaled_centroids(_persons(spark, sf_dir), "discontinuation_phenotype", _PROFILE), ["mean", "scaled"])
+
+
+@query
+def anova_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.anova_p_values(validity.anova(_persons(spark, sf_dir), "discontinuation_phenotype", _PROFILE))
+
+
+@query
+def dispensing_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispensings with estimated supply, merged to eras."""
+    items = testdata.shipments(spark, sf_dir)
+    volume = F.when(F.col("l_linenumber") == 7, F.lit(None)).when(F.col("l_linenumber") == 6, F.lit(0.5)).otherwise(F.col("l_quantity"))
+    dispensed = items.select(F.col("person_id").cast("string").alias("pnr"), F.date_format("shipped", "yyyy-MM-dd").alias("eksd"), F.concat(F.lit("N06AB"), F.lpad((F.col("l_partkey") % 20).cast("string"), 2, "0")).alias("atc"), volume.alias("volume"))
+    rows = registers.dispensing_exposures(dispensed, atc_prefixes=("N06AB0",))
+    return intervals.gap_merged(rows, 30).select("person_id", "ingredient_concept_id", "era_start_date", "era_end_date", "drug_exposure_count")
+
+
+@query
+def sales_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a return flag as doses of a group, their orders as its users."""
+    items = testdata.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("atc_group"), F.year("l_shipdate").alias("year"), F.col("l_linestatus").alias("sex")).agg(F.sum("l_quantity").alias("ddd"), F.count_distinct("l_orderkey").cast("double").alias("n"))
+    names = ["atc_group", "year", "sex"]
+    out = validity.sales_measures(items.select(*names, F.col("n").alias("value")), items.select(*names, F.col("ddd").alias("value")), 1995)
+    return rounded(out, ["ddd_per_patient_year", "index_to_base", "year_share"])
+
+
+def _unit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(cluster.scaled(_persons(spark, sf_dir)).select("person_id", "features_cosine"), "unit")
 
 
@@ -385,4 +443,4 @@ def bisecting_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def internal_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch, db = validity.cluster_indices(_persons(spark, sf_dir).where("disc_evaluable"), "discontinuation_phenotype", _PROFILE)
-    return spark.createDataFrame([(ch, db)], "calinski_harabasz double, davies_bouldin double")
+    return rounded(spark.createDataFrame([(ch, db)], "calinski_harabasz double, davies_bouldin double"), ["calinski_harabasz", "davies_bouldin"], 5)

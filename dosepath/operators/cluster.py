@@ -11,6 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
+from dosepath.plans.staging import stage
 from dosepath.schemas import FEATURES
 
 CLUSTER = "trajectory_cluster"
@@ -36,15 +37,6 @@ def scaled(features: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
     return Normalizer(inputCol="features_scaled", outputCol="features_cosine", p=2.0).transform(rows)
 
 
-def standardised_unit(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The same scaling as columns u_<name>, by two aggregates; for few columns and any number of rows."""
-    rows = features.where("disc_evaluable").fillna(0, list(names))
-    stats = rows.agg(*[f(c).alias(f"{p}{c}") for c in names for p, f in (("m_", F.avg), ("s_", F.stddev_samp))]).collect()[0]  # one row
-    z = rows.select("person_id", *[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else F.lit(0.0)).alias(f"z_{c}") for c in names])
-    norm = F.sqrt(sum((F.col(f"z_{c}") * F.col(f"z_{c}") for c in names[1:]), F.col(f"z_{names[0]}") * F.col(f"z_{names[0]}")))
-    return z.select("person_id", *[F.when(norm > 0, F.col(f"z_{c}") / norm).otherwise(0.0).alias(f"u_{c}") for c in names])
-
-
 def feasible_k(features: DataFrame, names: Sequence[str] = FEATURES) -> int:
     """The largest k that can be fitted: evaluable persons, distinct vectors at most; 0 without any."""
     rows = features.where("disc_evaluable").fillna(0, list(names))
@@ -72,7 +64,7 @@ def kmeans(rows: DataFrame, k: int, seed: int):
 
 
 def silhouette_grid(rows: DataFrame, k_grid: Sequence[int], seed: int) -> list[tuple[int, float, object]]:
-    """(k, silhouette, model) of each k; ``rows`` should be persisted."""
+    """(k, silhouette, model) of each k; ``rows`` should be a staged table."""
     out = []
     for k in k_grid:
         model = kmeans(rows, k, seed)
@@ -91,19 +83,16 @@ def clustered(features: DataFrame, *, k_grid: Sequence[int], final_k: int | None
     grid = [k for k in k_grid if 2 <= k <= most]
     if not most or (fixed_k is not None and not 2 <= fixed_k <= most) or (fixed_k is None and not grid):
         return nobody
-    rows = scaled(features).select("person_id", "features_cosine").persist()
-    try:
-        if fixed_k is not None:
-            model, k, found = kmeans(rows, fixed_k, seed), fixed_k, []
-        else:
-            swept = silhouette_grid(rows, grid, seed)
-            found = [(k, s) for k, s, _ in swept]
-            k, _, model = max(swept, key=lambda x: (-math.inf if math.isnan(x[1]) else x[1], -x[0]))
-            if final_k is not None and final_k <= most and final_k != k:
-                k, model = final_k, next((m for j, _, m in swept if j == final_k), None) or kmeans(rows, final_k, seed)
-        return Clustering(model.transform(rows).select("person_id", CLUSTER), k, found)
-    finally:
-        rows.unpersist()
+    rows = stage(scaled(features).select("person_id", "features_cosine"), "scaled")  # read by every k and by the lazy result
+    if fixed_k is not None:
+        model, k, found = kmeans(rows, fixed_k, seed), fixed_k, []
+    else:
+        swept = silhouette_grid(rows, grid, seed)
+        found = [(k, s) for k, s, _ in swept]
+        k, _, model = max(swept, key=lambda x: (-math.inf if math.isnan(x[1]) else x[1], -x[0]))
+        if final_k is not None and final_k <= most and final_k != k:
+            k, model = final_k, next((m for j, _, m in swept if j == final_k), None) or kmeans(rows, final_k, seed)
+    return Clustering(model.transform(rows).select("person_id", CLUSTER), k, found)
 
 
 def with_clusters(features: DataFrame, assigned: DataFrame) -> DataFrame:

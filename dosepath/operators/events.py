@@ -2,6 +2,8 @@
 
 All steps are windows that cluster on the person or on person and ingredient,
 which the person's partitioning of clipped eras satisfies: no join, no key column.
+Switches are range frames over the person's starts and ends as points in time, so
+a person of very many eras costs a sort, not all pairs.
 """
 
 from __future__ import annotations
@@ -25,11 +27,18 @@ def maintenance_tiers(clipped: DataFrame, s: Settings) -> DataFrame:
     return pairs.withColumn("maintenance_tier", tier).withColumn("maintenance_eligible", F.when(F.col("maintenance_tier") != "ineligible", 1).otherwise(0))
 
 
+def _with_other_starts(eras: DataFrame, window_days: int) -> DataFrame:
+    """``eras`` and _other_starts: starts of the person's other ingredients 1 to ``window_days`` days after an era's end."""
+    point = lambda date, starts: F.struct(F.unix_date(date).alias("day"), F.lit(starts).alias("starts"))
+    points = eras.withColumn("_point", F.explode(F.array(point("era_start_date", 1), point("era_end_date", 0))))
+    after = lambda *keys: F.sum("_point.starts").over(Window.partitionBy(*keys).orderBy("_point.day").rangeBetween(1, window_days))
+    return points.withColumn("_same", after(*PAIR)).withColumn("_any", after("person_id")).where("_point.starts = 0").withColumn("_other_starts", F.coalesce("_any", F.lit(0)) - F.coalesce("_same", F.lit(0))).drop("_point", "_same", "_any")
+
+
 def era_events(clipped: DataFrame, s: Settings) -> DataFrame:
     """Clipped eras with maintenance, restart, switch and early-discontinuation flags."""
     pair = Window.partitionBy(*PAIR)
     order = pair.orderBy("era_start_date", "era_end_date")
-    person = Window.partitionBy("person_id")
     end = F.col("era_end_date")
     out = clipped.withColumn("era_days", days("era_start_date", "era_end_date"))
     out = out.withColumns(
@@ -38,11 +47,10 @@ def era_events(clipped: DataFrame, s: Settings) -> DataFrame:
             "next_same_ingredient_start": F.lead("era_start_date").over(order),
             "n_eras": F.count("*").over(pair),
             "total_era_days": F.sum("era_days").over(pair),
-            "_starts": F.collect_set(F.struct("era_start_date", "ingredient_concept_id")).over(person),
         }
     )
     out = out.withColumn("maintenance_tier", _tier(F.col("n_eras"), F.col("total_era_days"), s))
-    other = F.exists("_starts", lambda o: (o["era_start_date"] > end) & (o["era_start_date"] <= F.date_add(end, s.switch_window_days)) & (o["ingredient_concept_id"] != F.col("ingredient_concept_id")))
+    out = _with_other_starts(out, s.switch_window_days)
     seen = lambda window: F.when(F.date_add(end, window) <= F.col("censor_date"), 1).otherwise(0)
     out = out.withColumns(
         {
@@ -50,9 +58,9 @@ def era_events(clipped: DataFrame, s: Settings) -> DataFrame:
             "restarted_within_180d": F.when(F.col("next_same_ingredient_start") <= F.date_add(end, s.restart_window_days), 1).otherwise(0),
             "observed_for_restart_window": seen(s.restart_window_days),
             "observed_for_switch_window": seen(s.switch_window_days),
-            "switched_within_60d": F.when(other, 1).otherwise(0),
+            "switched_within_60d": F.when(F.col("_other_starts") > 0, 1).otherwise(0),
         }
     )
     early = (F.col("era_number") == 1) & (F.col("maintenance_eligible") == 1) & (F.col("observed_for_restart_window") == 1) & (F.col("era_days") < s.early_discontinuation_days) & (F.col("restarted_within_180d") == 0)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("person_id", "ingredient_concept_id", "era_start_date", "era_end_date")])
-    return out.withColumn("early_discontinuation_90d", F.when(early, 1).otherwise(0)).withColumn("era_row_key", key).drop("_starts", "index_date")
+    return out.withColumn("early_discontinuation_90d", F.when(early, 1).otherwise(0)).withColumn("era_row_key", key).drop("_other_starts", "index_date")

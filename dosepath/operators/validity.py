@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -78,10 +79,11 @@ def scaled_centroids(df: DataFrame, by: str, columns: Sequence[str]) -> DataFram
 def anova(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """(feature, f_value, eta_squared, df_between, df_within): one-way analysis of variance of each column.
 
-    One aggregate by group; then a row for each group and feature.
+    One aggregate by group; then a row for each group and feature.  A feature's nulls
+    are left out of it.
     """
-    own = df.groupBy(by).agg(F.count("*").alias("n"), *[x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))])
-    long = own.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("m"), F.col(f"v_{c}").alias("v")) for c in columns])).alias("r")).select("n", "r.*")
+    own = df.groupBy(by).agg(*[x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))])
+    long = own.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").alias("m"), F.col(f"v_{c}").alias("v")) for c in columns])).alias("r")).select("r.*").where("n > 0")
     sums = long.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("m")).alias("s1"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"), F.sum(F.col("n") * F.col("v")).alias("within"))
     sums = sums.withColumn("between", F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"))
     total = F.col("between") + F.col("within")
@@ -89,6 +91,43 @@ def anova(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     return sums.select("feature", F.when((F.col("within") > 0) & (F.col("k") > 1), f).alias("f_value"), F.when(total > 0, F.col("between") / total).otherwise(0.0).alias("eta_squared"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
 
 
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's rule."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny, key=abs)
+    out = d
+    for m in range(1, 10_000):
+        before = out
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / max(1 + step * d, tiny, key=abs)
+            c = max(1 + step / c, tiny, key=abs)
+            out *= c * d
+        if abs(out - before) <= 1e-15 * abs(out):
+            break
+    return out
+
+
+def f_tail(f: float, between: int, within: int) -> float:
+    """P(F >= f) of Fisher's distribution: the regularised incomplete beta function at within / (within + between f)."""
+    if math.isinf(f):
+        return 0.0
+    if f <= 0:
+        return 1.0
+    a, b, x = within / 2, between / 2, within / (within + between * f)
+    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    if x < (a + 1) / (a + b + 2):
+        return math.exp(log_front) * _beta_fraction(a, b, x) / a
+    return 1 - math.exp(log_front) * _beta_fraction(b, a, 1 - x) / b
+
+
+def anova_p_values(tested: DataFrame) -> DataFrame:
+    """The rows of ``anova``, a row a feature, and ``p_value`` (null without an F value)."""
+    names = [f.name for f in tested.schema]
+    rows = [(*r, None if r["f_value"] is None else f_tail(r["f_value"], r["df_between"], r["df_within"])) for r in tested.collect()]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tested.schema) + ", p_value double"
+    return tested.sparkSession.createDataFrame(rows, schema).select(*names, "p_value")
+
+
 def dominant_ingredient(eras: DataFrame) -> DataFrame:
     """Each person's ingredient of the longest era; ties to the smaller id."""
     days = F.datediff("era_end_date", "era_start_date")

@@ -83,6 +83,19 @@ CTES: dict[str, str] = {
         WHEN mean_turnover < 0.2 AND early_disc_90_rate < 0.25 THEN '{PHENOTYPES[5]}' ELSE '{PHENOTYPES[6]}' END AS discontinuation_phenotype FROM person""",
 }
 
+_PROFILE = ("mean_active_n", "mean_turnover", "burden_slope", "restart_180_rate", "median_era_days")
+CTES |= {
+    "labelled": "SELECT *, CASE WHEN disc_evaluable AND person_id % 11 <> 0 THEN (person_id % 4)::INTEGER ELSE -1 END AS trajectory_cluster FROM person",
+    "standard": f"""SELECT person_id, [{", ".join(f"coalesce((coalesce({f}, 0) - avg(coalesce({f}, 0)) OVER ()) / nullif(stddev_samp(coalesce({f}, 0)) OVER (), 0), 0)::DOUBLE" for f in FEATURES)}] AS z FROM person WHERE disc_evaluable""",
+    "unit": "SELECT person_id, list_transform(z, lambda x: CASE WHEN list_inner_product(z, z) > 0 THEN x / sqrt(list_inner_product(z, z)) ELSE 0 END) AS u FROM standard",
+    "labelled_unit": "SELECT person_id, trajectory_cluster AS g, u FROM unit JOIN labelled USING (person_id) WHERE trajectory_cluster >= 0",
+    "label_sum": f"""SELECT g, count(*) AS n, [{", ".join(f"sum(u[{i + 1}])" for i in range(len(FEATURES)))}] AS total FROM labelled_unit GROUP BY 1""",
+    "profile": f"SELECT discontinuation_phenotype AS g, [{', '.join(f'{c}::DOUBLE' for c in _PROFILE)}] AS x FROM typed WHERE disc_evaluable",
+    "group_mean": f"SELECT g, count(*) AS n, [{', '.join(f'avg(x[{i + 1}])' for i in range(len(_PROFILE)))}] AS m FROM profile GROUP BY 1",
+    "all_mean": f"SELECT [{', '.join(f'avg(x[{i + 1}])' for i in range(len(_PROFILE)))}] AS m FROM profile",
+    "group_spread": "SELECT g, sum(list_distance(x, m) ** 2) AS ss, avg(list_distance(x, m)) AS d FROM profile JOIN group_mean USING (g) GROUP BY 1",
+}
+
 # the same chain over eras of a 60-day gap, under names that end in _b
 _CHAIN = list(CTES)[list(CTES).index("era") :]
 CTES |= {f"{n}_b": re.sub(rf"\b(FROM|JOIN)(\s+\(*)({'|'.join(_CHAIN)})\b", r"\1\2\3_b", CTES[n]).replace("reached + 30", "reached + 60") for n in _CHAIN}
@@ -110,7 +123,6 @@ def rounded(names, digits: int = 6) -> str:
 _ERA = "person_id, ingredient_concept_id, era_start_date, era_end_date, drug_exposure_count::BIGINT AS drug_exposure_count, gap_days"
 _SET = "array_to_string(active_set, ',') AS active_set"
 _MEANS = ("mean_active_n", "poly_month_prop", "mean_turnover", "early_disc_90_rate", "restart_180_rate", "switch_60_rate")
-_PROFILE = ("mean_active_n", "mean_turnover", "burden_slope", "restart_180_rate", "median_era_days")
 _CURVE = "(VALUES (2, 100.0::DOUBLE), (3, 60.0), (4, 38.0), (5, 30.0), (6, 26.0), (7, 24.0)) c(k, value)"
 
 
@@ -181,9 +193,30 @@ ORACLES: dict[str, str] = {
     "top_ingredients_by_phenotype": sql("""SELECT discontinuation_phenotype, ingredient_concept_id, concept_name, n AS cluster_month_count, r::INTEGER AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY discontinuation_phenotype ORDER BY n DESC, ingredient_concept_id) AS r FROM (
         SELECT discontinuation_phenotype, ingredient_concept_id, count(*) AS n FROM (SELECT person_id, unnest(active_set) AS ingredient_concept_id FROM burden) JOIN typed USING (person_id) GROUP BY 1, 2)) JOIN ingredient USING (ingredient_concept_id) WHERE r <= 3"""),
-    "standardised_unit_vectors": sql("""SELECT person_id, round(za / n, 6) AS u_mean_active_n, round(zb / n, 6) AS u_mean_turnover, round(zc / n, 6) AS u_burden_slope FROM (SELECT *, sqrt(za * za + zb * zb + zc * zc) AS n FROM (
-        SELECT person_id, (mean_active_n - avg(mean_active_n) OVER ()) / stddev_samp(mean_active_n) OVER () AS za, (mean_turnover - avg(mean_turnover) OVER ()) / stddev_samp(mean_turnover) OVER () AS zb,
-        (burden_slope - avg(burden_slope) OVER ()) / stddev_samp(burden_slope) OVER () AS zc FROM person WHERE disc_evaluable))"""),
+    "standardised_unit_vectors": sql(f"SELECT person_id, {', '.join(f'round(u[{i + 1}], 6) + 0.0::DOUBLE AS u_{f}' for i, f in enumerate(FEATURES))} FROM unit"),
+    "labelled_persons": sql("SELECT person_id, trajectory_cluster FROM labelled"),
+    "cluster_summary": sql(f"SELECT trajectory_cluster, count(*) AS n_people, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _MEANS)} FROM labelled WHERE trajectory_cluster >= 0 GROUP BY 1"),
+    "top_ingredients": sql("""SELECT trajectory_cluster, ingredient_concept_id, concept_name, n AS cluster_month_count, r::INTEGER AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY trajectory_cluster ORDER BY n DESC, ingredient_concept_id) AS r FROM (
+        SELECT trajectory_cluster, ingredient_concept_id, count(*) AS n FROM (SELECT person_id, unnest(active_set) AS ingredient_concept_id FROM burden) JOIN labelled USING (person_id) GROUP BY 1, 2)) JOIN ingredient USING (ingredient_concept_id) WHERE r <= 3"""),
+    "feasible_k": sql(f"SELECT least((SELECT count(*) FROM person WHERE disc_evaluable), greatest(1, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(f'coalesce({f}, 0)' for f in FEATURES)} FROM person WHERE disc_evaluable)))) AS k"),
+    "label_silhouette": sql("""SELECT round(avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) + 0.0::DOUBLE AS silhouette FROM (
+        SELECT person_id, max(n) FILTER (own) AS n, max(d * n / nullif(n - 1, 0)) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM (
+        SELECT p.person_id, p.g = q.g AS own, q.n, 1 - list_inner_product(p.u, q.total) / q.n AS d FROM labelled_unit p CROSS JOIN label_sum q) GROUP BY 1)"""),
+    "scaled_centroids": sql("SELECT discontinuation_phenotype, feature, round(m, 6) + 0.0::DOUBLE AS mean, round(CASE WHEN hi > lo THEN (m - lo) / (hi - lo) ELSE 0 END, 6) + 0.0::DOUBLE AS scaled FROM (SELECT *, min(m) OVER w AS lo, max(m) OVER w AS hi FROM ("
+        + " UNION ALL ".join(f"SELECT discontinuation_phenotype, '{c}' AS feature, avg({c}) AS m FROM typed GROUP BY 1" for c in _PROFILE) + ") WINDOW w AS (PARTITION BY feature))"),
+    "dispensing_eras": sql("""SELECT person_id, ingredient_concept_id, min(s) AS era_start_date, max(e) AS era_end_date, count(*) AS drug_exposure_count FROM (
+        SELECT *, sum(CASE WHEN reached IS NULL OR s > reached + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, ingredient_concept_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, max(e) OVER (PARTITION BY person_id, ingredient_concept_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (
+        SELECT ('0x' || substr(md5(person_id::VARCHAR), 1, 15))::BIGINT AS person_id, ('0x' || substr(md5('N06AB' || lpad((part % 20)::VARCHAR, 2, '0')), 1, 15))::BIGINT AS ingredient_concept_id, d AS s,
+        d + CASE WHEN l_linenumber = 7 THEN 30 WHEN l_linenumber = 6 THEN 0 ELSE floor(l_quantity)::INTEGER END - 1 AS e FROM ship WHERE part % 20 < 10) WHERE e >= s)) GROUP BY person_id, ingredient_concept_id, island"""),
+    "sales_measures": """WITH g AS (SELECT l_returnflag AS atc_group, year(l_shipdate)::INTEGER AS year, l_linestatus AS sex, sum(l_quantity) AS ddd, count(DISTINCT l_orderkey)::DOUBLE AS n FROM lineitem GROUP BY 1, 2, 3),
+        y AS (SELECT atc_group, year, avg(ddd * 365 / nullif(n, 0)) AS v, sum(ddd) AS ddd FROM g GROUP BY 1, 2)
+        SELECT atc_group, year, round(v, 6) AS ddd_per_patient_year, ddd, round(v / max(v) FILTER (year = 1995) OVER (PARTITION BY atc_group) * 100, 6) AS index_to_base, round(ddd / sum(ddd) OVER (PARTITION BY year), 6) AS year_share FROM y""",
+    "internal_indices": sql(f"""SELECT round((between_ss / (k - 1)) / (within_ss / (n - k)), 5) AS calinski_harabasz, round(db, 5) AS davies_bouldin FROM (SELECT
+        (SELECT sum(g.n * list_distance(g.m, t.m) ** 2) FROM group_mean g CROSS JOIN all_mean t) AS between_ss, (SELECT sum(ss) FROM group_spread) AS within_ss,
+        (SELECT count(*) FROM group_mean) AS k, (SELECT sum(n) FROM group_mean) AS n,
+        (SELECT avg(worst) FROM (SELECT a.g, max((x.d + y.d) / list_distance(a.m, b.m)) AS worst FROM group_mean a JOIN group_mean b ON a.g <> b.g JOIN group_spread x ON x.g = a.g JOIN group_spread y ON y.g = b.g GROUP BY 1)) AS db)"""),
     "kneedle": f"SELECT k, round(1 - (k - lo) / (hi - lo) - (value - vlo) / (vhi - vlo), 6) AS bend FROM (SELECT *, min(k) OVER ()::DOUBLE AS lo, max(k) OVER () AS hi, min(value) OVER () AS vlo, max(value) OVER () AS vhi FROM {_CURVE}) ORDER BY bend DESC, k LIMIT 1",
     "second_differences": f"SELECT k, round(d, 6) AS second_difference FROM (SELECT k, lag(value) OVER (ORDER BY k) - 2 * value + lead(value) OVER (ORDER BY k) AS d FROM {_CURVE}) WHERE d IS NOT NULL",
     "phenotype_ari": sql("""SELECT round(CASE WHEN (a + b) / 2 - a * b / t = 0 THEN 1 ELSE (x - a * b / t) / ((a + b) / 2 - a * b / t) END, 6) AS ari FROM (SELECT

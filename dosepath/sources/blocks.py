@@ -39,7 +39,7 @@ def parse(rows: DataFrame, name: str = "value") -> DataFrame:
     for offset, labels in SEXES.items():
         wrong = (F.col("offset") == offset) & ~label.isin(*labels)
         own = own.withColumn("offset", F.when(wrong, F.raise_error(F.concat(F.lit(f"row {offset} below {labels[0]} block heading: unexpected label "), label)).cast("int")).otherwise(F.col("offset")))
-    years = own.where(F.col("offset") == YEARS).select("at", F.posexplode(F.slice("cells", 2, 10_000)).alias("k", "year"))
-    values = own.where(F.col("offset").isin(MEN, WOMEN)).select("at", "atc_group", F.col("cells")[0].alias("sex"), F.posexplode(F.slice("cells", 2, 10_000)).alias("k", "v"))
+    years = own.where(F.col("offset") == YEARS).select("at", F.posexplode(F.slice("cells", F.lit(2), F.greatest(F.lit(0), F.size("cells") - 1))).alias("k", "year"))
+    values = own.where(F.col("offset").isin(MEN, WOMEN)).select("at", "atc_group", F.col("cells")[0].alias("sex"), F.posexplode(F.slice("cells", F.lit(2), F.greatest(F.lit(0), F.size("cells") - 1))).alias("k", "v"))
     year = F.col("year").try_cast("double").cast("int")
     return values.join(years, ["at", "k"]).where(year.isNotNull()).select("atc_group", year.alias("year"), "sex", _number(F.col("v")).alias(name))

@@ -12,7 +12,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("person_id"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber", F.to_date("l_shipdate").alias("shipped"))
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -21,7 +21,7 @@ def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposures(spark: SparkSession, sf_dir: str, shipped: DataFrame | None = None) -> DataFrame:
     """drug_exposure: end known for returned items, supply of three days a unit but for seventh lines."""
     supply = (F.col("l_quantity") * 3).cast("int")
-    return (_shipments(spark, sf_dir) if shipped is None else shipped).select(
+    return (shipments(spark, sf_dir) if shipped is None else shipped).select(
         "person_id",
         F.col("l_partkey").cast("long").alias("drug_concept_id"),
         F.col("shipped").alias("drug_exposure_start_date"),
@@ -57,7 +57,7 @@ def eras(spark: SparkSession, sf_dir: str, gap_days: int = 30, shipped: DataFram
 
 
 def _first(spark: SparkSession, sf_dir: str, shipped: DataFrame | None) -> DataFrame:
-    return (_shipments(spark, sf_dir) if shipped is None else shipped).groupBy("person_id").agg(F.min("shipped").alias("f"))
+    return (shipments(spark, sf_dir) if shipped is None else shipped).groupBy("person_id").agg(F.min("shipped").alias("f"))
 
 
 def observation(spark: SparkSession, sf_dir: str, shipped: DataFrame | None = None) -> DataFrame:
@@ -75,7 +75,9 @@ def deaths(spark: SparkSession, sf_dir: str, shipped: DataFrame | None = None) -
     return _first(spark, sf_dir, shipped).where("person_id % 13 = 0").select("person_id", F.explode(dates).alias("death_date"))
 
 
-def inputs(spark: SparkSession, sf_dir: str, gap_days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(eras, observation_period, death) from one join of the sales tables, with eras merged once."""
-    shipped = stage(_shipments(spark, sf_dir), "shipped")
+def inputs(spark: SparkSession, sf_dir: str, gap_days: int = 30, *, staged: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(eras, observation_period, death); ``staged``, for plans with several branches: from one join of the sales tables, with eras merged once."""
+    if not staged:
+        return eras(spark, sf_dir, gap_days), observation(spark, sf_dir), deaths(spark, sf_dir)
+    shipped = stage(shipments(spark, sf_dir), "shipped")
     return stage(eras(spark, sf_dir, gap_days, shipped), "eras"), observation(spark, sf_dir, shipped), deaths(spark, sf_dir, shipped)

@@ -144,3 +144,29 @@ def test_results_are_written(spark, primary, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/x_person_level_phenotypes.parquet").count() == 5
     sinks.write_csv(spark, [], "label string, k int, silhouette double", f"{tmp_path}/grid.csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/grid.csv").count() == 0
+
+
+def test_switches_equal_brute_force_and_a_long_person_ends(spark):
+    import datetime
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from dosepath.operators import events
+
+    r = random.Random(4)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    rows = []
+    for _ in range(400):
+        start = r.randrange(900)
+        rows.append((r.randrange(5), r.randrange(4), day(start), day(start + r.randrange(90)), 1, 0, False, day(0), day(2000)))
+    schema = "person_id long, ingredient_concept_id long, era_start_date date, era_end_date date, drug_exposure_count long, gap_days long, clipped_at_censor boolean, index_date date, censor_date date"
+    got = [(x.person_id, x.ingredient_concept_id, x.era_start_date, x.era_end_date, x.switched_within_60d) for x in events.era_events(spark.createDataFrame(rows, schema), Settings()).collect()]
+    hit = lambda e: int(any(o[0] == e[0] and o[1] != e[1] and 0 < (o[2] - e[3]).days <= 60 for o in rows))
+    assert sorted(got) == sorted((*e[:4], hit(e)) for e in rows)
+    one = spark.range(100_000).select(F.lit(1).cast("long").alias("person_id"), (F.col("id") % 50).alias("ingredient_concept_id"), F.expr("date_add(date'1950-01-01', cast(id % 25000 as int))").alias("era_start_date"))
+    one = one.withColumn("era_end_date", F.date_add("era_start_date", 5)).withColumns({"drug_exposure_count": F.lit(1), "gap_days": F.lit(0), "clipped_at_censor": F.lit(False), "index_date": F.lit(None).cast("date"), "censor_date": F.lit(day(0))})
+    began = time.time()
+    assert events.era_events(one, Settings()).agg(F.sum("switched_within_60d")).collect()[0][0] > 0
+    assert time.time() - began < 60

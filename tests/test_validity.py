@@ -56,3 +56,21 @@ def test_sampled_silhouette_is_near_the_full_one(spark):
     full = cluster.silhouette(df, 1)
     assert abs(full - cluster.silhouette(df, 1, sample_from=1000)) < 0.02 and full > 0.9
     assert math.isnan(cluster.silhouette(df.where("trajectory_cluster = 0"), 1))
+
+
+def test_tail_of_the_f_distribution():
+    # closed forms: two degrees between, and one within
+    for f in (0.01, 0.5, 1.0, 3.7, 40.0):
+        for n in (1, 2, 7, 300):
+            assert validity.f_tail(f, 2, n) == pytest.approx((1 + 2 * f / n) ** (-n / 2), rel=1e-9)
+        assert validity.f_tail(f, 1, 1) == pytest.approx(1 - 2 / math.pi * math.atan(math.sqrt(f)), rel=1e-9)
+    assert validity.f_tail(0.0, 3, 9) == 1.0 and validity.f_tail(math.inf, 3, 9) == 0.0
+    assert validity.f_tail(3.1, 4, 60) == pytest.approx(1 - validity.f_tail(1 / 3.1, 60, 4), rel=1e-9)
+
+
+def test_anova_leaves_out_nulls_of_a_feature(spark):
+    rows = [("a", 1.0, None), ("a", 2.0, 5.0), ("b", 4.0, 1.0), ("b", 5.0, 2.0), ("c", None, 9.0)]
+    got = {r.feature: r for r in validity.anova_p_values(validity.anova(spark.createDataFrame(rows, "g string, x double, y double"), "g", ["x", "y"])).collect()}
+    assert (got["x"].df_between, got["x"].df_within) == (1, 2) and got["x"].f_value == pytest.approx(18.0)
+    assert (got["y"].df_between, got["y"].df_within) == (2, 1)
+    assert got["x"].p_value == pytest.approx(validity.f_tail(18.0, 1, 2))
