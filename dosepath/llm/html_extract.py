@@ -6,18 +6,28 @@ sidebars, notices, adverts, forms, reader comments, hidden parts) or open.  The
 pages of a host meet in one group; their token streams are concatenated, a page's
 end being a token of its own, and a suffix array ordered to ``run`` tokens is
 built by prefix doubling.  Neighbours in it that agree to that depth are
-substrings of ``run`` or more tokens; those that occur on two distinct pages are
-repeated runs, and the tokens they cover are marked.
+substrings of ``run`` or more tokens.  One that pages of distinct contents hold is a
+repeated run, and the tokens it covers are marked.
+
+Pages of one content (their words outside marked boilerplate are equal) are one
+page to the runs.  Near copies are told from boilerplate by what they share: of every
+run the least and the greatest content that hold it are known.  The content that is so
+for most of a page's runs is taken as a copy of the page, not as a page with the same
+boilerplate, if these runs cover two thirds of what the page's other runs leave.  A
+page with next to nothing of its own is therefore a copy of another one like it.
 
 Open blocks that repeated runs cover for the greater part are boilerplate; the
 unique ones are kept.  The markup then has the last word where it speaks: blocks
 of an article stay though another page copies them, marked regions go, and open
 blocks go where the page has an article.
 
-A host of more than ``group_pages`` pages is dealt by a hash into groups of about
-that size, so no task holds a hot host.  Runs that groups of it share are found by
-64-bit hashes of all windows of ``run`` tokens: those in two or more groups are
-handed back to each of them, and the result does not depend on the groups.
+A host of more than ``group_pages`` pages or ``group_bytes`` is dealt by a hash into
+groups of about that size, so no task holds a hot host.  Runs that groups of it
+share are found in two shuffles and handed back, and the result does not depend on
+the groups: of every window of ``run`` tokens the least hash of the n-grams of half
+that size in it is exchanged first (about a fifth as many as windows), and windows
+whose least n-gram two groups share are exchanged with their least and greatest
+content.  Hashes have 64 bits.  Texts move and are stored packed.
 
 Nulls and edges: a null or empty html has empty text; pages of a null url are one
 host; unclosed and stray tags are tolerated; repeated rows give repeated results;
@@ -43,6 +53,8 @@ ship(__name__)
 OPEN, MAIN, BOILER = 0, 1, 2
 MOST_BROADCAST = 100_000
 NO_ROWS = pa.table({"data": pa.array([], pa.binary())})
+PACK_BYTES = 8 << 20  # of html that is packed at once
+SENT_AT_ONCE = 4_000_000  # hashes that a task holds before it sends them
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
@@ -140,34 +152,72 @@ def blocks(page: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def repeated_runs(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
-    """Which tokens a substring of ``run`` tokens covers that occurs on two distinct pages.
-
-    ``pages`` numbers the page of each token; page ends are unique negative tokens.
-    """
+def run_classes(tokens: np.ndarray, run: int) -> np.ndarray:
+    """For each suffix the rank of its first ``run`` tokens: equal ranks, equal substrings."""
     n = len(tokens)
-    if n < run:
-        return np.zeros(n, bool)
     _, rank = np.unique(tokens, return_inverse=True)
     depth = 1
     while depth < run:  # prefix doubling, to ``run`` tokens
         step = min(depth, run - depth)
         after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
+        if step < n:
+            after[: n - step] = rank[step:] + 1
         _, rank = np.unique(rank.astype(np.int64) * (n + 2) + after, return_inverse=True)
         depth += step
-    suffixes = np.argsort(rank, kind="stable")
-    ordered = rank[suffixes]
+    return rank
+
+
+def holders(classes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the least and the greatest of ``of`` (a number for each) in its class."""
+    suffixes = np.argsort(classes, kind="stable")
+    ordered = classes[suffixes]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    page = pages[suffixes]
-    many = np.minimum.reduceat(page, first) != np.maximum.reduceat(page, first)
-    starts = suffixes[np.repeat(many, np.diff(np.r_[first, n]))]
+    times = np.diff(np.r_[first, len(classes)])
+    out = []
+    for reduce in (np.minimum.reduceat, np.maximum.reduceat):
+        found = np.empty(len(classes), of.dtype)
+        found[suffixes] = np.repeat(reduce(of[suffixes], first), times)
+        out.append(found)
+    return out[0], out[1]
+
+
+def covered_by(starts: np.ndarray, run: int, n: int) -> np.ndarray:
+    """Which of ``n`` tokens runs from ``starts`` cover."""
     edge = np.zeros(n + run + 1, np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + run, -1)
     return edge.cumsum()[:n] > 0
 
 
+def repeated_runs(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens a substring of ``run`` tokens covers that occurs on two distinct pages.
+
+    ``pages`` numbers the page of each token; page ends are unique negative tokens.
+    """
+    n = len(tokens)
+    if n < run:
+        return np.zeros(n, bool)
+    low, high = holders(run_classes(tokens, run), pages)
+    return covered_by(np.flatnonzero(low != high), run, n)
+
+
+def shared_with_others(content: int, low: np.ndarray, high: np.ndarray, run: int) -> np.ndarray:
+    """Which windows of a page of this content occur on pages that are no copies of it.
+
+    low, high: the least and the greatest content that hold the window at each token.
+    """
+    found, n = np.zeros(len(low), bool), len(low)
+    for side in (low, high):
+        other = np.flatnonzero(side != content)
+        if len(other):
+            names, at, times = np.unique(side[other], return_inverse=True, return_counts=True)
+            most = at == times.argmax()
+            ours, all_ = (int(covered_by(x, run, n).sum()) for x in (other[most], other))
+            copy = ours * 3 >= (n - (all_ - ours)) * 2
+            found[other[~most] if copy else other] = True
+    return found
+
+
 def window_hashes(words: list[list[str]], run: int) -> list[np.ndarray]:
     """For each page's words the hashes of its windows of ``run`` words, in order."""
     ids: dict[str, int] = {}
@@ -183,135 +233,227 @@ def window_hashes(words: list[list[str]], run: int) -> list[np.ndarray]:
     return out
 
 
-OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long"
+def least_hashes(words: list[list[str]], run: int) -> list[np.ndarray]:
+    """For each page's windows of ``run`` words the least hash of the n-grams of half that size in it."""
+    size = max(1, run // 2)
+    return [np.lib.stride_tricks.sliding_window_view(h, run - size + 1).min(axis=1) if len(h) > run - size else np.zeros(0, np.int64) for h in window_hashes(words, size)]
 
 
-def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_pages: int = 1000) -> DataFrame:
+def content_of(kinds: list[int], texts: list[str]) -> int:
+    """The hash of a page's words outside marked boilerplate, or of all where there are none."""
+    own = [t for k, t in zip(kinds, texts, strict=True) if k != BOILER] or texts
+    return int.from_bytes(hashlib.blake2b("\x00".join(own).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def words_of(page: list[str]) -> list[str]:
+    return [w for block in page for w in block.split("\x00")]
+
+
+def packed(rows: dict) -> bytes:
+    """Pages (page_id, url, kinds, blocks) as one compressed Arrow stream."""
+    table = pa.table({"page_id": pa.array(rows["page_id"], pa.int64()), "url": pa.array(rows["url"], pa.string()), "kinds": pa.array(rows["kinds"], pa.list_(pa.int8())), "blocks": pa.array(rows["blocks"], pa.list_(pa.string()))})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(group: pa.Table) -> pa.Table:
+    """Pages of packed rows, in an order that does not depend on the rows'."""
+    pages = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("pages")])
+    return pages.sort_by([("page_id", "ascending"), ("url", "ascending")])
+
+
+def salt_of(host: str) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(host.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.int64)
+
+
+def by_bucket(host: str, part: int, rows: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, host, part, bytes) of rows whose first column is a hash."""
+    of = (rows[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(of) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(of)], strict=True):
+        yield int(of[order[lo]]), host, part, rows[order[lo:hi]].tobytes()
+
+
+SENT = "bucket long, host string, part long, data binary"
+
+
+def sent(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "host", "part", "data"), cols, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)})
+
+
+def met(group: pa.Table, width: int) -> pa.Table:
+    """Of a bucket's rows (hash, least, greatest ... of ``width`` numbers) those whose hash two groups hold, for each of these groups."""
+    names: dict[tuple, int] = {}
+    at, rows = [], []
+    for r in group.to_pylist():
+        own = np.frombuffer(r["data"], np.int64).reshape(-1, width)
+        at.append(np.full(len(own), names.setdefault((r["host"], r["part"]), len(names))))
+        rows.append(own)
+    g, x = np.concatenate(at), np.concatenate(rows)
+    order = np.lexsort((g, x[:, 0]))
+    g, x = g[order], x[order]
+    first = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
+    times = np.diff(np.r_[first, len(x)])
+    several = np.repeat(np.minimum.reduceat(g, first) != np.maximum.reduceat(g, first), times)
+    if width > 1:
+        x = np.stack([x[:, 0], np.repeat(np.minimum.reduceat(x[:, 1], first), times), np.repeat(np.maximum.reduceat(x[:, 2], first), times)], axis=1)
+    new = np.r_[True, (x[1:, 0] != x[:-1, 0]) | (g[1:] != g[:-1])] & several
+    g, x = g[new], x[new]
+    order = np.argsort(g, kind="stable")
+    edges = np.searchsorted(g[order], np.arange(len(names) + 1))
+    out = [(0, host, part, x[order[edges[k] : edges[k + 1]]].tobytes()) for (host, part), k in names.items() if edges[k] < edges[k + 1]]
+    release()
+    return sent(out)
+
+
+OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long, n_decided long"
+
+
+def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_pages: int = 1000, group_bytes: int = 16 << 20) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html).
 
     ``run``: tokens of a repeated run; ``share``: part of an open block that runs
-    must cover to make it boilerplate; ``group_pages``: pages of a group of a host.
-    Returns page_id, url, text, n_chars, n_tokens (of visible blocks), n_repeated.
+    must cover to make it boilerplate; ``group_pages``, ``group_bytes``: pages and
+    characters of html of a group of a host.  Returns page_id, url, text, n_chars,
+    n_tokens (of visible blocks), n_repeated (of them in repeated runs), n_decided
+    (open blocks about which the runs decided).
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     slim = slim.withColumn("host", host)
-    hot = stage(slim.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group_pages).select("host", F.ceil(F.col("n") / group_pages).alias("parts")), "hosts")
-    hosts, hot_pages = hot.agg(F.count("*"), F.sum(F.col("parts") * group_pages)).collect()[0]
+    parts = F.ceil(F.greatest(F.count("*") / group_pages, F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_bytes))
+    hot = stage(slim.groupBy("host").agg(parts.alias("parts"), F.count("*").alias("n")).where("parts > 1"), "hosts")
+    hosts, hot_pages = hot.agg(F.count("*"), F.sum("n")).collect()[0]
     buckets = max(32, (hot_pages or 0) // 5000)
     if hosts <= MOST_BROADCAST:  # names of hosts, some MB at most; more are joined by a shuffle
         hot = F.broadcast(hot)
+    slim = slim.join(hot.drop("n"), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, dict[str, list]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(*key, packed(x)) for key, x in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["host", "part", "parts", "pages"])
+
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                each = [blocks(x or "") for x in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), part.column("host"), pa.array([[k for k, _ in x] for x in each], pa.list_(pa.int32())), pa.array([["\x00".join(w) for _, w in x] for x in each], pa.list_(pa.string()))],
-                    names=["page_id", "url", "host", "kinds", "blocks"],
-                )
+            for lo in range(0, b.num_rows, 64):
+                for r in b.slice(lo, 64).to_pylist():
+                    found = blocks(r["html"] or "")
+                    own = held.setdefault((r["host"], r["part"], r["parts"]), {"page_id": [], "url": [], "kinds": [], "blocks": []})
+                    for c, v in zip(own.values(), (r["page_id"], r["url"], [k for k, _ in found], ["\x00".join(w) for _, w in found]), strict=True):
+                        c.append(v)
+                    size += len(r["html"] or "")
+                if size > PACK_BYTES:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
         release()
 
-    read = slim.mapInArrow(parsed, "page_id long, url string, host string, kinds array<int>, blocks array<string>")
-    dealt = read.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
-    spread, dealt = dealt, dealt.repartition("host", "part")  # a join on the host alone would keep a hot host in one task
+    read = stage(slim.mapInArrow(parsed, "host string, part long, parts long, pages binary"), "pages")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Window hashes of a task's pages, each once a group, packed by bucket of the hash."""
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Least n-gram hashes of a task's pages, each once a group, by bucket."""
         held: dict[tuple, list] = {}
         size = 0
 
-        def packed() -> Iterator[pa.RecordBatch]:
-            rows: dict[int, tuple] = {}
-            for (host, part), some in held.items():
-                salt = np.frombuffer(hashlib.blake2b(host.encode(), digest_size=8).digest(), np.int64)
-                found = np.unique(np.concatenate(some) ^ salt)
-                of = (found.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                edges = np.searchsorted(of[order], np.arange(buckets + 1))
-                for k in range(buckets):
-                    if edges[k] < edges[k + 1]:
-                        row = rows.setdefault(k, ([], [], [], []))
-                        for o, x in zip(row, (host, part, int(edges[k + 1] - edges[k]), found[order[edges[k] : edges[k + 1]]].tobytes()), strict=True):
-                            o.append(x)
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [x for (host, part), some in held.items() for x in by_bucket(host, part, np.unique(np.concatenate(some) ^ salt_of(host))[:, None], buckets)]
             held.clear()
-            for k, (hosts, parts, sizes, data) in rows.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([hosts], pa.list_(pa.string())), pa.array([parts], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())], names=["bucket", "hosts", "parts", "sizes", "data"])
+            yield from sent(rows).to_batches()
 
         for b in batches:
-            words = [[w for block in page for w in block.split("\x00")] for page in b.column("blocks").to_pylist()]
-            for host, part, own in zip(b.column("host").to_pylist(), b.column("part").to_pylist(), window_hashes(words, run), strict=True):
-                held.setdefault((host, part), []).append(own)
-                size += len(own)
-            if size > 4_000_000:
-                yield from packed()
-                size = 0
-        yield from packed()
+            for r in b.to_pylist():
+                page_words = [words_of(x) for x in pa.ipc.open_stream(r["pages"]).read_all().column("blocks").to_pylist()]
+                own = held.setdefault((r["host"], r["part"]), [np.zeros(0, np.int64)])
+                own.append(np.unique(np.concatenate([np.zeros(0, np.int64), *least_hashes(page_words, run)])))
+                size += len(own[-1])
+                if size > SENT_AT_ONCE:
+                    yield from out()
+                    size = 0
+        yield from out()
         release()
 
-    def met(key: tuple, group: pa.Table) -> pa.Table:
-        """The hashes of a bucket that two groups or more hold, for each of these groups."""
-        names: dict[tuple, int] = {}
-        at, hashes = [], []
-        for r in group.to_pylist():
-            at.append(np.repeat([names.setdefault(x, len(names)) for x in zip(r["hosts"], r["parts"], strict=True)], r["sizes"]))
-            hashes.append(np.frombuffer(r["data"], np.int64))
-        g, h = np.concatenate(at), np.concatenate(hashes)
-        order = np.lexsort((g, h))
-        g, h = g[order], h[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-        g, h = g[new], h[new]
-        same = h[1:] == h[:-1]
-        both = np.r_[False, same] | np.r_[same, False]
-        g, h = g[both], h[both]
-        order = np.argsort(g, kind="stable")
-        edges = np.searchsorted(g[order], np.arange(len(names) + 1))
-        rows = [(host, part, h[order[edges[k] : edges[k + 1]]].tobytes()) for (host, part), k in names.items() if edges[k] < edges[k + 1]]
+    def candidates(key: tuple, group: pa.Table, others: pa.Table) -> pa.Table:
+        """Windows of a group whose least n-gram another group has, with their least and greatest content."""
+        if not group.num_rows or not others.num_rows:
+            return sent([])
+        name, part = key[0].as_py(), key[1].as_py()
+        salt, far = salt_of(name), np.unique(np.frombuffer(b"".join(others.column("data").to_pylist()), np.int64))
+        own = unpacked(group)
+        kinds, texts = own.column("kinds").to_pylist(), own.column("blocks").to_pylist()
+        words = [words_of(x) for x in texts]
+        hashes, contents = [], []
+        for kind, text, window, small in zip(kinds, texts, window_hashes(words, run), least_hashes(words, run), strict=True):
+            small = small ^ salt
+            keep = far[np.minimum(np.searchsorted(far, small), len(far) - 1)] == small
+            hashes.append(window[keep] ^ salt)
+            contents.append(np.full(int(keep.sum()), content_of(kind, text)))
+        h, c = np.concatenate(hashes), np.concatenate(contents)
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+        rows = np.stack([h[first], np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)], axis=1) if len(h) else np.zeros((0, 3), np.int64)
+        found = sent(list(by_bucket(name, part, rows, buckets)))
         release()
-        return pa.table({"host": pa.array([x[0] for x in rows], pa.string()), "part": pa.array([x[1] for x in rows], pa.int64()), "data": pa.array([x[2] for x in rows], pa.binary())})
-
-    several = spread.join(hot.select("host"), "host", "left_semi").mapInArrow(windows, "bucket long, hosts array<string>, parts array<long>, sizes array<long>, data binary")
-    marked = several.repartition("bucket").groupBy("bucket").applyInArrow(met, "host string, part long, data binary")
+        return found
 
     def chosen(key: tuple, group: pa.Table, others: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in OUT.split(", ")]
+        if not group.num_rows:
+            return pa.table({n: pa.array([], pa.string() if n in ("url", "text") else pa.int64()) for n in names})
+        group = unpacked(group)
         kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
         ids: dict[str, int] = {}
-        tokens: list[int] = []
-        page_of, ends = [], []
-        for p, page in enumerate(texts):
-            begin = len(tokens)
-            for block in page:
-                tokens.extend([ids.setdefault(w, len(ids)) for w in block.split("\x00")])
-            tokens.append(-1 - p)
-            page_of.append(np.full(len(tokens) - begin, p))
-            ends.append(begin)
-        if not ends:
-            return pa.table({n: pa.array([], t) for n, t in zip(("page_id", "url", "text", "n_chars", "n_tokens", "n_repeated"), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
-        covered = repeated_runs(np.array(tokens, np.int64), np.concatenate(page_of), run)
+        words = [words_of(x) for x in texts]
+        sizes = np.array([len(w) + 1 for w in words])
+        ends = np.r_[0, sizes.cumsum()]
+        tokens = np.empty(ends[-1], np.int64)
+        content = np.array([content_of(k, t) for k, t in zip(kinds, texts, strict=True)], np.int64)
+        for p, w in enumerate(words):
+            tokens[ends[p] : ends[p + 1] - 1] = [ids.setdefault(x, len(ids)) for x in w]
+            tokens[ends[p + 1] - 1] = -1 - p
+        low, high = holders(run_classes(tokens, run), np.repeat(content, sizes))
         if others.num_rows:
-            salt = np.frombuffer(hashlib.blake2b(group.column("host")[0].as_py().encode(), digest_size=8).digest(), np.int64)
-            far = np.sort(np.frombuffer(b"".join(others.column("data").to_pylist()), np.int64) ^ salt)
-            words = [[w for block in page for w in block.split("\x00")] for page in texts]
-            for begin, own in zip(ends, window_hashes(words, run), strict=True):
-                at = np.minimum(np.searchsorted(far, own), len(far) - 1)
-                for start in begin + np.flatnonzero(far[at] == own):
-                    covered[start : start + run] = True
-        marks = np.r_[0, covered.cumsum()]
-        out: list[list] = [[], [], [], []]
+            far = np.frombuffer(b"".join(others.column("data").to_pylist()), np.int64).reshape(-1, 3)
+            far = far[np.argsort(far[:, 0], kind="stable")]
+            salt = salt_of(key[0].as_py())
+            for begin, own in zip(ends, window_hashes(words, run), strict=False):
+                own = own ^ salt
+                at = np.minimum(np.searchsorted(far[:, 0], own), len(far) - 1)
+                hit = np.flatnonzero(far[at, 0] == own)
+                low[begin + hit] = np.minimum(low[begin + hit], far[at[hit], 1])
+                high[begin + hit] = np.maximum(high[begin + hit], far[at[hit], 2])
+        out: list[list] = [[], [], [], [], []]
         for p, (kind, page) in enumerate(zip(kinds, texts, strict=True)):
-            at, has_main, keep = ends[p], MAIN in kind, []
+            n, open_page, keep, at, decided = len(words[p]), MAIN not in kind, [], 0, 0
+            mine = slice(ends[p], ends[p] + n)
+            marks = np.r_[0, covered_by(np.flatnonzero(shared_with_others(content[p], low[mine], high[mine], run)), run, n).cumsum()]
             for k, block in zip(kind, page, strict=True):
                 size = block.count("\x00") + 1
                 repeated = marks[at + size] - marks[at] >= share * size
                 at += size
-                if k == MAIN or (k == OPEN and not has_main and not repeated):
+                decided += k == OPEN and open_page
+                if k == MAIN or (k == OPEN and open_page and not repeated):
                     keep.append(block.replace("\x00", " "))
             text = " ".join(keep)
-            for o, x in zip(out, (text, len(text), at - ends[p], int(marks[at] - marks[ends[p]])), strict=True):
+            for o, x in zip(out, (text, len(text), n, int(marks[-1]), decided), strict=True):
                 o.append(x)
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out[0], pa.string()), **{n: pa.array(o, pa.int64()) for n, o in zip(("n_chars", "n_tokens", "n_repeated"), out[1:], strict=True)}})
+        release()
+        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out[0], pa.string()), **{n: pa.array(o, pa.int64()) for n, o in zip(names[3:], out[1:], strict=True)}})
 
     if not hosts:
-        return dealt.groupBy("host", "part").applyInArrow(lambda key, group: chosen(key, group, NO_ROWS), OUT)
-    return dealt.groupBy("host", "part").cogroup(marked.groupBy("host", "part")).applyInArrow(chosen, OUT)
+        return read.groupBy("host", "part").applyInArrow(lambda key, group: chosen(key, group, NO_ROWS), OUT)
+    several = read.where("parts > 1")
+    grams = several.mapInArrow(least, SENT).repartition("bucket").groupBy("bucket").applyInArrow(lambda key, group: met(group, 1), SENT)
+    windows = several.groupBy("host", "part").cogroup(grams.groupBy("host", "part")).applyInArrow(candidates, SENT)
+    windows = stage(windows.repartition("bucket").groupBy("bucket").applyInArrow(lambda key, group: met(group, 3), SENT), "runs")
+    return read.groupBy("host", "part").cogroup(windows.groupBy("host", "part")).applyInArrow(chosen, OUT)

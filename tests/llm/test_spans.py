@@ -311,6 +311,64 @@ def test_runs_that_few_pages_of_a_hot_host_share_are_found_across_groups(spark):
     assert got[5] == got[1000] and [x[2] for x in got[5]] == own
 
 
+def host_pages(r, n=300):
+    """Pages of one host: articles (some copied, some changed a little), each with a menu of its section and a footer, and what is theirs."""
+    own = [" ".join("".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(r.randint(60, 90))) for _ in range(n)]
+    for i in range(0, n, 10):
+        own[i + 1] = own[i]
+        own[i + 3] = " ".join([*own[i + 2].split()[:-1], "changed"])
+    menus = [words(r, 20) for _ in range(12)]
+    foot = words(r, 18)
+    return [(i, f"http://a.org/{i}", f"<div>{menus[i % 12]}</div><div>{t}</div><div>{foot}</div>") for i, t in enumerate(own)], own
+
+
+def test_copied_pages_keep_their_text_and_groups_do_not_matter(spark):
+    rows, own = host_pages(random.Random(31))
+    rows += [(300, *rows[5][1:]), (301, None, "<div>alone on no host</div>"), (302, "http://a.org/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = [sorted(map(tuple, html_extract.extracted(df, **o).collect())) for o in ({}, {"group_pages": 7}, {"group_bytes": 5000})]
+    assert got[0] == got[1] == got[2]
+    text = {x[0]: x[2] for x in got[0]}
+    assert [text[i] for i in range(300)] == own
+    assert text[300] == own[5] and text[301] == "alone on no host" and text[302] == ""
+    assert sum(x[6] for x in got[0]) == 3 * 301 + 1  # all of these blocks are the runs' decision
+
+
+def test_a_copied_page_without_markup_keeps_its_text(spark):
+    r = random.Random(32)
+    page = f"<p>{words(r, 40)}</p>"
+    df = spark.createDataFrame([(1, "http://b.org/1", page), (1, "http://b.org/1", page), (2, "http://b.org/2", page)], "page_id long, url string, html string")
+    assert {x.text for x in html_extract.extracted(df).collect()} == {page[3:-4]}
+
+
+def test_block_shared_by_two_pages_of_a_hot_host(spark):
+    r = random.Random(33)
+    shared = words(r, 30)
+    rows = [(i, f"http://c.org/{i}", f"<div>{words(r, 50)}</div>" + (f"<div>{shared}</div>" if i in (3, 350) else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (50, 1000):
+        got = {x.page_id: x.text for x in html_extract.extracted(df, group_pages=size).collect()}
+        assert all(len(t.split()) == 50 for t in got.values())
+
+
+def test_runs_decide_pages_without_article_tags(spark):
+    """Pages whose article and main tags are taken away: the text is still the article's."""
+    strip = r"(?i)</?(article|main)\b[^>]*>"
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {x.page_id: x.text for x in html_extract.extracted(pages).collect()}
+    got = {x.page_id: x for x in html_extract.extracted(pages.withColumn("html", F.regexp_replace("html", strip, " "))).collect()}
+    left = sum(len(want[i].split()) for i in want)
+    kept, more = 0, 0
+    from collections import Counter
+
+    for i, t in want.items():
+        a, b = Counter(t.split()), Counter(got[i].text.split())
+        kept += sum((a & b).values())
+        more += sum((b - a).values())
+    assert kept / left >= 0.9 and more / left <= 0.02
+    assert sum(x.n_decided for x in got.values()) > 1000
+
+
 def test_a_teaser_or_comment_article_does_not_displace_the_text():
     for name in ("teaser", "comment reply-2"):
         got = html_extract.blocks(f"<div>The text</div><article class='{name}'>Other</article><article class='post'>Own</article>")
