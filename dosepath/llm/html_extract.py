@@ -218,25 +218,36 @@ def shared_with_others(content: int, low: np.ndarray, high: np.ndarray, run: int
     return found
 
 
-def window_hashes(words: list[list[str]], run: int) -> list[np.ndarray]:
-    """For each page's words the hashes of its windows of ``run`` words, in order."""
+def numbered(words: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each page's words as numbers, and the hash of each number's word."""
     ids: dict[str, int] = {}
-    pages = [np.fromiter((ids.setdefault(w, len(ids)) for w in page), np.int64, len(page)) for page in words]
-    own = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in ids), np.uint64)
+    pages = [np.fromiter([ids.setdefault(w, len(ids)) for w in page], np.int64, len(page)) for page in words]
+    return pages, np.frombuffer(b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in ids]), np.uint64)
+
+
+def window_hashes(pages: list[np.ndarray], own: np.ndarray, run: int) -> list[np.ndarray]:
+    """For each page the hashes of its windows of ``run`` words, in order."""
     out = []
     for page in pages:
-        n = max(0, len(page) - run + 1)
+        n, each = max(0, len(page) - run + 1), own[page] if len(page) else np.zeros(0, np.uint64)
         total = np.zeros(n, np.uint64)
         for j in range(run if n else 0):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + own[page[j : j + n]]
+            total = total * np.uint64(0x9E3779B97F4A7C15) + each[j : j + n]
         out.append(total.view(np.int64))
     return out
 
 
-def least_hashes(words: list[list[str]], run: int) -> list[np.ndarray]:
+def least_hashes(pages: list[np.ndarray], own: np.ndarray, run: int) -> list[np.ndarray]:
     """For each page's windows of ``run`` words the least hash of the n-grams of half that size in it."""
     size = max(1, run // 2)
-    return [np.lib.stride_tricks.sliding_window_view(h, run - size + 1).min(axis=1) if len(h) > run - size else np.zeros(0, np.int64) for h in window_hashes(words, size)]
+    out = []
+    for h in window_hashes(pages, own, size):
+        n = max(0, len(h) - (run - size))
+        least = h[:n]
+        for j in range(1, run - size + 1 if n else 0):
+            least = np.minimum(least, h[j : j + n])
+        out.append(least)
+    return out
 
 
 def content_of(kinds: list[int], texts: list[str]) -> int:
@@ -253,14 +264,19 @@ def packed(rows: dict) -> bytes:
     """Pages (page_id, url, kinds, blocks) as one compressed Arrow stream."""
     table = pa.table({"page_id": pa.array(rows["page_id"], pa.int64()), "url": pa.array(rows["url"], pa.string()), "kinds": pa.array(rows["kinds"], pa.list_(pa.int8())), "blocks": pa.array(rows["blocks"], pa.list_(pa.string()))})
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return sink.getvalue().to_pybytes()
+    raw = sink.getvalue()
+    return raw.size.to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(raw, asbytes=True)
+
+
+def opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"))).read_all()
 
 
 def unpacked(group: pa.Table) -> pa.Table:
     """Pages of packed rows, in an order that does not depend on the rows'."""
-    pages = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("pages")])
+    pages = pa.concat_tables([opened(x.as_py()) for x in group.column("pages")])
     return pages.sort_by([("page_id", "ascending"), ("url", "ascending")])
 
 
@@ -372,9 +388,9 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
 
         for b in batches:
             for r in b.to_pylist():
-                page_words = [words_of(x) for x in pa.ipc.open_stream(r["pages"]).read_all().column("blocks").to_pylist()]
+                page_words = [words_of(x) for x in opened(r["pages"]).column("blocks").to_pylist()]
                 own = held.setdefault((r["host"], r["part"]), [np.zeros(0, np.int64)])
-                own.append(np.unique(np.concatenate([np.zeros(0, np.int64), *least_hashes(page_words, run)])))
+                own.append(np.unique(np.concatenate([np.zeros(0, np.int64), *least_hashes(*numbered(page_words), run)])))
                 size += len(own[-1])
                 if size > SENT_AT_ONCE:
                     yield from out()
@@ -390,9 +406,9 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
         salt, far = salt_of(name), np.unique(np.frombuffer(b"".join(others.column("data").to_pylist()), np.int64))
         own = unpacked(group)
         kinds, texts = own.column("kinds").to_pylist(), own.column("blocks").to_pylist()
-        words = [words_of(x) for x in texts]
+        words = numbered([words_of(x) for x in texts])
         hashes, contents = [], []
-        for kind, text, window, small in zip(kinds, texts, window_hashes(words, run), least_hashes(words, run), strict=True):
+        for kind, text, window, small in zip(kinds, texts, window_hashes(*words, run), least_hashes(*words, run), strict=True):
             small = small ^ salt
             keep = far[np.minimum(np.searchsorted(far, small), len(far) - 1)] == small
             hashes.append(window[keep] ^ salt)
@@ -412,21 +428,20 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
             return pa.table({n: pa.array([], pa.string() if n in ("url", "text") else pa.int64()) for n in names})
         group = unpacked(group)
         kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
-        ids: dict[str, int] = {}
-        words = [words_of(x) for x in texts]
+        words, own_hash = numbered([words_of(x) for x in texts])
         sizes = np.array([len(w) + 1 for w in words])
         ends = np.r_[0, sizes.cumsum()]
         tokens = np.empty(ends[-1], np.int64)
         content = np.array([content_of(k, t) for k, t in zip(kinds, texts, strict=True)], np.int64)
         for p, w in enumerate(words):
-            tokens[ends[p] : ends[p + 1] - 1] = [ids.setdefault(x, len(ids)) for x in w]
+            tokens[ends[p] : ends[p + 1] - 1] = w
             tokens[ends[p + 1] - 1] = -1 - p
         low, high = holders(run_classes(tokens, run), np.repeat(content, sizes))
         if others.num_rows:
             far = np.frombuffer(b"".join(others.column("data").to_pylist()), np.int64).reshape(-1, 3)
             far = far[np.argsort(far[:, 0], kind="stable")]
             salt = salt_of(key[0].as_py())
-            for begin, own in zip(ends, window_hashes(words, run), strict=False):
+            for begin, own in zip(ends, window_hashes(words, own_hash, run), strict=False):
                 own = own ^ salt
                 at = np.minimum(np.searchsorted(far[:, 0], own), len(far) - 1)
                 hit = np.flatnonzero(far[at, 0] == own)
