@@ -329,7 +329,7 @@ def met(group: pa.Table, width: int) -> pa.Table:
 OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long, n_decided long"
 
 
-def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_pages: int = 1000, group_bytes: int = 16 << 20) -> DataFrame:
+def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_pages: int = 20_000, group_bytes: int = 16 << 20) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html).
 
     ``run``: tokens of a repeated run; ``share``: part of an open block that runs
