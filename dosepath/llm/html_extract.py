@@ -21,7 +21,7 @@ unique ones are kept.  The markup then has the last word where it speaks: blocks
 of an article stay though another page copies them, marked regions go, and open
 blocks go where the page has an article.
 
-A host of more than ``group_pages`` pages or ``group_bytes`` is dealt by a hash into
+A host of more than ``group_pages`` pages or ``group_bytes`` is dealt by a hash of the row into
 groups of about that size, so no task holds a hot host.  Runs that groups of it
 share are found in two shuffles and handed back, and the result does not depend on
 the groups: of every window of ``run`` tokens the least hash of the n-grams of half
@@ -348,7 +348,7 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
     if hosts <= MOST_BROADCAST:  # names of hosts, some MB at most; more are joined by a shuffle
         hot = F.broadcast(hot)
     slim = slim.join(hot.drop("n"), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    slim = slim.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.col("parts")))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, dict[str, list]] = {}
