@@ -29,6 +29,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ COUNT_AT_ONCE = 1 << 21  # n-grams that are counted at once
 HOT = 64  # a column with more rows is frequent
 MOST_HOT = 1 << 20  # frequent columns that are broadcast, 8 MB
 BLOCK_ENTRIES = 1_000_000
-DENSE = 200_000  # n-grams of a side of a block of whole sets
+DENSE = 100_000  # n-grams of a side of a block of whole sets
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -337,8 +338,10 @@ def _dense_links(entries: DataFrame, hubs: DataFrame, roots: DataFrame, sets: Da
     """(a, b): links that join components among the rows of frequent columns.
 
     Rows that frequent columns hold together form a cluster.  A cluster of more
-    than one component is dealt into square blocks of whole sets; a task
-    multiplies one block and returns a spanning forest of its links, so what
+    than one component is dealt by classes of size, which are a factor of den / num
+    apart, so only rows of one class or of neighbouring ones can link; a class is
+    dealt into cells by a hash, and two cells make a square block of whole sets.  A
+    task multiplies one block and returns a spanning forest of its links, so what
     leaves it grows with the rows, not with their pairs.
     """
     together = entries.select("key", "set").join(hubs.select("key", F.col("a").alias("hub")), "key").select("set", "hub").distinct()
@@ -346,10 +349,17 @@ def _dense_links(entries: DataFrame, hubs: DataFrame, roots: DataFrame, sets: Da
     marked = cluster.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     marked = marked.join(entries.select("set", "n").distinct(), "set")
     split = marked.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("m")).where(F.col("lo") != F.col("hi"))
-    split = split.select("cluster", F.ceil(F.col("m") / DENSE).alias("parts"))
-    dealt = marked.join(split, "cluster").withColumn("part", F.pmod(F.xxhash64("set", F.lit(11)), F.col("parts")))
-    dealt = dealt.join(sets, "set").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "set", "root", "grams")
+    own_class = F.when(F.col("m") > DENSE, F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))).otherwise(F.lit(0).cast("long"))
+    marked = stage(marked.join(split.select("cluster", "m"), "cluster").select("cluster", "set", "root", "n", own_class.alias("class")), "marked")
+    cells = stage(marked.groupBy("cluster", "class").agg(F.ceil(F.sum("n") / DENSE).alias("parts")), "cells")  # a row a class
+    near = cells.withColumn("own", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    near = near.groupBy("cluster", F.col("own").alias("class")).agg(F.collect_list(F.struct("class", "parts")).alias("others"), F.max(F.when(F.col("own") == F.col("class"), F.col("parts"))).alias("parts"))
+    dealt = marked.join(near.where("parts is not null"), ["cluster", "class"]).withColumn("part", F.pmod(F.xxhash64("set", F.lit(11)), F.col("parts")))
+    dealt = dealt.select("cluster", "set", "root", F.struct("class", "part").alias("cell"), F.explode("others").alias("o")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o.parts") - 1)))
+    other = F.struct(F.col("o.class").alias("class"), F.col("p").alias("part"))
+    dealt = dealt.select("cluster", "set", "root", "cell", F.least("cell", other).alias("i"), F.greatest("cell", other).alias("j"))
+    dealt = dealt.select("cluster", F.concat_ws(":", "i.class", "i.part").alias("i"), F.concat_ws(":", "j.class", "j.part").alias("j"), (F.col("cell") == F.col("i")).cast("int").alias("part"), "set", "root")
+    dealt = dealt.join(sets, "set")
 
     def multiplied(key: tuple, group: pa.Table) -> pa.Table:
         ids, root, part = (group.column(c).to_numpy() for c in ("set", "root", "part"))
