@@ -85,6 +85,16 @@ def load(path: str | Path) -> dict[str, Any]:
     return yaml.safe_load(text)
 
 
+def save(raw: Mapping[str, Any], path: str | Path) -> Path:
+    """Write a configuration as JSON, which YAML readers read too; ``load`` gives it back."""
+    import json
+
+    out = Path(path)
+    out.parent.mkdir(parents=True, exist_ok=True)
+    out.write_text(json.dumps(raw, indent=2) + "\n")
+    return out
+
+
 def output_dir(raw: Mapping[str, Any]) -> Path:
     """The project's output folder, made if absent."""
     out = Path(raw["project"]["output_dir"])

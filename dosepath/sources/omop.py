@@ -102,20 +102,33 @@ def find_table(spark: SparkSession, folder: str, name: str, fmt: str) -> str | N
     return None
 
 
+#: Columns that describe an era and their value where an external table has none (fixed values).
+DESCRIPTION = {"ingredient_name": None, "atc_group": None, "archetype": "external_omop"}
+
+
+def _with_columns(spark: SparkSession, path: str, needed: set[str]) -> DataFrame:
+    """The table at ``path``; raises ValueError that names every needed column it lacks."""
+    df = read_table(spark, path)
+    if gone := sorted(needed - set(df.columns)):
+        raise ValueError(f"{path} lacks columns: {', '.join(gone)}")
+    return df
+
+
 def external_eras(spark: SparkSession, folder: str, *, fmt: str = "csv", gap_days: int = 30) -> DataFrame:
     """Eras of an external data model: drug_era, or (absent or empty) eras made from drug_exposure.
 
-    drug_exposure_count and gap_days default to 1 and 0; other needed columns must be there.
+    drug_exposure_count and gap_days default to 1 and 0; the columns of DESCRIPTION
+    are carried where the table has them; other needed columns must be there.
     """
     path = find_table(spark, folder, "drug_era", fmt)
     if path is not None:
-        df = read_table(spark, path)
-        needed = {"person_id", "ingredient_concept_id" if "ingredient_concept_id" in df.columns else "drug_concept_id", "drug_era_start_date", "drug_era_end_date"}
-        if gone := sorted(needed - set(df.columns)):
-            raise ValueError(f"{path} lacks columns: {', '.join(gone)}")
+        df = _with_columns(spark, path, {"person_id", "drug_era_start_date", "drug_era_end_date"})
+        ingredient = "ingredient_concept_id" if "ingredient_concept_id" in df.columns else "drug_concept_id"
+        if ingredient not in df.columns:
+            raise ValueError(f"{path} lacks columns: drug_concept_id")
         if not df.isEmpty():
-            ingredient = "ingredient_concept_id" if "ingredient_concept_id" in df.columns else "drug_concept_id"
             default = lambda c, v: F.coalesce(F.col(c).cast("long"), F.lit(v)) if c in df.columns else F.lit(v)
+            told = lambda c, v: F.coalesce(F.col(c).cast("string"), F.lit(v)) if c in df.columns else F.lit(v).cast("string")
             return df.select(
                 F.col("person_id").cast("long"),
                 F.col(ingredient).cast("long").alias("ingredient_concept_id"),
@@ -123,12 +136,33 @@ def external_eras(spark: SparkSession, folder: str, *, fmt: str = "csv", gap_day
                 lenient_date(F.col("drug_era_end_date")).alias("era_end_date"),
                 default("drug_exposure_count", 1).cast("long").alias("drug_exposure_count"),
                 default("gap_days", 0).cast("long").alias("gap_days"),
+                *[told(c, v).alias(c) for c, v in DESCRIPTION.items()],
             ).where("era_start_date is not null and era_end_date >= era_start_date")
     path = find_table(spark, folder, "drug_exposure", fmt)
     if path is None:
         raise FileNotFoundError(f"neither drug_era nor drug_exposure in {folder}")
-    df = read_table(spark, path)
-    rows = df.select(
-        F.col("person_id").cast("long"), F.col("drug_concept_id").cast("long"), lenient_date(F.col("drug_exposure_start_date")).alias("drug_exposure_start_date"), lenient_date(F.col("drug_exposure_end_date")).alias("drug_exposure_end_date")
-    )
-    return intervals.raw_drug_eras(rows, gap_days)
+    df = _with_columns(spark, path, {"person_id", "drug_concept_id", "drug_exposure_start_date"})
+    start = lenient_date(F.col("drug_exposure_start_date"))
+    end = lenient_date(F.col("drug_exposure_end_date")) if "drug_exposure_end_date" in df.columns else start
+    rows = df.select(F.col("person_id").cast("long"), F.col("drug_concept_id").cast("long"), start.alias("drug_exposure_start_date"), end.alias("drug_exposure_end_date"))
+    return intervals.raw_drug_eras(rows, gap_days).withColumns({c: F.lit(v).cast("string") for c, v in DESCRIPTION.items()})
+
+
+def external_observation(spark: SparkSession, folder: str, *, fmt: str = "csv") -> DataFrame:
+    """Observation periods of an external data model; the table and its three columns must be there."""
+    path = find_table(spark, folder, "observation_period", fmt)
+    if path is None:
+        raise FileNotFoundError(f"no observation_period in {folder}")
+    dates = ("observation_period_start_date", "observation_period_end_date")
+    df = _with_columns(spark, path, {"person_id", *dates})
+    return df.select(F.col("person_id").cast("long"), *[lenient_date(F.col(c)).alias(c) for c in dates]).dropna()
+
+
+def external_persons(spark: SparkSession, folder: str, *, fmt: str = "csv") -> DataFrame | None:
+    """Persons of an external data model, or None where it has no such table; birth year and gender default to 1970 and 0 where their columns are absent."""
+    path = find_table(spark, folder, "person", fmt)
+    if path is None:
+        return None
+    df = _with_columns(spark, path, {"person_id"})
+    number = lambda c, v: (F.col(c) if c in df.columns else F.lit(v)).cast("int").alias(c)
+    return df.select(F.col("person_id").cast("long"), number("year_of_birth", 1970), number("gender_concept_id", 0))

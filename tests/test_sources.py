@@ -5,7 +5,7 @@ import pytest
 
 from dosepath import config
 from dosepath.config import Settings
-from dosepath.plans import trajectory
+from dosepath.plans import external, trajectory
 from dosepath.sources import omop, registers
 
 D = dt.date.fromisoformat
@@ -73,6 +73,41 @@ def test_external_eras_need_columns_and_have_defaults(spark, tmp_path):
         omop.external_eras(spark, str(tmp_path))
 
 
+def test_external_eras_carry_their_description(spark, tmp_path):
+    (tmp_path / "drug_era.csv").write_text("person_id,drug_concept_id,drug_era_start_date,drug_era_end_date,archetype\n1,5,2020-01-01,2020-02-01,acute_antibiotic\n2,5,2020-01-01,2020-02-01,\n")
+    rows = {r.person_id: r for r in omop.external_eras(spark, str(tmp_path)).collect()}
+    assert [rows[p].archetype for p in (1, 2)] == ["acute_antibiotic", "external_omop"]
+    assert rows[1].ingredient_name is None and rows[1].atc_group is None
+
+
+def test_external_observation_and_persons(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="observation_period"):
+        omop.external_observation(spark, str(tmp_path))
+    assert omop.external_persons(spark, str(tmp_path)) is None
+    (tmp_path / "Observation_Period.csv").write_text("person_id,observation_period_start_date\n1,2018-01-01\n")
+    with pytest.raises(ValueError, match="observation_period_end_date"):
+        omop.external_observation(spark, str(tmp_path))
+    (tmp_path / "Observation_Period.csv").write_text("PERSON_ID,observation_period_start_date,observation_period_end_date,x\n1,2018-01-01,2023-01-01,\n2,bad,2023-01-01,\n")
+    assert [tuple(r) for r in omop.external_observation(spark, str(tmp_path)).collect()] == [(1, D("2018-01-01"), D("2023-01-01"))]
+    (tmp_path / "person.csv").write_text("person_id\n7\n")
+    assert [tuple(r) for r in omop.external_persons(spark, str(tmp_path)).collect()] == [(7, 1970, 0)]
+
+
+def test_external_folder_is_exported_and_run(spark, folder, tmp_path):
+    out = str(tmp_path / "external")
+    eras = folder / "drug_era.csv"
+    eras.write_text(eras.read_text().replace("eid", "person_id"))
+    paths = external.export(spark, str(folder), out)
+    assert sorted(paths) == ["drug_era", "observation_period"]
+    again = omop.external_eras(spark, out, fmt="parquet")
+    assert sorted(map(str, again.collect())) == sorted(map(str, omop.external_eras(spark, str(folder)).collect()))
+    path = config.save(external.configuration("x", out, Settings(k_grid=(2,))), tmp_path / "config" / "x.yaml")
+    raw = config.load(path)
+    assert raw["paths"]["omop_dir"] == out
+    found = external.run(spark, out, config.settings_of(raw), fixed_k=2)
+    assert found["eligible"].count() == found["final_person"].count()
+
+
 def test_vocabulary_may_be_absent(spark, folder):
     assert omop.vocabulary(spark, f"{folder}/concept.csv", sep="\t").count() == 2
     assert omop.vocabulary(spark, f"{folder}/nothing.csv").columns == ["ingredient_concept_id", "concept_name"]
