@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dosepath.plans.staging import stage
-from dosepath.llm import html_extract, mixing, neighbours, ngram_join, packing, pii, quality, secret_scan, sharding, spans, topk
+from dosepath.llm import common, html_extract, mixing, neighbours, ngram_join, packing, periodic, pii, quality, secret_scan, sharding, spans, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,29 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special=packing.SPECIAL)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, a tenth of which is given a periodic tail as the query's contract says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def with_tail(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        period = 1 + F.floor((n - a) / (3 + g % 8))
+        moved = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % period).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    tailed = F.transform(F.array(F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0))), with_tail)[0]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, tailed).otherwise(F.col("text")).alias("text"))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    most = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    found = periodic.periodic_runs(docs).select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("_best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    best = {c: F.col(f"_best.{c}") for c in ("start", "length", "period")}
+    return found.withColumns(best | {"exponent_milli": F.floor(1000 * best["length"] / best["period"])}).drop("_best")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op5_html_extraction, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing)
+    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op5_html_extraction, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing, op11_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
@@ -119,4 +140,34 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.m
         )
         SELECT doc_id, any_value(n.n)::BIGINT AS n_shingles, min(m) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op11_periodic_runs": r"""
+        WITH c AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x:
+                    list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) AS h
+            FROM documents
+        ), a AS (
+            SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c
+        ), d AS (
+            SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END]) END AS w FROM a
+        ), t AS (
+            SELECT r, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+        ), e AS (
+            SELECT x.r, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+        ), g AS (
+            SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM e
+        ), s AS (
+            SELECT r, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)
+        ), u AS (
+            SELECT r, start, length, min(q) AS period FROM s GROUP BY r, start, length
+        ), m AS (
+            SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+                arg_min({'start': start, 'length': length, 'period': period}, {'x': -1000000000 * length // period, 'start': start, 'period': period}) AS best FROM u GROUP BY r
+        ), k AS (
+            SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM t
+            WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.r = t.r AND t.i >= u.start + u.period AND t.i < u.start + u.length) GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+            (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM d LEFT JOIN m USING (r) LEFT JOIN k USING (r)""",
 }
