@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dosepath.plans.staging import stage
-from dosepath.llm import common, html_extract, mixing, neighbours, ngram_join, packing, periodic, pii, quality, secret_scan, sharding, spans, topk
+from dosepath.llm import common, html_extract, mixing, neighbours, ngram_join, packing, periodic, pii, quality, secret_scan, sharding, spans, topk, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +85,56 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(best | {"exponent_milli": F.floor(1000 * best["length"] / best["period"])}).drop("_best")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compressed(table(spark, sf_dir, "embeddings"), carry=["label"], parts=4, entries=256, rounds=4)
+    digest = F.lit(None).cast("string")
+    for length in found.books:
+        digest = F.when(F.col("n_components") == length, found.digest(length)).otherwise(digest)
+    sums = found.rows.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    rows = found.rows.join(sums, F.col("label").eqNullSafe(F.col("_label")))
+    return rows.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op5_html_extraction, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing, op11_periodic_runs)
+    f.__name__: f for f in (op1_cube_mixing, op2_feistel_sharding, op3_exact_top_k, op4_quality_classifier, op5_html_extraction, op6_pii_sanitisation, op7_secret_scan, op8_nearest_neighbours, op9_ngram_join, op10_vector_packing, op11_periodic_runs, op12_vector_codes)
 }
 
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds without bounds: every part against every entry, a CTE a round."""
+    nearest = """
+        a{k} AS MATERIALIZED (
+            SELECT r, p, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d
+            FROM (SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{k} b USING (p))
+            GROUP BY r, p
+        )"""
+    moved = """
+        b{next} AS MATERIALIZED (
+            SELECT p, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+                SELECT p, e, list(s ORDER BY i) AS x FROM (SELECT a.p, a.e, i, (sum(x.x[i]) // count(*) - CASE WHEN sum(x.x[i]) % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS s FROM a{k} a JOIN x USING (r, p), unnest(range(1, len(x.x) + 1)) AS t(i) GROUP BY a.p, a.e, i) GROUP BY p, e
+            ) m USING (p, e)
+        )"""
+    steps = ",".join(nearest.format(k=k) + "," + moved.format(k=k, next=k + 1) for k in range(rounds)) + "," + nearest.format(k=rounds)
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS MATERIALIZED (
+            SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM v, unnest(range({parts})) AS t(p)
+        ), b0 AS MATERIALIZED (
+            SELECT p, r - 1 AS e, x FROM x WHERE r <= {entries}
+        ),{steps}, o AS (
+            SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM v JOIN o USING (r)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op3_exact_top_k": """
         WITH v AS (
             SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
