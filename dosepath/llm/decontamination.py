@@ -26,9 +26,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dosepath.plans.staging import stage
 
-#: Words of a lower-cased text, and of a text as it is.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def _but(characters: str) -> str:
+    """A pattern of runs of anything but these; listed one by one, they are one look-up in a set of bits, which ranges are not."""
+    return "[^" + "".join(f"\\x{ord(c):02X}" for c in characters) + "]+"
+
+
+#: Words of a lower-cased text (``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``), and of a text as it is.
+WORD = _but("".join(c for c in map(chr, range(128)) if not c.isdigit() and not c.islower()))
+RAW_WORD = _but("".join(c for c in map(chr, range(128)) if not c.isalnum()))
 BLOCK_BYTES = 32 << 20
 
 
@@ -39,32 +44,47 @@ def words(text: Column) -> Column:
 
 
 def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` made once."""
     return F.transform(F.array(value), body)[0]
 
 
-def _places(n: Column, length: Column) -> Column:
-    """Places from 0 on where a window of ``length`` words fits into n."""
-    return F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+def _pairs(a: Column, b: Column, apart: int) -> Column:
+    """Hashes of each of ``a`` with what is in ``b`` so many places on."""
+    both = F.transform(F.sequence(F.lit(0), F.size(b) - 1 - apart), lambda i: F.xxhash64(F.get(a, i), F.get(b, i + apart)))
+    return F.when(F.size(b) > apart, both).otherwise(F.array().cast("array<bigint>"))
+
+
+def _keys(some: Column, length: int) -> Column:
+    """Hashes of all windows of ``length`` words: of pairs of words, pairs of pairs and so on, put together by the bits of ``length``."""
+
+    def doubled(power: int, held: Column, done: Column | None, words_done: int) -> Column:
+        if length & power:
+            done, words_done = held if done is None else _pairs(done, held, words_done), words_done + power
+        if 2 * power > length:
+            return done
+        if done is None or not length & power:
+            return _let(_pairs(held, held, power), lambda more: doubled(2 * power, more, done, words_done))
+        return _let(done, lambda own: _let(_pairs(held, held, power), lambda more: doubled(2 * power, more, own, words_done)))
+
+    return _let(F.transform(some, lambda w: F.xxhash64(w)), lambda h: doubled(1, h, None, 0))
 
 
 def windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
     """(key, length, words, item) of all windows of ``items``, each pair of window and item once."""
     own = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    length = F.least(F.size("w"), F.lit(n))
-    cut = own.select("item", length.alias("length"), F.explode(F.transform(_places(F.size("w"), length), lambda i: F.slice("w", i + 1, length))).alias("words"))
-    return cut.distinct().select(_key("words").alias("key"), "length", "words", "item")
-
-
-def _key(some) -> Column:
-    return F.xxhash64(F.transform(some, lambda w: F.xxhash64(w)))
+    own = own.withColumn("length", F.least(F.size("w"), F.lit(n)))
+    keys = F.coalesce(*[F.when(F.col("length") == k, _keys(F.col("w"), k)) for k in range(1, n + 1)])
+    cut = F.transform(keys, lambda key, i: F.struct(key.alias("key"), F.slice("w", i + 1, F.col("length")).alias("words")))
+    return own.select("length", "item", F.inline(cut)).distinct().select("key", "length", "words", "item")
 
 
 def _hits(texts: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
     """(text, at, length, items) of all places of ``texts`` (text, w) where a window of the broadcast ``table`` stands."""
-    hashed = texts.select("text", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    sized = hashed.withColumn("l", F.explode(F.array(*map(F.lit, lengths)))) if len(lengths) > 1 else hashed.withColumn("l", F.lit(lengths[0]))
-    keys = F.transform(_places(F.size("h"), F.col("l")), lambda i: F.xxhash64(F.slice("h", i + 1, F.col("l"))))
-    places = sized.select("text", "w", "l", F.posexplode(keys).alias("at", "k"))
+    if len(lengths) == 1:
+        sized = texts.select("text", "w", F.lit(lengths[0]).alias("l"), _keys(F.col("w"), lengths[0]).alias("keys"))
+    else:
+        sized = texts.select("text", "w", F.inline(F.array(*[F.struct(F.lit(k).alias("l"), _keys(F.col("w"), k).alias("keys")) for k in lengths])))
+    places = sized.select("text", "w", "l", F.posexplode("keys").alias("at", "k"))
     same = (F.col("k") == F.col("key")) & (F.col("l") == F.col("length")) & (F.slice("w", F.col("at") + 1, F.col("l")) == F.col("words"))
     return places.join(F.broadcast(table), same).select("text", "at", "length", "items")
 
