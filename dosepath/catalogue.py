@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosepath.config import Settings
 from dosepath.functions.columns import atc_ingredient_id, md5_id
-from dosepath.operators import cluster, cohort, events, features, grid, intervals, validity
+from dosepath.operators import cluster, cohort, events, features, grid, intervals, lloyd, validity
 from dosepath.oracles import _MEANS, _PROFILE, ORACLES
 from dosepath.plans import trajectory
 from dosepath.plans.staging import stage
@@ -24,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 #: Six ingredients seldom overlap, so three count as many here.
 SETTINGS = Settings(polypharmacy_threshold=3)
 FOCUS = (1000001, 1000003)
-CURVE = [(2, 100.0), (3, 60.0), (4, 38.0), (5, 30.0), (6, 26.0), (7, 24.0)]
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def query(f: Query) -> Query:
@@ -335,14 +336,23 @@ def standardised_unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("person_id", *[F.get("u", F.lit(i)).alias(f"u_{n}") for i, n in enumerate(FEATURES)]), [f"u_{n}" for n in FEATURES])
 
 
+def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A falling curve (k, value): squares of l_quantity within k groups of equal width, for k from 2 to 7."""
+    items = testdata.read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("q"))
+    low, high = items.agg(F.min("q"), F.max("q")).first()
+    group = F.least(F.col("k") - 1, F.floor((F.col("q") - low) * F.col("k") / (high - low)))
+    groups = items.select("q", F.explode(F.sequence(F.lit(2), F.lit(7))).alias("k")).groupBy("k", group.alias("g")).agg(F.count("*").alias("n"), F.var_pop("q").alias("v"))
+    return groups.groupBy("k").agg(F.sum(F.col("n") * F.col("v")).alias("value"))
+
+
 @query
 def kneedle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cluster.kneedle(spark.createDataFrame(CURVE, "k int, value double")), ["bend"])
+    return rounded(cluster.kneedle(_curve(spark, sf_dir)), ["bend"])
 
 
 @query
 def second_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cluster.second_differences(spark.createDataFrame(CURVE, "k int, value double")), ["second_difference"])
+    return rounded(cluster.second_differences(_curve(spark, sf_dir)), ["second_difference"], 3)
 
 
 @query
@@ -416,6 +426,69 @@ def dispensing_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.gap_merged(rows, 30).select("person_id", "ingredient_concept_id", "era_start_date", "era_end_date", "drug_exposure_count")
 
 
+def _sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(users, doses) of return flags: items of odd lines are men's, others women's."""
+    sex = F.when(F.col("l_linenumber") % 2 == 1, "Male").otherwise("Kvinder")
+    items = testdata.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("atc_group"), F.year("l_shipdate").alias("year"), sex.alias("sex")).agg(F.sum("l_quantity").cast("double").alias("ddd"), F.count_distinct("l_orderkey").cast("double").alias("n"))
+    names = ["atc_group", "year", "sex"]
+    return items.select(*names, F.col("n").alias("value")), items.select(*names, F.col("ddd").alias("value"))
+
+
+@query
+def sales_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.sales_volumes(*_sales(spark, sf_dir), 1995), ["volume", "index_to_base", "year_share"])
+
+
+@query
+def sales_share_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ["A", "N", "R"]
+    return rounded(validity.share_pivot(validity.sales_volumes(*_sales(spark, sf_dir), 1995), groups), [f"share_{g}" for g in groups])
+
+
+@query
+def sales_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(validity.sales_changes(*_sales(spark, sf_dir)), ["base_volume", "recent_volume", "change_all", "change_men", "change_women"], 5)
+
+
+@query
+def turnover_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketched quantiles of turnover: whether each rank is within the error of its share, as counted over all months."""
+    months = stage(_run(spark, sf_dir)["person_month_summary"].select("turnover"), "turnover")
+    found = validity.sketched_quantiles(months, "turnover", QUANTILES)
+    within = (F.col("p") >= F.col("rank_low") - 0.005) & (F.col("p") <= F.col("rank_high") + 0.005)
+    n = F.lit(months.where("turnover is not null").count()).cast("long")
+    return found.select("p", n.alias("n_months"), within.alias("within_error"))
+
+
+@query
+def era_gap_merge_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods in which a supplier ships; suppliers of many items are merged in pieces."""
+    start = F.to_date("l_shipdate")
+    items = testdata.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("l_suppkey"), start.alias("s"), F.date_add(start, (F.col("l_quantity") % 3).cast("int")).alias("e"))
+    return intervals.gap_merged(items, 1, keys=("l_suppkey",), start="s", end="e", hot_rows=600)
+
+
+def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(cluster.scaled(_persons(spark, sf_dir)).select("person_id", vector_to_array("features_scaled").alias("z"), vector_to_array("features_cosine").alias("u")), "standard")
+
+
+@query
+def lloyd_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all k after five rounds, from the first k persons' vectors, advanced together."""
+    rows = _standard(spark, sf_dir)
+    first = [r.u for r in rows.orderBy("person_id").limit(4).collect()]
+    models = lloyd.advanced(rows, "u", [np.array(first[:k]) for k in (2, 3, 4)], rounds=5, tolerance=-1.0) if len(first) == 4 else []
+    found = lloyd.measured(rows, "u", [m.centres for m in models]) if models else []
+    out = [(len(n), i, int(n[i]), float(cost[i])) for n, _, cost, _ in found for i in range(len(n)) if n[i]]
+    return rounded(spark.createDataFrame(out, "k int, cluster int, n_people long, inertia double"), ["inertia"], 5)
+
+
+@query
+def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices of k-means refitted on standardised rows, the best of ten starts of each k."""
+    return spark.createDataFrame(validity.index_table(_standard(spark, sf_dir), "z", range(2, 7), seed=SETTINGS.seed), "k int, inertia double, calinski_harabasz double, davies_bouldin double")
+
+
 @query
 def sales_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a return flag as doses of a group, their orders as its users."""

@@ -6,11 +6,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from dosepath.operators import lloyd
 from dosepath.plans.staging import stage
 from dosepath.schemas import FEATURES
 
@@ -59,17 +61,36 @@ def silhouette(predicted: DataFrame, seed: int, *, sample_from: int = SAMPLE_FRO
     return ClusteringEvaluator(featuresCol="features_cosine", predictionCol=CLUSTER, metricName="silhouette", distanceMeasure="cosine").evaluate(predicted)
 
 
-def kmeans(rows: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="features_cosine", predictionCol=CLUSTER).fit(rows)
+#: Starts of each k; they are advanced in the same scans.
+STARTS, ROUNDS = 4, 20
 
 
-def silhouette_grid(rows: DataFrame, k_grid: Sequence[int], seed: int) -> list[tuple[int, float, object]]:
-    """(k, silhouette, model) of each k; ``rows`` should be a staged table."""
-    out = []
-    for k in k_grid:
-        model = kmeans(rows, k, seed)
-        out.append((k, silhouette(model.transform(rows), seed), model))
-    return out
+def _arrays(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_u", vector_to_array("features_cosine"))
+
+
+def kmeans(rows: DataFrame, ks: Sequence[int], seed: int) -> dict[int, lloyd.Model]:
+    """The best of ``STARTS`` models of each k; a round reads ``rows`` once for all of them."""
+    found = lloyd.restarted(_arrays(rows), "_u", ks, n_init=STARTS, seed=seed, rounds=ROUNDS)
+    return {k: models[0] for k, models in found.items()}
+
+
+def with_nearest(rows: DataFrame, model: lloyd.Model) -> DataFrame:
+    """``rows`` with the cluster of ``model``."""
+    return model.labelled(_arrays(rows), "_u", CLUSTER).drop("_u")
+
+
+def silhouette_grid(rows: DataFrame, k_grid: Sequence[int], seed: int, *, sample_from: int = SAMPLE_FROM) -> list[tuple[int, float, lloyd.Model]]:
+    """(k, silhouette, model) of each k; ``rows`` (person_id, features_cosine) should be a staged table.
+
+    Silhouettes follow the rule of ``silhouette``, by two scans for all k.
+    """
+    models = kmeans(rows, k_grid, seed)
+    share = None
+    if models and sum((m := next(iter(models.values()))).n) >= sample_from:
+        share = {k: np.maximum(SAMPLE_FLOOR, np.minimum(SAMPLE_SHARE * m.n.sum() / np.maximum(m.n, 1), 1.0)) for k, m in models.items()}
+    found = lloyd.cosine_silhouettes(_arrays(rows), "_u", models, share=share, row=F.col("person_id"), seed=seed) if models else {}
+    return [(k, found[k], models[k]) for k in models]
 
 
 def clustered(features: DataFrame, *, k_grid: Sequence[int], final_k: int | None = None, fixed_k: int | None = None, seed: int = 42) -> Clustering:
@@ -85,14 +106,14 @@ def clustered(features: DataFrame, *, k_grid: Sequence[int], final_k: int | None
         return nobody
     rows = stage(scaled(features).select("person_id", "features_cosine"), "scaled")  # read by every k and by the lazy result
     if fixed_k is not None:
-        model, k, found = kmeans(rows, fixed_k, seed), fixed_k, []
+        model, k, found = kmeans(rows, [fixed_k], seed)[fixed_k], fixed_k, []
     else:
         swept = silhouette_grid(rows, grid, seed)
         found = [(k, s) for k, s, _ in swept]
         k, _, model = max(swept, key=lambda x: (-math.inf if math.isnan(x[1]) else x[1], -x[0]))
         if final_k is not None and final_k <= most and final_k != k:
-            k, model = final_k, next((m for j, _, m in swept if j == final_k), None) or kmeans(rows, final_k, seed)
-    return Clustering(model.transform(rows).select("person_id", CLUSTER), k, found)
+            k, model = final_k, next((m for j, _, m in swept if j == final_k), None) or kmeans(rows, [final_k], seed)[final_k]
+    return Clustering(with_nearest(rows, model).select("person_id", CLUSTER), k, found)
 
 
 def with_clusters(features: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -116,9 +137,8 @@ def top_ingredients(final: DataFrame, months: DataFrame, names: DataFrame, top:
 
 
 def bisecting_grid(rows: DataFrame, max_k: int, seed: int) -> list[tuple[int, float]]:
-    """(k, within-cluster sum of squares) of bisecting k-means for k from 2 to ``max_k``."""
-    fit = lambda k: BisectingKMeans(k=k, seed=seed, maxIter=20, featuresCol="features_cosine", predictionCol=CLUSTER).fit(rows)
-    return [(k, float(fit(k).summary.trainingCost)) for k in range(2, max_k + 1)]
+    """(k, within-cluster sum of squares) for k from 2 to ``max_k``, read off one divisive tree."""
+    return [(k, cost) for k, cost in lloyd.divisive(_arrays(rows), "_u", max_k, seed=seed).curve if k > 1]
 
 
 def kneedle(curve: DataFrame) -> DataFrame:

@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from dosepath.plans.staging import stage
 
 KEYS = ("person_id", "ingredient_concept_id")
 
@@ -52,13 +56,24 @@ def gap_merged(
     end: str = "era_end_date",
     distinct_starts: bool = True,
     gap_out: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Merge intervals of the same keys that overlap or lie at most ``gap_days`` apart.
 
     A new island begins where a start is after the latest end so far plus the
     gap.  drug_exposure_count counts rows, or with ``distinct_starts`` starts;
-    gap_days is ``gap_out`` or the gap.
+    gap_days is ``gap_out`` or the gap.  Keys of more than ``hot_rows`` rows (an
+    institution's id, say) are merged in pieces that several tasks share; the
+    result is the same.
     """
+    if hot_rows is not None:
+        hot = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n"), "hot")
+        if not hot.isEmpty():
+            options = {"keys": keys, "start": start, "end": end, "distinct_starts": distinct_starts, "gap_out": gap_out}
+            same = _same(keys, df, hot)
+            pieces = _merged_in_pieces(df.join(hot, same, "left_semi"), gap_days, keys, start, end, distinct_starts)
+            others = gap_merged(df.join(hot, same, "left_anti"), gap_days, **options)
+            return others.unionByName(pieces.withColumn("gap_days", F.lit(gap_days if gap_out is None else gap_out).cast("long")))
     own = Window.partitionBy(*keys).orderBy(start, end)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
     marked = df.select(
@@ -75,9 +90,47 @@ def gap_merged(
     return out.withColumn("gap_days", F.lit(gap_days if gap_out is None else gap_out).cast("long")).drop("_island")
 
 
-def exposure_eras(exposures: DataFrame, concept: DataFrame, ancestor: DataFrame, gap_days: int = 30) -> DataFrame:
+def _same(keys: Sequence[str], a: DataFrame, b: DataFrame) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def _merged_in_pieces(df: DataFrame, gap_days: int, keys: Sequence[str], start: str, end: str, distinct_starts: bool) -> DataFrame:
+    """``gap_merged`` where one key has more rows than a task should hold: a running maximum by segments.
+
+    Rows are dealt by range of (keys, start, end), so a key lies in neighbouring
+    pieces.  Each piece runs its own windows; what it needs from the pieces before it
+    (the latest end, the last start, the number of islands) is carried in by a table
+    of one row for a key and piece.
+    """
+    dealt = df.select(*keys, start, end).withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, start, end, "_tie")
+    rows = stage(dealt.drop("_tie").withColumn("_piece", F.spark_partition_id()), "pieces")
+    piece = [*keys, "_piece"]
+    own = Window.partitionBy(*piece).orderBy(start, end)
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(table: DataFrame, **sums: Column) -> DataFrame:
+        """``table`` with what the pieces before a row's own give."""
+        each = table.groupBy(*piece).agg(*[c.alias(n) for n, c in sums.items()])
+        before = [(F.sum if n == "_islands" else F.max)(n).over(earlier).alias(n) for n in sums]
+        each = each.select(*[F.col(c).alias(f"_of{c}") for c in piece], *before)
+        return table.join(each, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in piece])).drop(*[f"_of{c}" for c in piece])
+
+    with_ends = carried(rows, _end=F.max(end), _last=F.max(start))
+    reached = F.greatest(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_end"))
+    previous = F.coalesce(F.lag(start).over(own), F.col("_last"))
+    marked = with_ends.withColumn("_reached", reached).withColumn("_previous", previous)
+    fresh = F.col("_reached").isNull() | (F.col(start) > F.date_add("_reached", gap_days))
+    counted = F.when(F.lit(not distinct_starts) | F.col("_previous").isNull() | (F.col("_previous") != F.col(start)), 1).otherwise(0)
+    marked = stage(marked.select(*piece, start, end, fresh.cast("int").alias("_fresh"), counted.alias("_counted")), "marked")
+    numbered = carried(marked, _islands=F.sum("_fresh"))
+    island = F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_islands", F.lit(0))
+    out = numbered.withColumn("_island", island).groupBy(*keys, "_island")
+    return out.agg(F.min(start).alias("era_start_date"), F.max(end).alias("era_end_date"), F.sum("_counted").cast("long").alias("drug_exposure_count")).drop("_island")
+
+
+def exposure_eras(exposures: DataFrame, concept: DataFrame, ancestor: DataFrame, gap_days: int = 30, *, hot_rows: int | None = None) -> DataFrame:
     """Ingredient eras of raw exposures."""
-    return gap_merged(to_ingredients(imputed_exposures(exposures), ingredient_map(concept, ancestor)), gap_days)
+    return gap_merged(to_ingredients(imputed_exposures(exposures), ingredient_map(concept, ancestor)), gap_days, hot_rows=hot_rows)
 
 
 def raw_drug_eras(exposures: DataFrame, gap_days: int = 30) -> DataFrame:

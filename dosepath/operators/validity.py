@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dosepath.operators import lloyd
 from dosepath.schemas import PHENOTYPES
 
 
@@ -165,6 +167,29 @@ def cluster_indices(rows: DataFrame, by: str, columns: Sequence[str]) -> tuple[f
     return (between / (k - 1)) / (within / (n - k)) if within else float("inf"), sum(worst) / k
 
 
+def index_table(rows: DataFrame, vector: str, ks: Sequence[int], *, n_init: int = 10, seed: int = 42) -> list[tuple[int, float, float, float]]:
+    """(k, inertia, Calinski-Harabasz, Davies-Bouldin) of k-means refitted for each k, the best of ``n_init`` starts.
+
+    ``rows`` (``vector``: array of doubles) should be a staged table: a round of all
+    starts of all k is one scan, and so are the indices.
+    """
+    best = {k: models[0] for k, models in lloyd.restarted(rows, vector, ks, n_init=n_init, seed=seed).items()}
+    out = []
+    for (k, model), (n, total, squares, distances) in zip(best.items(), lloyd.measured(rows, vector, [m.centres for m in best.values()]) if best else [], strict=True):
+        held = n > 0
+        n, means, squares, away = n[held], total[held] / n[held, None], squares[held], distances[held] / n[held]
+        if len(n) < 2 or n.sum() <= len(n):
+            out.append((k, model.cost, math.nan, math.nan))
+            continue
+        between = (n * ((means - total.sum(axis=0) / n.sum()) ** 2).sum(axis=1)).sum()
+        apart = np.sqrt(((means[:, None] - means[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(apart, np.inf)
+        within = squares.sum()
+        ch = (between / (len(n) - 1)) / (within / (n.sum() - len(n))) if within else math.inf
+        out.append((k, model.cost, float(ch), float(((away[:, None] + away[None]) / apart).max(axis=1).mean())))
+    return out
+
+
 def prevalence(df: DataFrame, by: str) -> DataFrame:
     """Distinct persons of each group and their share of all."""
     counts = df.select("person_id", by).distinct().groupBy(by).agg(F.count("*").alias("n_people"))
@@ -188,3 +213,50 @@ def sales_measures(users: DataFrame, doses: DataFrame, base_year: int) -> DataFr
     both = both.groupBy("atc_group", "year").agg(F.avg(F.col("ddd") * 365 / F.nullif(F.col("n"), F.lit(0.0))).alias("ddd_per_patient_year"), F.sum("ddd").alias("ddd"))
     base = F.max(F.when(F.col("year") == base_year, F.col("ddd_per_patient_year"))).over(Window.partitionBy("atc_group"))
     return both.withColumn("index_to_base", F.col("ddd_per_patient_year") / base * 100).withColumn("year_share", F.col("ddd") / F.sum("ddd").over(Window.partitionBy("year")))
+
+
+def sales_volumes(users: DataFrame, doses: DataFrame, base_year: int) -> DataFrame:
+    """(atc_group, year, volume, index_to_base, year_share): mean doses of the sexes that have users too, as an index of the base year (100) and a share of the year."""
+    both = doses.withColumnRenamed("value", "ddd").join(users.select("atc_group", "year", "sex"), ["atc_group", "year", "sex"], "left_semi")
+    rows = both.groupBy("atc_group", "year").agg(F.avg("ddd").alias("volume"))
+    base = F.max(F.when(F.col("year") == base_year, F.nullif(F.col("volume"), F.lit(0.0)))).over(Window.partitionBy("atc_group"))
+    return rows.withColumn("index_to_base", F.col("volume") / base * 100).withColumn("year_share", F.col("volume") / F.sum("volume").over(Window.partitionBy("year")))
+
+
+def share_pivot(volumes: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """A row a year and a column share_<group>: the groups' shares of the volume of all ``groups``; 0 where a group has none."""
+    wide = volumes.where(F.col("atc_group").isin(list(groups))).groupBy("year").pivot("atc_group", list(groups)).agg(F.sum("volume")).fillna(0.0)
+    total = F.nullif(sum((F.col(g) for g in groups), F.lit(0.0)), F.lit(0.0))
+    return wide.select("year", *[(F.col(g) / total).alias(f"share_{g}") for g in groups])
+
+
+def sales_changes(users: DataFrame, doses: DataFrame) -> DataFrame:
+    """Each group's volume in the first and the last year of all, and its change in percent: of both sexes, men and women.
+
+    Doses without users of the same group, year and sex are left out.  A change is null
+    without both years or from nothing.
+    """
+    both = doses.withColumnRenamed("value", "ddd").join(users.select("atc_group", "year", "sex"), ["atc_group", "year", "sex"], "left_semi")
+    ends = both.agg(F.min("year").alias("base"), F.max("year").alias("recent")).first()
+    sex = F.lower("sex")
+    parts = {"all": F.lit(True), "men": sex.startswith("m"), "women": sex.startswith("f") | sex.startswith("k")}
+    at = {"base": F.col("year") == F.lit(ends.base), "recent": F.col("year") == F.lit(ends.recent)}
+    sums = both.groupBy("atc_group").agg(*[F.avg(F.when(own & year, F.col("ddd"))).alias(f"{p}_{y}") for p, own in parts.items() for y, year in at.items()])
+    change = lambda p: F.when(F.col(f"{p}_base") > 0, (F.col(f"{p}_recent") - F.col(f"{p}_base")) / F.col(f"{p}_base") * 100).alias(f"change_{p}")
+    return sums.select("atc_group", F.lit(ends.base).cast("int").alias("base_year"), F.lit(ends.recent).cast("int").alias("recent_year"), F.col("all_base").alias("base_volume"), F.col("all_recent").alias("recent_volume"), *[change(p) for p in parts])
+
+
+def sketched_quantiles(df: DataFrame, column: str, shares: Sequence[float], error: float = 0.005) -> DataFrame:
+    """(p, value, rank_low, rank_high): quantiles from a mergeable sketch, and what share of rows lies below and at or below each.
+
+    A value's rank is within ``error`` of p, whatever the number of distinct values;
+    a task's sketch has about 1 / error entries.  Nulls are left out.
+    """
+    made = df.agg(F.percentile_approx(column, list(shares), math.ceil(1 / error)).alias("v")).first().v or [None] * len(shares)
+    c, counts = F.col(column), []
+    for v in made:
+        counts += [F.count(F.when(c < F.lit(v), 1)), F.count(F.when(c <= F.lit(v), 1))]
+    one = df.agg(F.count(c).alias("n"), F.array(*counts).alias("r"))
+    n = F.nullif(F.col("n"), F.lit(0)).cast("double")
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(v).cast("double").alias("value"), (F.get("r", F.lit(2 * i)) / n).alias("rank_low"), (F.get("r", F.lit(2 * i + 1)) / n).alias("rank_high")) for i, (p, v) in enumerate(zip(shares, made, strict=True))])
+    return one.select(F.inline(rows))

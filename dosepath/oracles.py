@@ -123,7 +123,10 @@ def rounded(names, digits: int = 6) -> str:
 _ERA = "person_id, ingredient_concept_id, era_start_date, era_end_date, drug_exposure_count::BIGINT AS drug_exposure_count, gap_days"
 _SET = "array_to_string(active_set, ',') AS active_set"
 _MEANS = ("mean_active_n", "poly_month_prop", "mean_turnover", "early_disc_90_rate", "restart_180_rate", "switch_60_rate")
-_CURVE = "(VALUES (2, 100.0::DOUBLE), (3, 60.0), (4, 38.0), (5, 30.0), (6, 26.0), (7, 24.0)) c(k, value)"
+_CURVE = """(SELECT k, sum(n * v) AS value FROM (SELECT k, least(k - 1, floor((q - lo) * k / (hi - lo))) AS g, count(*) AS n, var_pop(q) AS v FROM (
+    SELECT l_quantity::DOUBLE AS q, min(l_quantity::DOUBLE) OVER () AS lo, max(l_quantity::DOUBLE) OVER () AS hi FROM lineitem) CROSS JOIN (SELECT unnest([2, 3, 4, 5, 6, 7]) AS k) GROUP BY 1, 2) GROUP BY 1) c"""
+_SALES = """WITH g AS (SELECT l_returnflag AS atc_group, year(l_shipdate)::INTEGER AS year, CASE WHEN l_linenumber % 2 = 1 THEN 'm' ELSE 'w' END AS sex, sum(l_quantity)::DOUBLE AS ddd FROM lineitem GROUP BY 1, 2, 3),
+    v AS (SELECT atc_group, year, avg(ddd) AS volume FROM g GROUP BY 1, 2) """
 
 
 def _eta(c: str) -> str:
@@ -133,6 +136,17 @@ def _eta(c: str) -> str:
         round(CASE WHEN {b} + sum(n * v) > 0 THEN {b} / ({b} + sum(n * v)) ELSE 0 END, 6) AS eta_squared FROM {g}"""
 
 
+def _lloyd_sql(rounds: int) -> str:
+    """K-means of k = 2, 3 and 4 from the first k vectors, a pair of tables a round."""
+    near = "a{i} AS MATERIALIZED (SELECT person_id, k, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT p.person_id, b.k, b.c, list_sum(list_transform(list_zip(p.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM un p CROSS JOIN b{i} b) GROUP BY 1, 2)"
+    mean = "[" + ", ".join(f"avg(u[{j + 1}])" for j in range(len(FEATURES))) + "]"
+    move = "b{n} AS MATERIALIZED (SELECT b.k, b.c, coalesce(m.u, b.u) AS u FROM b{i} b LEFT JOIN (SELECT k, c, " + mean + " AS u FROM a{i} JOIN un USING (person_id) GROUP BY 1, 2) m USING (k, c))"
+    first = "un AS MATERIALIZED (SELECT * FROM unit), b0 AS MATERIALIZED (SELECT k, r - 1 AS c, u FROM (SELECT u, row_number() OVER (ORDER BY person_id) AS r FROM unit) JOIN (SELECT unnest([2, 3, 4]) AS k) ON r <= k)"
+    steps = [step for i in range(rounds) for step in (near.format(i=i), move.format(i=i, n=i + 1))] + [near.format(i=rounds)]
+    head, tail = sql("SELECT * FROM unit").rsplit(" SELECT * FROM unit", 1)
+    return f"{head}, {first}, {', '.join(steps)} SELECT k, c::INTEGER AS cluster, count(*) AS n_people, round(sum(d), 5) AS inertia FROM a{rounds} GROUP BY 1, 2{tail}"
+
+
 ORACLES: dict[str, str] = {
     "exposure_end_imputation": sql("SELECT person_id, drug_concept_id, s AS era_start_date, e AS era_end_date FROM imputed"),
     "ingredient_map": sql("SELECT drug_concept_id, ingredient_concept_id FROM mapping"),
@@ -208,8 +222,9 @@ ORACLES: dict[str, str] = {
     "dispensing_eras": sql("""SELECT person_id, ingredient_concept_id, min(s) AS era_start_date, max(e) AS era_end_date, count(*) AS drug_exposure_count FROM (
         SELECT *, sum(CASE WHEN reached IS NULL OR s > reached + 30 THEN 1 ELSE 0 END) OVER (PARTITION BY person_id, ingredient_concept_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
         SELECT *, max(e) OVER (PARTITION BY person_id, ingredient_concept_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (
+        SELECT person_id, ingredient_concept_id, s, max(e) AS e FROM (
         SELECT ('0x' || substr(md5(person_id::VARCHAR), 1, 15))::BIGINT AS person_id, ('0x' || substr(md5('N06AB' || lpad((part % 20)::VARCHAR, 2, '0')), 1, 15))::BIGINT AS ingredient_concept_id, d AS s,
-        d + CASE WHEN l_linenumber = 7 THEN 30 WHEN l_linenumber = 6 THEN 0 ELSE floor(l_quantity)::INTEGER END - 1 AS e FROM ship WHERE part % 20 < 10) WHERE e >= s)) GROUP BY person_id, ingredient_concept_id, island"""),
+        d + CASE WHEN l_linenumber = 7 THEN 30 WHEN l_linenumber = 6 THEN 0 ELSE floor(l_quantity)::INTEGER END - 1 AS e FROM ship WHERE part % 20 < 10) WHERE e >= s GROUP BY person_id, ingredient_concept_id, s))) GROUP BY person_id, ingredient_concept_id, island"""),
     "sales_measures": """WITH g AS (SELECT l_returnflag AS atc_group, year(l_shipdate)::INTEGER AS year, l_linestatus AS sex, sum(l_quantity) AS ddd, count(DISTINCT l_orderkey)::DOUBLE AS n FROM lineitem GROUP BY 1, 2, 3),
         y AS (SELECT atc_group, year, avg(ddd * 365 / nullif(n, 0)) AS v, sum(ddd) AS ddd FROM g GROUP BY 1, 2)
         SELECT atc_group, year, round(v, 6) AS ddd_per_patient_year, ddd, round(v / max(v) FILTER (year = 1995) OVER (PARTITION BY atc_group) * 100, 6) AS index_to_base, round(ddd / sum(ddd) OVER (PARTITION BY year), 6) AS year_share FROM y""",
@@ -218,10 +233,22 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM group_mean) AS k, (SELECT sum(n) FROM group_mean) AS n,
         (SELECT avg(worst) FROM (SELECT a.g, max((x.d + y.d) / list_distance(a.m, b.m)) AS worst FROM group_mean a JOIN group_mean b ON a.g <> b.g JOIN group_spread x ON x.g = a.g JOIN group_spread y ON y.g = b.g GROUP BY 1)) AS db)"""),
     "kneedle": f"SELECT k, round(1 - (k - lo) / (hi - lo) - (value - vlo) / (vhi - vlo), 6) AS bend FROM (SELECT *, min(k) OVER ()::DOUBLE AS lo, max(k) OVER () AS hi, min(value) OVER () AS vlo, max(value) OVER () AS vhi FROM {_CURVE}) ORDER BY bend DESC, k LIMIT 1",
-    "second_differences": f"SELECT k, round(d, 6) AS second_difference FROM (SELECT k, lag(value) OVER (ORDER BY k) - 2 * value + lead(value) OVER (ORDER BY k) AS d FROM {_CURVE}) WHERE d IS NOT NULL",
+    "second_differences": f"SELECT k, round(d, 3) AS second_difference FROM (SELECT k, lag(value) OVER (ORDER BY k) - 2 * value + lead(value) OVER (ORDER BY k) AS d FROM {_CURVE}) WHERE d IS NOT NULL",
     "phenotype_ari": sql("""SELECT round(CASE WHEN (a + b) / 2 - a * b / t = 0 THEN 1 ELSE (x - a * b / t) / ((a + b) / 2 - a * b / t) END, 6) AS ari FROM (SELECT
         (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*)::DOUBLE AS n FROM typed GROUP BY discontinuation_phenotype, coalesce(dominant_state_w1, ''))) AS x,
         (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*)::DOUBLE AS n FROM typed GROUP BY discontinuation_phenotype)) AS a,
         (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*)::DOUBLE AS n FROM typed GROUP BY coalesce(dominant_state_w1, ''))) AS b,
         (SELECT count(*)::DOUBLE * (count(*) - 1) / 2 FROM typed) AS t)"""),
+    "sales_volumes": _SALES + """SELECT atc_group, year, round(volume, 6) AS volume, round(volume / max(volume) FILTER (year = 1995) OVER (PARTITION BY atc_group) * 100, 6) AS index_to_base,
+        round(volume / sum(volume) OVER (PARTITION BY year), 6) AS year_share FROM v""",
+    "sales_share_pivot": _SALES + "SELECT year, " + ", ".join(f"round(coalesce(sum(volume) FILTER (atc_group = '{x}'), 0) / sum(volume), 6) AS share_{x}" for x in "ANR") + " FROM v GROUP BY 1",
+    "sales_changes": _SALES + "SELECT atc_group, (SELECT min(year) FROM g) AS base_year, (SELECT max(year) FROM g) AS recent_year, round(b_all, 5) AS base_volume, round(r_all, 5) AS recent_volume, "
+        + ", ".join(f"round(CASE WHEN b_{p} > 0 THEN (r_{p} - b_{p}) / b_{p} * 100 END, 5) + 0.0::DOUBLE AS change_{p}" for p in ("all", "men", "women"))
+        + " FROM (SELECT atc_group, " + ", ".join(f"avg(ddd) FILTER (year = (SELECT {f}(year) FROM g) AND {c}) AS {y}_{p}" for y, f in (("b", "min"), ("r", "max")) for p, c in (("all", "TRUE"), ("men", "sex = 'm'"), ("women", "sex = 'w'"))) + " FROM g GROUP BY 1)",
+    "turnover_quantiles": sql("SELECT p::DOUBLE AS p, n_months, TRUE AS within_error FROM (SELECT count(turnover) AS n_months FROM moved) CROSS JOIN (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS p)"),
+    "era_gap_merge_hot": """SELECT l_suppkey::BIGINT AS l_suppkey, min(s) AS era_start_date, max(e) AS era_end_date, count(DISTINCT s) AS drug_exposure_count, 1::BIGINT AS gap_days FROM (
+        SELECT *, sum(CASE WHEN reached IS NULL OR s > reached + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (
+        SELECT l_suppkey, l_shipdate::DATE AS s, l_shipdate::DATE + (l_quantity % 3)::INTEGER AS e FROM lineitem))) GROUP BY l_suppkey, island""",
+    "lloyd_sweep": _lloyd_sql(5),
 }

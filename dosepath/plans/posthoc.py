@@ -40,15 +40,11 @@ def report(final: DataFrame, out: str, *, max_k: int = 8, seed: int = 42, names:
         "second_difference": ("k int, second_difference double", [tuple(r) for r in cluster.second_differences(curve).orderBy("k").collect()]),
         "kneedle": ("k int, bend double", [tuple(r) for r in cluster.kneedle(curve).collect()]),
     }
-    silhouettes, indices = [], []
-    arrays = unit.select("person_id", "features_cosine", vector_to_array("features_scaled").alias("z"))
-    columns = [f"z{i}" for i in range(len(names))]
-    for k, s, model in cluster.silhouette_grid(unit, range(2, max_k + 1), seed):
-        silhouettes.append((k, s))
-        labelled = model.transform(arrays).select("trajectory_cluster", *[F.col("z")[i].alias(c) for i, c in enumerate(columns)])
-        indices.append((k, *validity.cluster_indices(labelled, "trajectory_cluster", columns)))
+    silhouettes = [(k, s) for k, s, _ in cluster.silhouette_grid(unit, range(2, max_k + 1), seed)]
+    standard = stage(unit.select(vector_to_array("features_scaled").alias("z")), "standard")
+    indices = validity.index_table(standard, "z", range(2, max_k + 1), seed=seed)  # refitted, on rows that are not of unit length
     found["silhouette"] = ("k int, silhouette double", silhouettes)
-    found["indices"] = ("k int, calinski_harabasz double, davies_bouldin double", indices)
+    found["indices"] = ("k int, inertia double, calinski_harabasz double, davies_bouldin double", indices)
     importance = validity.anova(rows, "trajectory_cluster", names).orderBy(F.desc("eta_squared"), "feature")
     found["importance"] = ("feature string, f_value double, eta_squared double, df_between long, df_within long", [tuple(r) for r in importance.collect()])
     profile = validity.centroids(rows, "trajectory_cluster", names).orderBy("trajectory_cluster")

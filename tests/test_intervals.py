@@ -1,7 +1,11 @@
 import datetime as dt
+import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from dosepath.operators import intervals
 
 DAY = dt.date(2020, 1, 1)
@@ -61,3 +65,34 @@ def test_raw_eras_count_rows_and_use_the_drug(spark):
     df = spark.createDataFrame([(1, 7, day(0), None), (1, 7, day(0), day(3)), (1, 7, day(20), day(22))], schema)
     (r,) = intervals.raw_drug_eras(df).collect()
     assert (r.ingredient_concept_id, r.era_end_date, r.drug_exposure_count, r.gap_days) == (7, day(22), 3, 0)
+
+
+@pytest.mark.parametrize("distinct_starts", [True, False])
+def test_hot_keys_in_pieces_equal_one_window(spark, distinct_starts):
+    r = random.Random(4)
+    rows = []
+    for person, n, span in ((1, 3000, 2000), (2, 40, 300), (None, 2500, 40_000), (3, 2000, 1)):  # dense, small, null and of one day
+        for _ in range(n):
+            s = r.randrange(span)
+            rows.append((person, r.choice([7, 8]), dt.date(2000, 1, 1) + dt.timedelta(s), dt.date(2000, 1, 1) + dt.timedelta(s + r.choice([0, 3, 40, 900 if r.random() < 0.01 else 5]))))
+    df = spark.createDataFrame(rows, "person_id long, ingredient_concept_id long, era_start_date date, era_end_date date").repartition(5)
+    want = sorted(map(str, intervals.gap_merged(df, 2, distinct_starts=distinct_starts).collect()))
+    got = sorted(map(str, intervals.gap_merged(df, 2, distinct_starts=distinct_starts, hot_rows=500).collect()))
+    assert got == want
+    assert sorted(map(str, intervals.gap_merged(df, 2, distinct_starts=distinct_starts, hot_rows=10**6).collect())) == want
+
+
+def test_a_million_eras_of_one_person_go_over_several_tasks(spark):
+    start = F.date_add(F.lit("1000-01-01").cast("date"), (F.pmod(F.xxhash64("id"), F.lit(2_500_000))).cast("int"))
+    df = spark.range(1_000_000).select(F.lit(1).cast("long").alias("person_id"), F.lit(5).cast("long").alias("ingredient_concept_id"), start.alias("era_start_date"), F.date_add(start, 1).alias("era_end_date"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plain = intervals.gap_merged(df, 0)
+        pieces = intervals.gap_merged(df, 0, hot_rows=100_000)
+        digest = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("era_start_date", "era_end_date", "drug_exposure_count").cast("decimal(38,0)"))).first()
+        assert digest(pieces) == digest(plain) and digest(plain)[0] > 100_000
+        tasks = pieces.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()
+        assert len(tasks) > 1 and max(t["count"] for t in tasks) < 0.6 * sum(t["count"] for t in tasks)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

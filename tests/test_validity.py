@@ -2,6 +2,8 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from dosepath.functions.columns import jaccard_distance
 from dosepath.operators import cluster, validity
 
@@ -74,3 +76,47 @@ def test_anova_leaves_out_nulls_of_a_feature(spark):
     assert (got["x"].df_between, got["x"].df_within) == (1, 2) and got["x"].f_value == pytest.approx(18.0)
     assert (got["y"].df_between, got["y"].df_within) == (2, 1)
     assert got["x"].p_value == pytest.approx(validity.f_tail(18.0, 1, 2))
+
+
+def test_sales_changes_pair_first_and_last_year(spark):
+    rows = [("A", 2000, "Male", 10.0), ("A", 2000, "Female", 30.0), ("A", 2010, "male", 20.0), ("A", 2010, "Kvinder", 30.0), ("B", 2000, "men", 0.0), ("B", 2010, "Men", 5.0), ("C", 2005, "Women", 4.0)]
+    doses = spark.createDataFrame([*rows, ("A", 1990, "Male", 99.0)], "atc_group string, year int, sex string, value double")  # no users in 1990
+    users = spark.createDataFrame(rows, "atc_group string, year int, sex string, value double")
+    got = {r.atc_group: r for r in validity.sales_changes(users, doses).collect()}
+    assert {(r.base_year, r.recent_year) for r in got.values()} == {(2000, 2010)}
+    assert (got["A"].base_volume, got["A"].recent_volume, got["A"].change_all, got["A"].change_men, got["A"].change_women) == (20.0, 25.0, 25.0, 100.0, 0.0)
+    assert (got["B"].base_volume, got["B"].recent_volume, got["B"].change_all, got["B"].change_men, got["B"].change_women) == (0.0, 5.0, None, None, None)
+    assert (got["C"].base_volume, got["C"].recent_volume, got["C"].change_all) == (None, None, None)
+    volumes = validity.sales_volumes(users, doses, 2000)
+    assert {(r.atc_group, r.year): r.index_to_base for r in volumes.collect()} == {("A", 2000): 100.0, ("A", 2010): 125.0, ("B", 2000): None, ("B", 2010): None, ("C", 2005): None}
+    shares = {r.year: tuple(r)[1:] for r in validity.share_pivot(volumes, ["A", "B", "X"]).collect()}
+    assert shares == {2000: (1.0, 0.0, 0.0), 2010: (25 / 30, 5 / 30, 0.0)}
+
+
+@pytest.mark.parametrize("error", [0.005, 0.05])
+def test_sketched_quantiles_keep_their_rank(spark, error):
+    """Distinct values by the hundred thousand: ranks stay within the error."""
+    df = spark.range(300_000).select(F.when(F.col("id") % 7 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double")).alias("t")).repartition(12)
+    for r in validity.sketched_quantiles(df, "t", [0.0, 0.1, 0.5, 0.99, 1.0], error).collect():
+        assert r.rank_low - error <= r.p <= r.rank_high + error
+    ties = spark.range(1000).select(F.lit(2.0).alias("t"))
+    assert {(r.value, r.rank_low, r.rank_high) for r in validity.sketched_quantiles(ties, "t", [0.1, 0.9]).collect()} == {(2.0, 0.0, 1.0)}
+    assert [r.value for r in validity.sketched_quantiles(ties.limit(0), "t", [0.5]).collect()] == [None]
+
+
+def test_elbow_of_a_literal_curve(spark):
+    curve = spark.createDataFrame([(2, 100.0), (3, 60.0), (4, 38.0), (5, 30.0), (6, 26.0), (7, 24.0)], "k int, value double")
+    assert [(r.k, round(r.bend, 6)) for r in cluster.kneedle(curve).collect()] == [(4, 0.415789)]
+    assert {r.k: r.second_difference for r in cluster.second_differences(curve).collect()} == {3: 18.0, 4: 14.0, 5: 4.0, 6: 2.0}
+
+
+@pytest.mark.parametrize("f, a, b", [(0.5, 3, 40), (4.0, 3, 40), (1.0, 1, 5), (30.0, 6, 738), (2.2, 7, 7)])
+def test_f_tail_equals_numeric_integration(f, a, b):
+    """The density of Fisher's distribution, summed by Simpson's rule on t = 1 / (1 + x)."""
+    log_c = math.lgamma((a + b) / 2) - math.lgamma(a / 2) - math.lgamma(b / 2) + a / 2 * math.log(a / b)
+    density = lambda x: math.exp(log_c + (a / 2 - 1) * math.log(x) - (a + b) / 2 * math.log1p(a * x / b))
+    top, n = 1 / (1 + f), 200_000
+    h = top / n
+    value = lambda t: 0.0 if t <= 0 else density(1 / t - 1) / t**2
+    total = sum((4 if i % 2 else 2) * value(i * h) for i in range(1, n)) + value(0) + value(top)
+    assert math.isclose(validity.f_tail(f, a, b), total * h / 3, rel_tol=1e-4, abs_tol=1e-12)
