@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dosepath.config import Settings
 from dosepath.functions.columns import atc_ingredient_id, md5_id
-from dosepath.operators import cluster, cohort, events, features, grid, intervals, lloyd, validity
+from dosepath.operators import cluster, cohort, events, features, grid, intervals, layout, lloyd, validity
 from dosepath.oracles import _MEANS, _PROFILE, ORACLES
-from dosepath.plans import trajectory
-from dosepath.plans.staging import stage
+from dosepath.plans import external, trajectory
+from dosepath.plans.staging import shared_dir, stage
 from dosepath.schemas import FEATURES, STATES, WINDOWS
-from dosepath.sources import registers, testdata
+from dosepath.sources import omop, registers, testdata
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -63,6 +64,42 @@ def _months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return grid.month_grid(run["eligible"], SETTINGS.followup_months), grid.era_months(run["clipped"], SETTINGS.followup_months)
 
 
+@query
+def standardised_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposures as a raw file has them (text, British dates, another name of the person) and cast again."""
+    text = lambda c: F.date_format(c, "dd/MM/yyyy").alias(c)
+    rows = testdata.exposures(spark, sf_dir)
+    raw = rows.select(F.col("person_id").cast("string").alias("eid"), F.col("drug_concept_id").cast("string").alias("drug_concept_id"), text("drug_exposure_start_date"), text("drug_exposure_end_date"), F.concat("days_supply", F.lit(".0")).alias("days_supply"), (F.col("days_supply") / 2).cast("string").alias("quantity"))
+    eras, observation, death = testdata.inputs(spark, sf_dir, staged=False)
+    names = {"era_start_date": "drug_era_start_date", "era_end_date": "drug_era_end_date"}
+    tables = {"drug_era": eras.withColumnsRenamed(names), "drug_exposure": raw, "observation_period": observation, "death": death, "concept": testdata.concepts(spark, sf_dir), "concept_ancestor": testdata.ancestors(spark, sf_dir)}
+    return omop.standardised(tables, british_dates=True)["drug_exposure"]
+
+
+def _external(spark: SparkSession, sf_dir: str) -> str:
+    """An external folder of the adapter's eras, described, and of observation periods and deaths."""
+    folder = f"{shared_dir(spark)}/external-{uuid.uuid4().hex[:12]}"
+    eras, observation, death = testdata.inputs(spark, sf_dir, staged=False)
+    kind = F.when(F.col("person_id") % 9 == 0, "acute_antibiotic")  # else as a table without it
+    described = eras.withColumnsRenamed({"era_start_date": "drug_era_start_date", "era_end_date": "drug_era_end_date"}).withColumn("archetype", kind)
+    for name, df in (("drug_era", described), ("observation_period", observation), ("death", death)):
+        df.write.parquet(f"{folder}/{name.upper()}.parquet")
+    return folder
+
+
+@query
+def external_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omop.external_eras(spark, _external(spark, sf_dir), fmt="parquet")
+
+
+@query
+def external_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run on an external folder with deaths, and whether its controls, chosen by archetype, are evaluable."""
+    found = external.run(spark, _external(spark, sf_dir), SETTINGS, controls=["acute_antibiotic"], fixed_k=2)
+    checked = found["negative_controls"]
+    return spark.createDataFrame([(found["final_person"].count(), checked["n_violations"], checked["passed"])], "n_persons long, n_violations long, passed boolean")
+
+
 @query
 def exposure_end_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.imputed_exposures(testdata.exposures(spark, sf_dir))
@@ -472,6 +509,12 @@ def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(cluster.scaled(_persons(spark, sf_dir)).select("person_id", vector_to_array("features_scaled").alias("z"), vector_to_array("features_cosine").alias("u")), "standard")
 
 
+@query
+def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons on a plane where neighbours stay near each other."""
+    return layout.neighbour_layout(_standard(spark, sf_dir), "u", keep=["person_id"], seed=SETTINGS.seed)
+
+
 @query
 def lloyd_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all k after five rounds, from the first k persons' vectors, advanced together."""

@@ -251,4 +251,7 @@ ORACLES: dict[str, str] = {
         SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (
         SELECT l_suppkey, l_shipdate::DATE AS s, l_shipdate::DATE + (l_quantity % 3)::INTEGER AS e FROM lineitem))) GROUP BY l_suppkey, island""",
     "lloyd_sweep": _lloyd_sql(5),
+    "standardised_exposures": sql("SELECT person_id, drug_concept_id::BIGINT AS drug_concept_id, s AS drug_exposure_start_date, e AS drug_exposure_end_date, days_supply, days_supply::DOUBLE / 2 AS quantity FROM drug_exposure"),
+    "external_eras": sql(f"SELECT {_ERA}, NULL::VARCHAR AS ingredient_name, NULL::VARCHAR AS atc_group, CASE WHEN person_id % 9 = 0 THEN 'acute_antibiotic' ELSE 'external_omop' END AS archetype FROM era"),
+    "external_controls": sql("SELECT count(*) AS n_persons, count(*) FILTER (disc_evaluable AND person_id % 9 = 0) AS n_violations, count(*) FILTER (disc_evaluable AND person_id % 9 = 0) = 0 AS passed FROM typed"),
 }

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from dosepath.config import Settings
-from dosepath.operators import cluster, validity
+from dosepath.operators import cluster, layout, validity
 from dosepath.plans import sinks, trajectory
 from dosepath.plans.staging import stage
 from dosepath.schemas import FEATURES_LEGACY
@@ -28,6 +28,12 @@ def components(final: DataFrame, k: int = 2, names: Sequence[str] = FEATURES_LEG
     return out.select("person_id", "trajectory_cluster", *[F.col("pc")[i].alias(f"pc_{i + 1}") for i in range(k)])
 
 
+def neighbour_components(final: DataFrame, k: int = 2, names: Sequence[str] = FEATURES_LEGACY, *, seed: int = 42) -> DataFrame:
+    """person_id, trajectory_cluster and coordinates at_1 .. that keep neighbours of the unit vectors near each other."""
+    unit = cluster.scaled(prepared(final, names)[0], names).select("person_id", "trajectory_cluster", vector_to_array("features_cosine").alias("u"))
+    return layout.neighbour_layout(stage(unit, "unit"), "u", keep=["person_id", "trajectory_cluster"], dims=k, seed=seed)
+
+
 def report(final: DataFrame, out: str, *, max_k: int = 8, seed: int = 42, names: Sequence[str] = FEATURES_LEGACY) -> dict[str, list[tuple]]:
     """Write and return the elbow, second differences, silhouettes, indices, importances and profiles as small CSV tables."""
     spark = final.sparkSession

@@ -166,3 +166,12 @@ def external_persons(spark: SparkSession, folder: str, *, fmt: str = "csv") -> D
     df = _with_columns(spark, path, {"person_id"})
     number = lambda c, v: (F.col(c) if c in df.columns else F.lit(v)).cast("int").alias(c)
     return df.select(F.col("person_id").cast("long"), number("year_of_birth", 1970), number("gender_concept_id", 0))
+
+
+def external_deaths(spark: SparkSession, folder: str, *, fmt: str = "csv") -> DataFrame | None:
+    """Deaths of an external data model, one a person (the earliest), or None where it has no such table."""
+    path = find_table(spark, folder, "death", fmt)
+    if path is None:
+        return None
+    df = _with_columns(spark, path, {"person_id", "death_date"})
+    return single_deaths(df.select(F.col("person_id").cast("long"), lenient_date(F.col("death_date")).alias("death_date")))

@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from dosepath.operators import cluster, lloyd, validity
+from dosepath.operators import cluster, layout, lloyd, validity
 
 
 def blobs(n, k, d, seed, apart=6.0):
@@ -123,3 +123,44 @@ def test_a_leaf_that_the_sample_misses(spark, monkeypatch):
     monkeypatch.setattr(lloyd.sampled, "__defaults__", (3,))
     x = blobs(300, 6, 3, 8)
     assert len(lloyd.divisive(frame(spark, x), "z", 6).curve) == 6
+
+
+def trustworthiness(x, y, k=12):
+    """1 where no row has new neighbours in the layout, by how far away they are in ``x``."""
+    n = len(x)
+    far = lambda v: ((v[:, None] - v[None]) ** 2).sum(axis=2) + np.diag(np.full(n, np.inf))
+    rank = far(x).argsort(axis=1).argsort(axis=1) + 1
+    near = far(y).argsort(axis=1)[:, :k]
+    return 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * np.maximum(np.take_along_axis(rank, near, axis=1) - k, 0).sum()
+
+
+@pytest.mark.parametrize("shape", ["roll", "blobs"])
+def test_layout_keeps_neighbours_better_than_principal_components(spark, shape):
+    rng = np.random.default_rng(2)
+    if shape == "roll":  # a strip rolled up in space
+        t = rng.uniform(1.5 * np.pi, 4.5 * np.pi, size=900)
+        x = np.c_[t * np.cos(t), t * np.sin(t), rng.uniform(0, 4, size=900), rng.normal(size=(900, 3)) * 0.05]
+    else:
+        x = blobs(900, 7, 9, 4, apart=2.5)
+    df = frame(spark, x)
+    got = layout.neighbour_layout(df, "z", keep=["person_id"]).orderBy("person_id").collect()
+    y = np.array([[r.at_1, r.at_2] for r in got])
+    centred = x - x.mean(axis=0)
+    pca = centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    assert trustworthiness(x, y) > trustworthiness(x, pca), (trustworthiness(x, y), trustworthiness(x, pca))
+    again = np.array([[r.at_1, r.at_2] for r in layout.neighbour_layout(df.repartition(3), "z", keep=["person_id"]).orderBy("person_id").collect()])
+    assert np.allclose(y, again, atol=1e-6)
+
+
+def test_layout_of_few_rows(spark):
+    assert layout.neighbour_layout(frame(spark, np.ones((4, 2))), "z", keep=["person_id"]).select("at_1", "at_2").distinct().collect() == [(0.0, 0.0)]
+    assert layout.neighbour_layout(frame(spark, np.eye(3)), "z").count() == 3
+    assert layout.neighbour_layout(frame(spark, np.eye(3)).limit(0), "z").count() == 0
+
+
+def test_power_iteration_equals_eigenvectors():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(60, 30))
+    m = a @ a.T
+    values, vectors = layout.leading(m, 3)
+    assert np.allclose(values, np.linalg.eigvalsh(m)[::-1][:3]) and np.allclose(m @ vectors, vectors * values, atol=1e-3)

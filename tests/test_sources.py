@@ -6,7 +6,7 @@ import pytest
 from dosepath import config
 from dosepath.config import Settings
 from dosepath.plans import external, trajectory
-from dosepath.sources import omop, registers
+from dosepath.sources import omop, rawmodel, registers
 
 D = dt.date.fromisoformat
 
@@ -141,3 +141,63 @@ def test_configuration_names_every_missing_key():
         config.settings_of({"project": {"output_dir": "o"}, "paths": {}, "analysis": {"washout_days": 1, "maintenance_min_total_days": 2}, "clustering": {"k_grid": [2], "seed": 1}})
     s = config.settings_of({"project": {"output_dir": "o"}, "paths": {"omop_dir": "x"}, "analysis": {"washout_days": 1, "followup_months": 12, "maintenance_min_total_days": 2}, "clustering": {"k_grid": [2, 3], "seed": 1, "final_k": 3}, "phenotype": {"switch_high": 0.7}})
     assert (s.washout_days, s.followup_months, s.k_grid, s.final_k, s.switch_high) == (1, 12, (2, 3), 3, 0.7)
+
+
+def test_raw_model_files_are_read_again(spark, tmp_path):
+    paths = rawmodel.write(spark, str(tmp_path / "raw"), 300, seed=3)
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir() if not p.name.endswith(".crc")) == sorted(rawmodel.FILES.values())
+    made = rawmodel.tables(spark, 300, seed=3)
+    for name, path in paths.items():
+        with (gzip.open if path.endswith(".gz") else open)(path, "rt") as f:
+            lines = f.read().splitlines()
+        assert lines[0] == ",".join(made[name].columns) and len(lines) - 1 == made[name].count()
+        back = spark.read.schema(made[name].schema).option("header", True).csv(path)
+        assert sorted(map(str, back.collect())) == sorted(map(str, made[name].collect()))
+    raw = rawmodel.configuration(str(tmp_path / "raw"))
+    t = omop.standardised(omop.load_tables(spark, raw))
+    assert t["have_death"] and t["ingredients"].count() == 10 and t["drug_era"].count() == made["drug_era"].count()
+    assert made["drug_era"].select("drug_era_id").distinct().count() == made["drug_era"].count()
+    assert made["drug_exposure"].select("drug_exposure_id").distinct().count() == made["drug_exposure"].count()
+    # exposures lie in observation, and the eras are those of the exposures
+    inside = made["drug_exposure"].join(made["observation_period"], "person_id").where("drug_exposure_start_date < observation_period_start_date or drug_exposure_end_date > observation_period_end_date")
+    assert inside.count() == 0
+    found = trajectory.run_omop(t, Settings(k_grid=(2,)), sensitivity=True)
+    assert found["comparison"].where("same_phenotype = 0").count() == 0 < found["comparison"].count()
+
+
+def test_named_csv_replaces_what_is_there_and_leaves_nothing_beside(spark, tmp_path):
+    from dosepath.plans import sinks
+
+    path = str(tmp_path / "t.csv.gz")
+    df = spark.range(5000).selectExpr("id", "concat('a,\"', id, '\"') as s", "cast(null as string) as n").repartition(7)
+    for rows in (df, df.limit(10), df.limit(0)):
+        assert sinks.write_named_csv(rows, path) == path
+        with gzip.open(path, "rt") as f:
+            lines = f.read().splitlines()
+        assert lines[0] == "id,s,n" and len(lines) == rows.count() + 1
+        back = spark.read.schema(df.schema).option("header", True).option("escape", "\\").csv(path)
+        assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["t.csv.gz"]
+
+
+def test_stub_vocabulary(spark, tmp_path):
+    paths = rawmodel.write_stub_vocabulary(spark, str(tmp_path))
+    t = {k: omop.read_table(spark, v) for k, v in paths.items()}
+    assert t["concept"].count() == t["concept_ancestor"].count() == 9
+    assert t["concept"].where("concept_code = concat('SYN_', concept_id) and invalid_reason is null").count() == 9
+
+
+def test_external_run_takes_deaths_and_controls(spark, tmp_path):
+    (tmp_path / "Drug_Era.csv").write_text("person_id,ingredient_concept_id,drug_era_start_date,drug_era_end_date,archetype\n1,10,2020-01-01,2021-06-30,acute_antibiotic\n2,10,2020-01-01,2020-01-09,acute_antibiotic\n3,10,2020-01-01,2021-06-30,\n4,10,2020-01-01,2021-06-30,other\n")
+    (tmp_path / "observation_period.csv").write_text("person_id,observation_period_start_date,observation_period_end_date\n" + "".join(f"{p},2018-01-01,2023-01-01\n" for p in (1, 2, 3, 4)))
+    (tmp_path / "death.csv").write_text("person_id,death_date\n3,2020-05-01\n3,2020-03-01\n4,bad\n")
+    s = Settings(k_grid=(2,))
+    found = external.run(spark, str(tmp_path), s, fmt="csv", controls=["acute_antibiotic"], fixed_k=2)
+    assert found["negative_controls"] == {"passed": False, "n_violations": 1, "violations": [1]}
+    assert {r.person_id: r.censor_date for r in found["eligible"].collect()}[3] == D("2020-03-01")
+    none = external.run(spark, str(tmp_path), s, fmt="csv", deaths=False, controls=["no such"], fixed_k=2)
+    assert none["negative_controls"]["passed"] and {r.person_id: r.censor_date for r in none["eligible"].collect()}[3] > D("2020-03-01")
+    out = str(tmp_path / "out")
+    assert sorted(external.export(spark, str(tmp_path), out, deaths=True)) == ["death", "drug_era", "observation_period"]
+    assert [tuple(r) for r in omop.external_deaths(spark, out, fmt="parquet").collect()] == [(3, D("2020-03-01"))]
+    assert external.configuration("x", out, s, deaths=True)["files"]["death"] == "death.parquet"
