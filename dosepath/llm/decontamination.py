@@ -135,7 +135,8 @@ def text_key(text: Column) -> Column:
 
 def marked(docs: DataFrame, items: DataFrame, *, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with hit_spans and hit_items as ``found`` has them (empty where nothing is hit), n_words and n_hit in place of columns so named."""
-    hits = found(docs, items, n=n, text=text, item_id=item_id, item_text=item_text)
+    # written, so that the planner sees its size, and can split the copies of a text over tasks
+    hits = stage(found(docs, items, n=n, text=text, item_id=item_id, item_text=item_text), "hits")
     key = max([*docs.columns, "key"], key=len) + "_"  # no column's name
     hits = hits.select(F.col("text_key").alias(key), F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items"))
     out = docs.drop("hit_spans", "hit_items", "n_words", "n_hit")
