@@ -43,7 +43,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 KINDS = ["assign", "access", "hex", "random"]
 
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
+KEY = "".join(c for c in map(chr, range(128)) if c.isalnum()) + r"+/_\-"  # listed one by one, they are one look-up in a set of bits
+TOKEN = f"(?<![{KEY}])[{KEY}]{{16,}}+"
 SEPARATORS = r"[+/_-]+"
 LEAST = 16  # characters of a key
 ORDINARY = r"(?<![\p{L}\p{N}+])[A-Z]?[a-z]{2,14}+(?![\p{L}\p{N}+])"
@@ -184,11 +185,19 @@ def ordinary_keys(words: DataFrame, n_words: int, lengths: list[int], encodings:
     """
     dealt = words.groupBy(F.pmod(F.xxhash64("word", F.lit(1)), F.lit(-(-n_words // DEALT))).alias("deal")).agg(F.sort_array(F.collect_list("word")).alias("others"))
     rounds = -(-NULLS * len(lengths) // n_words)
-    made = dealt.select("others", F.explode("others").alias("word")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    draw = lambda *x: F.xxhash64("word", "round", *[F.lit(y) if isinstance(y, (int, str)) else y for y in x])
-    line = F.transform(F.sequence(F.lit(0), F.lit(max(lengths) // 3)), lambda i: F.when(i == 0, F.col("word")).otherwise(F.get("others", F.pmod(draw(i), F.size("others").cast("long")).cast("int"))))
+    draw_of = lambda word, at, *x: F.xxhash64(word, at, *[F.lit(y) if isinstance(y, (int, str)) else y for y in x])
+    draw = lambda *x: draw_of(F.col("word"), F.col("round"), *x)
+
+    def lines(word: Column) -> Column:
+        """The words of each round's token; made beside the others, which no row carries with it."""
+        other = lambda at, i: F.get("others", F.pmod(draw_of(word, at, i), F.size("others").cast("long")).cast("int"))
+        line = lambda at: F.transform(F.sequence(F.lit(0), F.lit(max(lengths) // 3)), lambda i: F.when(i == 0, word).otherwise(other(at, i)))
+        return F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda at: F.struct(word.alias("word"), at.alias("round"), line(at).alias("line")))
+
+    made = dealt.select(F.inline(F.flatten(F.transform("others", lines))))
+    made = made.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word", "round")  # a deal's tokens are tested by many tasks
     digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(max(lengths) // 16 + 1)), lambda i: F.substring(F.lpad(F.pmod(draw("d", i), F.lit(10**17)).cast("string"), 17, "0"), 2, 16)), "")
-    made = made.select("word", "round", line.alias("line"), digits.alias("digits"))
+    made = made.select("word", "round", "line", digits.alias("digits"))
     joined = F.explode(F.array(*[x for names, x in (({"base36", "base32", "hex"}, F.array_join("line", "")), ({"base64"}, F.array_join(F.transform("line", F.initcap), ""))) if names & encodings]))
     made = made.select("word", "round", "digits", joined.alias("joined"))
     made = made.withColumn("length", F.get(F.array(*[F.lit(n) for n in lengths]), F.pmod(draw("l"), F.lit(len(lengths))).cast("int")))
