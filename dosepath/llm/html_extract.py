@@ -13,8 +13,10 @@ Pages of one content (their words outside marked boilerplate are equal) are one
 page to the runs.  Near copies are told from boilerplate by what they share: of every
 run the least and the greatest content that hold it are known.  The content that is so
 for most of a page's runs is taken as a copy of the page, not as a page with the same
-boilerplate, if these runs cover two thirds of what the page's other runs leave.  A
-page with next to nothing of its own is therefore a copy of another one like it.
+boilerplate, if these runs cover COPY_NUM of COPY_DEN parts of what the page's other
+runs leave.  Of two pages of one size that is a similarity of 0.75, where near copies
+begin: a page of more boilerplate than that is a near copy of another one like it,
+and keeps its text; any page of less loses its boilerplate.
 
 Open blocks that repeated runs cover for the greater part are boilerplate; the
 unique ones are kept.  The markup then has the last word where it speaks: blocks
@@ -55,6 +57,7 @@ MOST_BROADCAST = 100_000
 NO_ROWS = pa.table({"data": pa.array([], pa.binary())})
 PACK_BYTES = 8 << 20  # of html that is packed at once
 SENT_AT_ONCE = 4_000_000  # hashes that a task holds before it sends them
+COPY_NUM, COPY_DEN = 6, 7  # shared parts s of two equal sizes are alike by s / (2 - s): 0.75 at 6/7
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
@@ -213,7 +216,7 @@ def shared_with_others(content: int, low: np.ndarray, high: np.ndarray, run: int
             names, at, times = np.unique(side[other], return_inverse=True, return_counts=True)
             most = at == times.argmax()
             ours, all_ = (int(covered_by(x, run, n).sum()) for x in (other[most], other))
-            copy = ours * 3 >= (n - (all_ - ours)) * 2
+            copy = ours * COPY_DEN >= (n - (all_ - ours)) * COPY_NUM
             found[other[~most] if copy else other] = True
     return found
 

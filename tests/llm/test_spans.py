@@ -341,6 +341,19 @@ def test_a_copied_page_without_markup_keeps_its_text(spark):
     assert {x.text for x in html_extract.extracted(df).collect()} == {page[3:-4]}
 
 
+@pytest.mark.parametrize("shared, own", [(60, 25), (100, 40), (60, 35), (120, 24)])
+def test_pages_that_are_mostly_boilerplate_lose_it_and_copies_keep_their_text(spark, shared, own):
+    r = random.Random(41)
+    block, texts = words(r, shared), [words(r, own) for _ in range(30)]
+    long = words(r, 200).split()
+    near = [" ".join([*long[: 40 * k], f"new{k}", *long[40 * k + 1 :]]) for k in range(5)]  # copies with a word changed
+    rows = [(i, f"http://d.org/{i}", f"<div>{block}</div><div>{t}</div>") for i, t in enumerate(texts + near)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1000, 9):
+        got = {x.page_id: x.text for x in html_extract.extracted(df, group_pages=size).collect()}
+        assert [got[i] for i in range(35)] == texts + near
+
+
 def test_block_shared_by_two_pages_of_a_hot_host(spark):
     r = random.Random(33)
     shared = words(r, 30)
