@@ -16,7 +16,8 @@ or more), so near copies do not make every word of theirs a disclosing one.
 
 Values that fewer than ``support`` texts hold cannot support a term alone.  Those
 of them that stand in one text (of at most ``record`` values) are taken as one
-entity, as the address and the number of a person are.
+entity, as the address and the number of a person are, unless texts chain more than
+``record`` values so: these are several persons', and each value stays its own.
 
 Texts of candidate terms are counted last and exactly: texts with entities, then
 a hashed part of all texts, give lower bounds of P(t), which rule most terms out.
@@ -49,6 +50,8 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]{3,}+"
 LETTERS = 4  # a term of fewer letters names nothing
 SHINGLE, NUM, DEN = 5, 40, 100  # texts of this similarity or more are one context; independent ones share phrases only
+SKETCH = 24  # least hashes of a set by which near copies meet; two of similarity 0.4 share none with a chance of 0.6 ** 24 = 5e-6
+RUNS = (1, 2, 4)  # so many neighbours of a sketch make one key
 PARTS = 16  # of all texts one part gives a lower bound of a term's texts
 MOST_BROADCAST = 1_000_000  # hashes of terms, 8 MB; more are joined by a shuffle
 
@@ -128,18 +131,32 @@ def _shingles(text: Column) -> Column:
     return F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), made)[0]
 
 
+def _heads(grams: Column) -> Column:
+    """Keys by which near copies meet: the least hashes of a set, alone and in runs of neighbours."""
+    least = F.slice(grams, F.lit(1), F.lit(SKETCH))
+
+    def runs(n: int) -> Column:
+        at = F.sequence(F.lit(0), F.size(least) - n)
+        return F.when(F.size(least) >= n, F.transform(at, lambda i: F.xxhash64(F.lit(n), *[F.get(least, i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.concat(*map(runs, RUNS))
+
+
 def near_copies(holders: DataFrame) -> DataFrame:
     """(node, root): classes of near copies among the documents of an entity; documents without one are absent.
 
-    holders: (key, __text, entities).  node is xxhash64(entity, key).  Near copies
-    share an n-gram of their prefixes; of each such n-gram all documents of the
-    entity are compared, by their whole sets, with the least one: no pairs of all.
+    holders: (key, __text, entities).  node is xxhash64(entity, key).  Of each key of
+    a sketch all documents of the entity are compared, by their whole sets, with two of
+    them, which a hash draws anew for each key: no pairs of all.  Keys of several hashes
+    bring together texts that are closer to each other than to those drawn for a single
+    hash, as copies of one letter on a form that thousands of other letters use.
     """
     sets = stage(holders.withColumn("grams", _shingles(F.col("__text"))).select("key", "grams", F.explode("entities").alias("entity")).select("entity", F.xxhash64("entity", "key").alias("node"), "grams"), "shingles")
-    prefix = F.size("grams") - F.ceil(F.size("grams") * NUM / DEN).cast("int") + 1
-    heads = sets.select("entity", "node", F.explode(F.slice("grams", F.lit(1), prefix)).alias("gram"))
-    hubs = heads.groupBy("entity", "gram").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = heads.join(hubs, ["entity", "gram"]).where("node <> hub").select("node", "hub").distinct()
+    heads = sets.select("entity", "node", F.size("grams").alias("size"), F.explode(_heads(F.col("grams"))).alias("head"))
+    drawn = F.struct(F.xxhash64("head", "node").alias("order"), "node", "size")
+    hubs = heads.groupBy("entity", "head").agg(F.array(F.min(drawn), F.max(drawn)).alias("hubs"), F.count("*").alias("n")).where("n > 1").drop("n")
+    alike = DEN * F.least("size", "hub.size") >= NUM * F.greatest("size", "hub.size")
+    pairs = heads.join(hubs, ["entity", "head"]).withColumn("hub", F.explode("hubs")).where(F.col("node") != F.col("hub.node")).where(alike).select("node", F.col("hub.node").alias("hub")).distinct()
     of = sets.select("node", "grams")
     both = pairs.join(of, "node").join(of.select(F.col("node").alias("hub"), F.col("grams").alias("others")), "hub")
     shared = F.size(F.array_intersect("grams", "others"))
@@ -147,11 +164,12 @@ def near_copies(holders: DataFrame) -> DataFrame:
 
 
 def _linked(each: DataFrame, support: int, record: int) -> DataFrame:
-    """(key, entity) with the rare entities that texts of few ones hold together made one."""
+    """(key, entity) with the rare entities that texts of few ones hold together made one, where they are no more than ``record``."""
     rare = each.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") < support).select("entity")
     sets = each.join(rare, "entity", "left_semi").groupBy("key").agg(F.slice(F.collect_set("entity"), 1, record + 1).alias("own"))
     sets = sets.where(F.size("own").between(2, record))
     roots = components(sets.select(F.array_min("own").alias("a"), F.explode("own").alias("b")), "a", "b")
+    roots = roots.join(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= record).select("root"), "root", "left_semi")
     return each.join(roots.withColumnRenamed("node", "entity"), "entity", "left").select("key", F.coalesce("root", "entity").alias("entity")).distinct()
 
 

@@ -156,6 +156,36 @@ def test_rare_entities_of_one_text_are_one(spark):
     assert not any(told_terms(spark, plain + texts, record=1).values())
 
 
+def test_values_chained_over_many_texts_are_no_entity(spark):
+    r = random.Random(37)
+    plain = [words(r, 40) for _ in range(300)]
+    chain = lambda n: [f"{words(r, 20)} Zworykin p{i}@host.example.org p{i + 1}@host.example.org {words(r, 20)}" for i in range(n)]
+    got = told_terms(spark, plain + chain(6))  # seven values of one record
+    assert all(got[300 + i] == ["zworykin"] for i in range(6))
+    assert not any(told_terms(spark, plain + chain(40)).values())  # a directory: each value is held by two texts
+
+
+def test_near_copies_of_letters_on_shared_forms(spark):
+    """Links of 0.4 or more among 400 letters of paragraphs of one pool: hardly one is lost, and none is made up."""
+    from itertools import combinations
+
+    r = random.Random(5)
+    pool = [words(r, 25) for _ in range(14)]
+    texts = [" ".join([*r.sample(pool, r.randint(4, 9)), words(r, r.randint(10, 60))]) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, ["email:x"]) for i, t in enumerate(texts)], "key long, __text string, entities array<string>")
+    node = {x.key: x.n for x in df.select("key", F.xxhash64(F.lit("email:x"), "key").alias("n")).collect()}
+    root = {x.node: x.root for x in pii.near_copies(df).collect()}
+    got = [root.get(node[i], node[i]) for i in range(400)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i, j in combinations(range(400), 2) if 100 * len(sets[i] & sets[j]) >= 40 * len(sets[i] | sets[j])]
+    want = list(range(400))
+    for i, j in links:
+        a, b = want[i], want[j]
+        want = [min(a, b) if x in (a, b) else x for x in want]
+    assert len(links) > 1000 and sum(got[i] == got[j] for i, j in links) >= 0.95 * len(links)
+    assert all(want[i] == want[j] for i, j in combinations(range(400), 2) if got[i] == got[j])
+
+
 def test_terms_equal_brute_force(spark):
     import math
     from collections import defaultdict
