@@ -60,6 +60,22 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def placed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` dealt over ``n`` partitions by ``keys`` and checkpointed: later groupings by these keys move no row of it.
+
+    A checkpoint keeps the partitioning that a written table forgets; it is in the shared folder and survives lost executors.
+    """
+    spark, adaptive = df.sparkSession, "spark.sql.adaptive.enabled"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    was = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")  # an adaptive plan does not tell its partitioning
+    try:
+        return df.repartition(n, *keys).checkpoint()
+    finally:
+        spark.conf.set(adaptive, was)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A staged table that outlives the scope it was made in."""
     if _scopes:
