@@ -29,7 +29,9 @@ share are found in two shuffles and handed back, and the result does not depend
 the groups: of every window of ``run`` tokens the least hash of the n-grams of half
 that size in it is exchanged first (about a fifth as many as windows), and windows
 whose least n-gram two groups share are exchanged with their least and greatest
-content.  Hashes have 64 bits.  Texts move and are stored packed.
+content.  Hashes have 64 bits.  Texts move packed and move once: those of hot hosts are
+checkpointed where their groups lie, so that both rounds and the choice find them there;
+those of other hosts are chosen where they meet and are not stored.
 
 Nulls and edges: a null or empty html has empty text; pages of a null url are one
 host; unclosed and stray tags are tolerated; repeated rows give repeated results;
@@ -48,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dosepath.llm.common import release, ship
-from dosepath.plans.staging import stage
+from dosepath.plans.staging import placed, stage
 
 ship(__name__)
 
@@ -56,6 +58,7 @@ OPEN, MAIN, BOILER = 0, 1, 2
 MOST_BROADCAST = 100_000
 NO_ROWS = pa.table({"data": pa.array([], pa.binary())})
 PACK_BYTES = 8 << 20  # of html that is packed at once
+GROUPS_A_TASK = 8  # of hot hosts, taken one after the other
 SENT_AT_ONCE = 4_000_000  # hashes that a task holds before it sends them
 COPY_NUM, COPY_DEN = 6, 7  # shared parts s of two equal sizes are alike by s / (2 - s): 0.75 at 6/7
 MARK = re.compile(
@@ -329,6 +332,7 @@ def met(group: pa.Table, width: int) -> pa.Table:
     return sent(out)
 
 
+PACKED = "host string, part long, pages binary"
 OUT = "page_id long, url string, text string, n_chars long, n_tokens long, n_repeated long, n_decided long"
 
 
@@ -346,12 +350,11 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
     slim = slim.withColumn("host", host)
     parts = F.ceil(F.greatest(F.count("*") / group_pages, F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_bytes))
     hot = stage(slim.groupBy("host").agg(parts.alias("parts"), F.count("*").alias("n")).where("parts > 1"), "hosts")
-    hosts, hot_pages = hot.agg(F.count("*"), F.sum("n")).collect()[0]
+    hosts, hot_pages, hot_groups = hot.agg(F.count("*"), F.sum("n"), F.sum("parts")).collect()[0]
     buckets = max(32, (hot_pages or 0) // 5000)
     if hosts <= MOST_BROADCAST:  # names of hosts, some MB at most; more are joined by a shuffle
         hot = F.broadcast(hot)
-    slim = slim.join(hot.drop("n"), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
-    slim = slim.withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.col("parts")))
+    hot = hot.drop("n")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, dict[str, list]] = {}
@@ -360,13 +363,13 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
         def out() -> pa.RecordBatch:
             rows = [(*key, packed(x)) for key, x in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["host", "part", "parts", "pages"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["host", "part", "pages"])
 
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 for r in b.slice(lo, 64).to_pylist():
                     found = blocks(r["html"] or "")
-                    own = held.setdefault((r["host"], r["part"], r["parts"]), {"page_id": [], "url": [], "kinds": [], "blocks": []})
+                    own = held.setdefault((r["host"], r["part"]), {"page_id": [], "url": [], "kinds": [], "blocks": []})
                     for c, v in zip(own.values(), (r["page_id"], r["url"], [k for k, _ in found], ["\x00".join(w) for _, w in found]), strict=True):
                         c.append(v)
                     size += len(r["html"] or "")
@@ -377,8 +380,6 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
             yield out()
         release()
 
-    read = stage(slim.mapInArrow(parsed, "host string, part long, parts long, pages binary"), "pages")
-
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Least n-gram hashes of a task's pages, each once a group, by bucket."""
         held: dict[tuple, list] = {}
@@ -468,10 +469,16 @@ def extracted(pages: DataFrame, *, run: int = 16, share: float = 0.5, group_page
         release()
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out[0], pa.string()), **{n: pa.array(o, pa.int64()) for n, o in zip(names[3:], out[1:], strict=True)}})
 
+    lone = slim.join(hot, "host", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    lone = lone.mapInArrow(parsed, PACKED).groupBy("host", "part").applyInArrow(lambda key, group: chosen(key, group, NO_ROWS), OUT)
     if not hosts:
-        return read.groupBy("host", "part").applyInArrow(lambda key, group: chosen(key, group, NO_ROWS), OUT)
-    several = read.where("parts > 1")
-    grams = several.mapInArrow(least, SENT).repartition("bucket").groupBy("bucket").applyInArrow(lambda key, group: met(group, 1), SENT)
-    windows = several.groupBy("host", "part").cogroup(grams.groupBy("host", "part")).applyInArrow(candidates, SENT)
+        return lone
+    # rows are numbered as they are read, before the join, so that a task run again deals them alike
+    several = slim.withColumn("at", F.monotonically_increasing_id()).join(hot, "host")
+    several = several.withColumn("part", F.pmod(F.xxhash64("page_id", "url", "at"), F.col("parts"))).drop("at", "parts")
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hot_groups // GROUPS_A_TASK))
+    groups = placed(several.mapInArrow(parsed, PACKED), tasks, "host", "part")
+    grams = groups.mapInArrow(least, SENT).repartition("bucket").groupBy("bucket").applyInArrow(lambda key, group: met(group, 1), SENT)
+    windows = groups.groupBy("host", "part").cogroup(grams.groupBy("host", "part")).applyInArrow(candidates, SENT)
     windows = stage(windows.repartition("bucket").groupBy("bucket").applyInArrow(lambda key, group: met(group, 3), SENT), "runs")
-    return read.groupBy("host", "part").cogroup(windows.groupBy("host", "part")).applyInArrow(chosen, OUT)
+    return lone.unionByName(groups.groupBy("host", "part").cogroup(windows.groupBy("host", "part")).applyInArrow(chosen, OUT))
