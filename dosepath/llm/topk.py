@@ -30,11 +30,37 @@ ship(__name__)
 
 BINS = 64
 CHUNK = 256
+LONGEST = 2**63 - 1
+EDGE = 2**60  # histograms end here: higher scores count as this one when an interval is sought, and differ again in the last pass
 OUT = "query_id long, rank int, vec_id long, score long"
 
 
 def _ints(v: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(v * scale)
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(v * scale))
+
+
+def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size, held to the range of long."""
+    whole = [np.array([int(x) for x in m.ravel()], dtype=object).reshape(m.shape) for m in (q, c)]
+    return np.clip(whole[0] @ whole[1].T, -LONGEST, LONGEST).astype(np.int64)
+
+
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, held to the range of long; only rows that could leave it are slow."""
+    d = q.shape[1]
+    if np.abs(q).max() * np.abs(c).max() * d < 2.0**62:
+        far_q, far_c = np.zeros(len(q), bool), np.zeros(len(c), bool)
+    else:
+        far_q, far_c = (np.abs(m).max(axis=1) >= np.sqrt(2.0**61 / d) for m in (q, c))
+        q, c, given_q, given_c = np.where(far_q[:, None], 0, q), np.where(far_c[:, None], 0, c), q, c
+    exact = np.float64 if np.abs(q).max() * np.abs(c).max() * d < 2**53 else np.int64
+    out = (q.astype(exact) @ c.astype(exact).T).astype(np.int64)
+    if far_q.any():
+        out[far_q] = _exact(given_q[far_q], given_c)
+    if far_c.any():
+        out[np.ix_(~far_q, far_c)] = _exact(given_q[~far_q], given_c[far_c])
+    return out
 
 
 def _scored(groups: dict[int, Group], batches: Iterator[pa.RecordBatch], scale: float):
@@ -45,12 +71,8 @@ def _scored(groups: dict[int, Group], batches: Iterator[pa.RecordBatch], scale:
                 continue
             first, _, _, q = groups[d]
             vec, c = part["vec_id"].to_numpy(), _ints(matrix(part["v"]), scale)
-            most = np.abs(q).max() * np.abs(c).max() * d
-            if most >= 2.0**63:
-                raise ValueError("inner products leave the range of long")
-            exact = np.float64 if most < 2**53 else np.int64
             for lo in range(0, len(q), CHUNK):
-                yield first + lo, (q[lo : lo + CHUNK].astype(exact) @ c.astype(exact).T).astype(np.int64), vec
+                yield first + lo, _products(q[lo : lo + CHUNK], c), vec
 
 
 def _histograms(rows: DataFrame, groups, low, width, scale) -> dict[int, list[int]]:
@@ -59,6 +81,7 @@ def _histograms(rows: DataFrame, groups, low, width, scale) -> dict[int, list[in
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(low), BINS), dtype=np.int64)
         for lo, s, _ in _scored(groups, batches, scale):
+            s = np.clip(s, -EDGE, EDGE)
             at = slice(lo, lo + len(s))
             inside = s >= low[at, None]
             bins = np.where(inside, s - low[at, None], 0) // width[at, None]
@@ -80,7 +103,7 @@ def _kept(rows: DataFrame, block: int, groups, low, k, scale) -> DataFrame:
         ids, times = together(groups)
         own = np.zeros(len(ids), np.int64)
         for first, _, _, q in groups.values():
-            own[first : first + len(q)] = (q.astype(np.int64) ** 2).sum(axis=1)
+            own[first : first + len(q)] = [int(_products(x[None], x[None])[0, 0]) for x in q]
         held = [np.zeros(0, np.int64)] * 3
         for lo, s, vec in _scored(groups, batches, scale):
             r, c = np.nonzero(s >= low[lo : lo + len(s), None])
@@ -121,7 +144,8 @@ def exact_top_k(table: DataFrame, chosen: Column, *, k: int = 10, vec_id: str =
         n = sum(len(g[1]) for g in groups.values())
         reach = np.zeros(n, np.int64)
         for first, ids, _, q in groups.values():
-            reach[first : first + len(ids)] = np.ceil(np.sqrt((q * q).sum(axis=1)) * most * (1 + 1e-9)).astype(np.int64) + 1
+            with np.errstate(over="ignore"):
+                reach[first : first + len(ids)] = np.minimum(np.ceil(np.sqrt((q * q).sum(axis=1)) * most * (1 + 1e-9)), EDGE).astype(np.int64) + 1
         low, width = -reach, -(-(2 * reach + 1) // BINS)
         want = np.full(n, k + 1, dtype=np.int64)  # with the query's own row
         open_ = np.ones(n, dtype=bool)
@@ -140,6 +164,7 @@ def exact_top_k(table: DataFrame, chosen: Column, *, k: int = 10, vec_id: str =
                 want[i] -= over
                 open_[i] = width[i] > 1 and h[b] > 4 * k
                 width[i] = -(-width[i] // BINS)
+        low = np.where(low <= -EDGE, -LONGEST, low)  # all scores
         found = _kept(rows, block, groups, low, k + 1, scale)
         found = found if blocks == 1 else stage(found, f"found{block}")
         out = found if out is None else out.unionByName(found)

@@ -72,6 +72,25 @@ def test_empty_and_lonely(spark, search):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in twice.collect()) == [(0, 1, 0), (0, 1, 0), (0, 2, 1), (0, 2, 1), (0, 3, 1), (0, 3, 1)]
 
 
+def test_top_k_of_huge_components(spark):
+    """Products beyond long are held at its bounds; others stay exact, also above 2^60."""
+    rows = vectors(seed=4)[:60]
+    rows += [(60, [3e15, 0.0, 0.0, 1.0]), (61, [-3e38, 3e38, 1.0, 0.0]), (65, [1e6, 2e6, -1e6, 5e5]), (66, [1e6, 2e6, -1e6, 5e5]), (70, [2e6, 1.0, 0.0, 3.0]), (71, [1.1e6, 1e6, 0.0, 3.0])]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+
+    def held(a, b):
+        total = sum(int(np.floor(1024 * x)) * int(np.floor(1024 * y)) for x, y in zip(a, b, strict=True))
+        return max(-(2**63) + 1, min(2**63 - 1, total))
+
+    for k in (1, 6, 100):
+        got = topk.exact_top_k(frame(spark, rows), F.col("vec_id") % 5 == 0, k=k)
+        assert sorted(map(tuple, got.collect())) == by_hand(rows, 5, k, held)
+    most = float(np.finfo(np.float64).max)
+    wide = spark.createDataFrame([(0, [most, 1.0]), (1, [most, 0.0]), (2, [-most, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(wide, F.col("vec_id") == 0, k=3)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2 * 1024**2), (0, 3, 2, -(2**63) + 1)]
+
+
 @pytest.mark.parametrize("search, score", [(topk.exact_top_k, ints), (neighbours.nearest, real)])
 def test_repeated_ids_and_other_lengths(spark, search, score):
     rng = np.random.default_rng(5)
