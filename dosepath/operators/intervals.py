@@ -123,7 +123,9 @@ def _merged_in_pieces(df: DataFrame, gap_days: int, keys: Sequence[str], start:
     counted = F.when(F.lit(not distinct_starts) | F.col("_previous").isNull() | (F.col("_previous") != F.col(start)), 1).otherwise(0)
     marked = stage(marked.select(*piece, start, end, fresh.cast("int").alias("_fresh"), counted.alias("_counted")), "marked")
     numbered = carried(marked, _islands=F.sum("_fresh"))
-    island = F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_islands", F.lit(0))
+    # a written table has no order: of equal rows the one that begins an island goes first
+    begun = Window.partitionBy(*piece).orderBy(start, end, F.desc("_fresh")).rowsBetween(Window.unboundedPreceding, 0)
+    island = F.sum("_fresh").over(begun) + F.coalesce("_islands", F.lit(0))
     out = numbered.withColumn("_island", island).groupBy(*keys, "_island")
     return out.agg(F.min(start).alias("era_start_date"), F.max(end).alias("era_end_date"), F.sum("_counted").cast("long").alias("drug_exposure_count")).drop("_island")
 

@@ -82,6 +82,16 @@ def test_hot_keys_in_pieces_equal_one_window(spark, distinct_starts):
     assert sorted(map(str, intervals.gap_merged(df, 2, distinct_starts=distinct_starts, hot_rows=10**6).collect())) == want
 
 
+def test_equal_rows_of_a_hot_key_stay_in_one_island_whatever_the_order_of_staged_rows(spark, monkeypatch):
+    staged = intervals.stage
+    shuffled = lambda df, name: staged(df, name).repartition(5).sortWithinPartitions(*(["_fresh"] if name == "marked" else []), F.rand(3))
+    monkeypatch.setattr(intervals, "stage", shuffled)
+    df = spark.range(3000).select(F.lit(1).cast("long").alias("person_id"), F.lit(5).cast("long").alias("ingredient_concept_id"), F.date_add(F.lit(DAY), (F.col("id") % 300 * 4).cast("int")).alias("era_start_date"))
+    df = df.withColumn("era_end_date", F.date_add("era_start_date", F.dayofmonth("era_start_date") % 2))  # ten rows of each start
+    want = sorted(map(str, intervals.gap_merged(df, 1, distinct_starts=False).collect()))
+    assert sorted(map(str, intervals.gap_merged(df, 1, distinct_starts=False, hot_rows=100).collect())) == want and len(want) == 300
+
+
 def test_a_million_eras_of_one_person_go_over_several_tasks(spark):
     start = F.date_add(F.lit("1000-01-01").cast("date"), (F.pmod(F.xxhash64("id"), F.lit(2_500_000))).cast("int"))
     df = spark.range(1_000_000).select(F.lit(1).cast("long").alias("person_id"), F.lit(5).cast("long").alias("ingredient_concept_id"), start.alias("era_start_date"), F.date_add(start, 1).alias("era_end_date"))
