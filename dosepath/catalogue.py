@@ -127,7 +127,7 @@ def era_gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def era_gap_merge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.raw_drug_eras(testdata.exposures(spark, sf_dir))
+    return intervals.raw_drug_eras(testdata.exposures(spark, sf_dir), rows=testdata.n_items(spark, sf_dir))
 
 
 @query
@@ -460,7 +460,7 @@ def dispensing_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
     volume = F.when(F.col("l_linenumber") == 7, F.lit(None)).when(F.col("l_linenumber") == 6, F.lit(0.5)).otherwise(F.col("l_quantity"))
     dispensed = items.select(F.col("person_id").cast("string").alias("pnr"), F.date_format("shipped", "yyyy-MM-dd").alias("eksd"), F.concat(F.lit("N06AB"), F.lpad((F.col("l_partkey") % 20).cast("string"), 2, "0")).alias("atc"), volume.alias("volume"))
     rows = registers.dispensing_exposures(dispensed, atc_prefixes=("N06AB0",))
-    return intervals.gap_merged(rows, 30).select("person_id", "ingredient_concept_id", "era_start_date", "era_end_date", "drug_exposure_count")
+    return intervals.gap_merged(rows, 30, rows=testdata.n_items(spark, sf_dir)).select("person_id", "ingredient_concept_id", "era_start_date", "era_end_date", "drug_exposure_count")
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -502,7 +502,7 @@ def era_gap_merge_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods in which a supplier ships; suppliers of many items are merged in pieces."""
     start = F.to_date("l_shipdate")
     items = testdata.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("l_suppkey"), start.alias("s"), F.date_add(start, (F.col("l_quantity") % 3).cast("int")).alias("e"))
-    return intervals.gap_merged(items, 1, keys=("l_suppkey",), start="s", end="e", hot_rows=600)
+    return intervals.gap_merged(items, 1, keys=("l_suppkey",), start="s", end="e", hot_rows=600, rows=testdata.n_items(spark, sf_dir))
 
 
 def _standard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dosepath.plans.staging import stage
+from dosepath.plans.staging import dealt, stage
 
 KEYS = ("person_id", "ingredient_concept_id")
 
@@ -57,6 +57,7 @@ def gap_merged(
     distinct_starts: bool = True,
     gap_out: int | None = None,
     hot_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Merge intervals of the same keys that overlap or lie at most ``gap_days`` apart.
 
@@ -64,19 +65,19 @@ def gap_merged(
     gap.  drug_exposure_count counts rows, or with ``distinct_starts`` starts;
     gap_days is ``gap_out`` or the gap.  Keys of more than ``hot_rows`` rows (an
     institution's id, say) are merged in pieces that several tasks share; the
-    result is the same.
+    result is the same.  ``rows``: about how many rows ``df`` has, by which tasks are made.
     """
     if hot_rows is not None:
         hot = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).drop("_n"), "hot")
         if not hot.isEmpty():
-            options = {"keys": keys, "start": start, "end": end, "distinct_starts": distinct_starts, "gap_out": gap_out}
+            options = {"keys": keys, "start": start, "end": end, "distinct_starts": distinct_starts, "gap_out": gap_out, "rows": rows}
             same = _same(keys, df, hot)
             pieces = _merged_in_pieces(df.join(hot, same, "left_semi"), gap_days, keys, start, end, distinct_starts)
             others = gap_merged(df.join(hot, same, "left_anti"), gap_days, **options)
             return others.unionByName(pieces.withColumn("gap_days", F.lit(gap_days if gap_out is None else gap_out).cast("long")))
     own = Window.partitionBy(*keys).orderBy(start, end)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
-    marked = df.select(
+    marked = dealt(df.select(*keys, start, end), rows, *keys).select(
         *keys,
         start,
         end,
@@ -130,16 +131,16 @@ def _merged_in_pieces(df: DataFrame, gap_days: int, keys: Sequence[str], start:
     return out.agg(F.min(start).alias("era_start_date"), F.max(end).alias("era_end_date"), F.sum("_counted").cast("long").alias("drug_exposure_count")).drop("_island")
 
 
-def exposure_eras(exposures: DataFrame, concept: DataFrame, ancestor: DataFrame, gap_days: int = 30, *, hot_rows: int | None = None) -> DataFrame:
-    """Ingredient eras of raw exposures."""
-    return gap_merged(to_ingredients(imputed_exposures(exposures), ingredient_map(concept, ancestor)), gap_days, hot_rows=hot_rows)
+def exposure_eras(exposures: DataFrame, concept: DataFrame, ancestor: DataFrame, gap_days: int = 30, *, hot_rows: int | None = None, rows: int | None = None) -> DataFrame:
+    """Ingredient eras of raw exposures; ``rows``: about how many there are."""
+    return gap_merged(to_ingredients(imputed_exposures(exposures), ingredient_map(concept, ancestor)), gap_days, hot_rows=hot_rows, rows=rows)
 
 
-def raw_drug_eras(exposures: DataFrame, gap_days: int = 30) -> DataFrame:
+def raw_drug_eras(exposures: DataFrame, gap_days: int = 30, *, rows: int | None = None) -> DataFrame:
     """Eras of a source without a vocabulary: the drug's own id is the ingredient, every row counts, gap_days is 0."""
     start = F.col("drug_exposure_start_date")
-    rows = exposures.select("person_id", F.col("drug_concept_id").alias("ingredient_concept_id"), start.alias("era_start_date"), F.coalesce("drug_exposure_end_date", start).alias("era_end_date"))
-    return gap_merged(rows.where("era_start_date is not null"), gap_days, distinct_starts=False, gap_out=0)
+    spans = exposures.select("person_id", F.col("drug_concept_id").alias("ingredient_concept_id"), start.alias("era_start_date"), F.coalesce("drug_exposure_end_date", start).alias("era_end_date"))
+    return gap_merged(spans.where("era_start_date is not null"), gap_days, distinct_starts=False, gap_out=0, rows=rows)
 
 
 def primary_eras(drug_era: DataFrame) -> DataFrame:

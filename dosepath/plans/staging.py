@@ -8,6 +8,7 @@ cluster each executor would write its own disk, so that is refused.
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import shutil
 import tempfile
@@ -17,6 +18,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task of ``dealt`` should hold.
+ROWS = 400_000
+
 _own: list[str] = []
 _scopes: list[list[DataFrame]] = []
 
@@ -60,6 +64,17 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many tasks as take ``ROWS`` of its ``rows`` each, so that a task's memory does not grow with the input.
+
+    An adaptive plan merges shuffle partitions by their bytes, compressed: its tasks
+    grow with the input up to 64 MB, which sorts and windows hold as 1 GB.  Where the
+    session runs that many tasks at once, or ``rows`` is not known, the plan decides.
+    """
+    n = math.ceil((rows or 0) / ROWS)
+    return df if n <= df.sparkSession.sparkContext.defaultParallelism else df.repartition(n, *keys)
+
+
 def placed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """``df`` dealt over ``n`` partitions by ``keys`` and checkpointed: later groupings by these keys move no row of it.
 

@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dosepath.operators import intervals
-from dosepath.plans.staging import stage
+from dosepath.plans.staging import dealt, stage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def n_items(spark: SparkSession, sf_dir: str) -> int:
+    """The number of items, from the file's footers."""
+    return read(spark, sf_dir, "lineitem").count()
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("person_id"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber", F.to_date("l_shipdate").alias("shipped"))
+    n = n_items(spark, sf_dir)  # an item has one order, so this is the join's size too
+    items, orders = dealt(items, n, "l_orderkey"), dealt(orders, n, "o_orderkey")
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
@@ -53,7 +60,7 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eras(spark: SparkSession, sf_dir: str, gap_days: int = 30, shipped: DataFrame | None = None) -> DataFrame:
-    return intervals.exposure_eras(exposures(spark, sf_dir, shipped), concepts(spark, sf_dir), ancestors(spark, sf_dir), gap_days)
+    return intervals.exposure_eras(exposures(spark, sf_dir, shipped), concepts(spark, sf_dir), ancestors(spark, sf_dir), gap_days, rows=n_items(spark, sf_dir))
 
 
 def _first(spark: SparkSession, sf_dir: str, shipped: DataFrame | None) -> DataFrame:

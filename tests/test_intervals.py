@@ -106,3 +106,15 @@ def test_a_million_eras_of_one_person_go_over_several_tasks(spark):
         assert len(tasks) > 1 and max(t["count"] for t in tasks) < 0.6 * sum(t["count"] for t in tasks)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_tasks_of_a_merge_are_made_by_the_number_of_rows(spark, monkeypatch):
+    from dosepath.plans import staging
+
+    monkeypatch.setattr(staging, "ROWS", 100)
+    df = spark.range(20_000).select((F.col("id") % 7001).alias("person_id"), F.lit(5).cast("long").alias("ingredient_concept_id"), F.date_add(F.lit(DAY), (F.col("id") % 997).cast("int")).alias("era_start_date"))
+    df = df.withColumn("era_end_date", F.date_add("era_start_date", 2))
+    plain, by_rows = intervals.gap_merged(df, 3), intervals.gap_merged(df, 3, rows=20_000)
+    assert by_rows.exceptAll(plain).isEmpty() and by_rows.count() == plain.count()
+    shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert ", 200), REPARTITION_BY_NUM" in shuffles(by_rows) and "REPARTITION" not in shuffles(intervals.gap_merged(df, 3, rows=100))
