@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no install of the package
 
 SAMPLE = 4096
+#: Rows whose distances to all centres are made at once: they fit a core's cache.
+BLOCK = 1024
 
 
 @dataclass
@@ -78,22 +80,29 @@ def _of_centres(models: Sequence[np.ndarray]) -> tuple[np.ndarray, list[slice]]:
     return np.vstack(models), [slice(e - len(c), e) for e, c in zip(ends, models, strict=True)]
 
 
-def measured(rows: DataFrame, vector: str, models: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each model its centres' rows (count), sums, squared distances and distances, by one scan."""
+def measured(rows: DataFrame, vector: str, models: Sequence[np.ndarray], *, costs: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each model its centres' rows (count), sums, squared distances and distances, by one scan.
+
+    Products with the centres of all models are made at once, ``BLOCK`` rows at a time.
+    Without ``costs``, as rounds need none, distances are left at 0.
+    """
     centres, own = _of_centres(models)
     width = centres.shape[1]
 
     def put(table: np.ndarray, columns: list) -> None:
-        x = _matrix(columns[0])
-        for at in own:
-            k, d = _nearest(x, centres[at])
-            part = table[at]
-            hot = np.zeros((len(x), len(part)))
-            hot[np.arange(len(x)), k] = 1.0
-            part[:, :width] += hot.T @ x
-            part[:, width] += hot.sum(axis=0)
-            part[:, width + 1] += hot.T @ d
-            part[:, width + 2] += hot.T @ np.sqrt(d)
+        whole, squares = _matrix(columns[0]), (centres * centres).sum(axis=1)
+        for start in range(0, len(whole), BLOCK):
+            x = whole[start : start + BLOCK]
+            d = (x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + squares
+            hot, at_row = np.zeros(d.shape), np.arange(len(x))
+            for at in own:
+                hot[at_row, at.start + d[:, at].argmin(axis=1)] = 1.0
+            table[:, :width] += hot.T @ x
+            table[:, width] += hot.sum(axis=0)
+            if costs:
+                near = np.maximum(d, 0.0) * hot
+                table[:, width + 1] += near.sum(axis=0)
+                table[:, width + 2] += np.sqrt(near).sum(axis=0)
 
     table = _gathered(rows, [vector], len(centres), width + 3, put)
     return [(table[at, width], table[at, :width], table[at, width + 1], table[at, width + 2]) for at in own]
@@ -109,7 +118,7 @@ def advanced(rows: DataFrame, vector: str, starts: Sequence[np.ndarray], *, roun
     for _ in range(rounds):
         if not moving:
             break
-        found = measured(rows, vector, [models[i].centres for i in moving])
+        found = measured(rows, vector, [models[i].centres for i in moving], costs=False)
         still = []
         for i, (n, total, _, _) in zip(moving, found, strict=True):
             new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], models[i].centres)
