@@ -18,8 +18,8 @@ from dosepath.schemas import FEATURES
 
 CLUSTER = "trajectory_cluster"
 UNCLUSTERED = -1
-#: From this many persons on, silhouettes are made on a sample; its parameters.
-SAMPLE_FROM, SAMPLE_SHARE, SAMPLE_FLOOR = 20_000, 0.15, 0.05
+#: Parameters of the sample on which silhouettes are made where one is asked for; else they are of all rows.
+SAMPLE_SHARE, SAMPLE_FLOOR = 0.15, 0.05
 
 
 @dataclass
@@ -46,17 +46,17 @@ def feasible_k(features: DataFrame, names: Sequence[str] = FEATURES) -> int:
     return min(r["all"], max(1, r["distinct"]))
 
 
-def silhouette(predicted: DataFrame, seed: int, *, sample_from: int = SAMPLE_FROM) -> float:
-    """Cosine silhouette; NaN with one cluster.
+def silhouette(predicted: DataFrame, seed: int, *, sample_from: int | None = None) -> float:
+    """Cosine silhouette of all rows; NaN with one cluster.
 
-    From ``sample_from`` rows on, a cluster c of n_c rows is sampled at
+    With ``sample_from``, from that many rows on, a cluster c of n_c rows is sampled at
     max(floor, min(share * N / n_c, 1)), about an equal count of each cluster.
     """
     counts = {r[CLUSTER]: r["n"] for r in predicted.groupBy(CLUSTER).agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return math.nan
     total = sum(counts.values())
-    if total >= sample_from:
+    if sample_from is not None and total >= sample_from:
         predicted = predicted.sampleBy(CLUSTER, {c: max(SAMPLE_FLOOR, min(SAMPLE_SHARE * total / n, 1.0)) for c, n in counts.items()}, seed)
     return ClusteringEvaluator(featuresCol="features_cosine", predictionCol=CLUSTER, metricName="silhouette", distanceMeasure="cosine").evaluate(predicted)
 
@@ -80,14 +80,14 @@ def with_nearest(rows: DataFrame, model: lloyd.Model) -> DataFrame:
     return model.labelled(_arrays(rows), "_u", CLUSTER).drop("_u")
 
 
-def silhouette_grid(rows: DataFrame, k_grid: Sequence[int], seed: int, *, sample_from: int = SAMPLE_FROM) -> list[tuple[int, float, lloyd.Model]]:
+def silhouette_grid(rows: DataFrame, k_grid: Sequence[int], seed: int, *, sample_from: int | None = None) -> list[tuple[int, float, lloyd.Model]]:
     """(k, silhouette, model) of each k; ``rows`` (person_id, features_cosine) should be a staged table.
 
     Silhouettes follow the rule of ``silhouette``, by two scans for all k.
     """
     models = kmeans(rows, k_grid, seed)
     share = None
-    if models and sum((m := next(iter(models.values()))).n) >= sample_from:
+    if models and sample_from is not None and sum((m := next(iter(models.values()))).n) >= sample_from:
         share = {k: np.maximum(SAMPLE_FLOOR, np.minimum(SAMPLE_SHARE * m.n.sum() / np.maximum(m.n, 1), 1.0)) for k, m in models.items()}
     found = lloyd.cosine_silhouettes(_arrays(rows), "_u", models, share=share, row=F.col("person_id"), seed=seed) if models else {}
     return [(k, found[k], models[k]) for k in models]

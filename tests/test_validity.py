@@ -120,3 +120,17 @@ def test_f_tail_equals_numeric_integration(f, a, b):
     value = lambda t: 0.0 if t <= 0 else density(1 / t - 1) / t**2
     total = sum((4 if i % 2 else 2) * value(i * h) for i in range(1, n)) + value(0) + value(top)
     assert math.isclose(validity.f_tail(f, a, b), total * h / 3, rel_tol=1e-4, abs_tol=1e-12)
+
+
+def test_silhouette_of_many_rows_is_of_all_of_them(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    angle = np.array([i % 3 * 2 + i % 997 / 600 for i in range(20_000)])
+    x, g = np.c_[np.cos(angle), np.sin(angle)], np.arange(20_000) % 3
+    df = spark.createDataFrame([(int(k), Vectors.dense(v)) for k, v in zip(g, x, strict=True)], ["trajectory_cluster", "features_cosine"])
+    n = np.bincount(g)
+    away = 1 - (x @ np.array([x[g == k].sum(axis=0) for k in range(3)]).T) / n
+    rows = np.arange(len(x))
+    a, b = away[rows, g] * n[g] / (n[g] - 1), np.where(np.arange(3) == g[:, None], np.inf, away).min(axis=1)
+    assert abs(cluster.silhouette(df, 1) - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
