@@ -44,18 +44,23 @@ def _joined_set(df: DataFrame) -> DataFrame:
 
 def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     eras, observation, death = testdata.inputs(spark, sf_dir, staged=False)
-    return cohort.eligible(eras, observation, death, washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
+    return cohort.eligible(eras, observation, death, washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months, rows=testdata.n_items(spark, sf_dir))
+
+
+def _relational(eras: DataFrame, observation: DataFrame, death: DataFrame) -> dict[str, DataFrame]:
+    return trajectory.relational(eras, observation, death, SETTINGS, rows=eras.count())  # staged: from the files' footers
 
 
 def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return trajectory.relational(*testdata.inputs(spark, sf_dir), SETTINGS)
+    return _relational(*testdata.inputs(spark, sf_dir))
 
 
 def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = stage(testdata.shipments(spark, sf_dir), "shipped")
     eras = stage(testdata.eras(spark, sf_dir, shipped=shipped), "eras")  # the index date and the eras themselves
-    eligible = cohort.eligible(eras, testdata.observation(spark, sf_dir, shipped), testdata.deaths(spark, sf_dir, shipped), washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months)
-    return intervals.clipped_eras(eras, eligible)
+    rows = eras.count()  # from the files' footers
+    eligible = cohort.eligible(eras, testdata.observation(spark, sf_dir, shipped), testdata.deaths(spark, sf_dir, shipped), washout_days=SETTINGS.washout_days, followup_months=SETTINGS.followup_months, rows=rows)
+    return intervals.clipped_eras(eras, eligible, rows=rows)
 
 
 def _months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +165,7 @@ def washout_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def eligible_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.eligible(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), None)
+    return cohort.eligible(testdata.eras(spark, sf_dir), testdata.observation(spark, sf_dir), None, rows=testdata.n_items(spark, sf_dir))
 
 
 @query
@@ -314,7 +319,7 @@ def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def primary_vs_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eras of a 30-day gap against eras of a 60-day gap on the same exposures."""
-    other = trajectory.relational(*testdata.inputs(spark, sf_dir, 60), SETTINGS)["persons"]
+    other = _relational(*testdata.inputs(spark, sf_dir, 60))["persons"]
     out = validity.compared_runs(_persons(spark, sf_dir), other)
     return rounded(out, [c for c in out.columns if c.startswith(("mean_", "early_"))])
 
@@ -398,7 +403,8 @@ def phenotype_ari(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _full(spark: SparkSession, sf_dir: str, s: Settings = SETTINGS, fixed_k: int | None = 4) -> dict:
-    return trajectory.run(*testdata.inputs(spark, sf_dir), testdata.ingredients(spark, sf_dir), s, fixed_k=fixed_k)
+    eras, observation, death = testdata.inputs(spark, sf_dir)
+    return trajectory.run(eras, observation, death, testdata.ingredients(spark, sf_dir), s, fixed_k=fixed_k, rows=eras.count())
 
 
 @query

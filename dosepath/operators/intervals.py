@@ -155,12 +155,14 @@ def focused(eras: DataFrame, ingredients: Iterable[int]) -> DataFrame:
     return eras.where(F.col("ingredient_concept_id").isin(chosen)) if chosen else eras
 
 
-def clipped_eras(eras: DataFrame, eligible: DataFrame) -> DataFrame:
+def clipped_eras(eras: DataFrame, eligible: DataFrame, *, rows: int | None = None) -> DataFrame:
     """Eras inside follow-up, cut to it, with index_date and censor_date for later steps on the same partitioning.
 
     clipped_at_censor: the era went on after the censor date (an end on that date is a true end).
+    ``rows``: about how many ``eras`` has, by which tasks are made.
     """
-    both = eras.join(eligible.select("person_id", "index_date", "censor_date"), "person_id")
+    followed = eligible.select("person_id", "index_date", "censor_date")
+    both = dealt(eras, rows, "person_id").join(dealt(followed, rows, "person_id"), "person_id")
     inside = both.where((F.col("era_start_date") <= F.col("censor_date")) & (F.col("era_end_date") >= F.col("index_date")))
     return inside.select(
         *KEYS,

@@ -64,7 +64,7 @@ def run(spark: SparkSession, folder: str, s: Settings, *, fmt: str = "parquet",
     described = omop.external_eras(spark, folder, fmt=fmt, gap_days=s.exposure_gap_days)
     named = ingredients if ingredients is not None else spark.createDataFrame([], schemas.INGREDIENT)
     death = omop.external_deaths(spark, folder, fmt=fmt) if deaths else None
-    out = trajectory.run(described.drop(*omop.DESCRIPTION), omop.external_observation(spark, folder, fmt=fmt), death, named, s, **kw)
+    out = trajectory.run(described.drop(*omop.DESCRIPTION), omop.external_observation(spark, folder, fmt=fmt), death, named, s, **{"rows": described.count()} | kw)
     if controls:
         persons = described.where(F.col("archetype").isin(list(controls))).select("person_id")
         out["negative_controls"] = validity.validate_negative_controls(out["final_person"], persons)

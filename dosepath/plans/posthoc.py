@@ -63,9 +63,10 @@ def report(final: DataFrame, out: str, *, max_k: int = 8, seed: int = 42, names:
 def sensitivity(eras: DataFrame, observation: DataFrame, death: DataFrame | None, s: Settings, *, thresholds: Sequence[int] = (4, 5, 6), days: Sequence[int] = (28, 56, 84), k: int = 4) -> tuple[dict[tuple[int, int], DataFrame], dict]:
     """Clusterings over a grid of polypharmacy thresholds and maintenance days, and the adjusted Rand index of each two."""
     cells: dict[tuple[int, int], DataFrame] = {}
+    rows = eras.count()
     for p in thresholds:
         for d in days:
-            persons = stage(trajectory.relational(eras, observation, death, s.having(polypharmacy_threshold=p, maintenance_min_total_days=d))["persons"], "cell")
+            persons = stage(trajectory.relational(eras, observation, death, s.having(polypharmacy_threshold=p, maintenance_min_total_days=d), rows=rows)["persons"], "cell")
             cells[p, d] = stage(cluster.with_clusters(persons, cluster.clustered(persons, k_grid=(k,), fixed_k=k, seed=s.seed).assigned).select("person_id", "trajectory_cluster"), "cell")
     return cells, ari_matrix(cells)
 

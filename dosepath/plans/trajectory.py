@@ -16,15 +16,15 @@ from dosepath.schemas import FEATURES, WINDOWS
 PERSON_COLUMNS = ("person_id", "trajectory_cluster", "discontinuation_phenotype", *FEATURES, "disc_evaluable", *(f"dominant_state_w{w}" for w in WINDOWS))
 
 
-def relational(eras: DataFrame, observation: DataFrame, death: DataFrame | None, s: Settings) -> dict[str, DataFrame]:
+def relational(eras: DataFrame, observation: DataFrame, death: DataFrame | None, s: Settings, *, rows: int | None = None) -> dict[str, DataFrame]:
     """The relational part of a run: eligible, clipped, person_month_summary, era_events, persons.
 
     Eligibility and clipped eras feed several branches, so each is staged once;
-    the branches after them are lazy.
+    the branches after them are lazy.  ``rows``: about how many ``eras`` has, by which tasks are made.
     """
     chosen = intervals.focused(eras, s.focus_ingredients)
-    eligible = stage(cohort.eligible(chosen, observation, death, washout_days=s.washout_days, followup_months=s.followup_months), "eligible")
-    clipped = stage(intervals.clipped_eras(chosen, eligible), "clipped")
+    eligible = stage(cohort.eligible(chosen, observation, death, washout_days=s.washout_days, followup_months=s.followup_months, rows=rows), "eligible")
+    clipped = stage(intervals.clipped_eras(chosen, eligible, rows=rows), "clipped")
     months = grid.month_states(eligible, clipped, s)
     flagged = events.era_events(clipped, s)
     persons = features.phenotyped(features.person_features(eligible, months, flagged, s), s)
@@ -41,13 +41,14 @@ def run(
     label: str = "run",
     fixed_k: int | None = None,
     out: str | None = None,
+    rows: int | None = None,
 ) -> dict[str, Any]:
-    """A whole run; ``out`` writes the seven results and the silhouette grid there.
+    """A whole run; ``out`` writes the seven results and the silhouette grid there; ``rows`` as of ``relational``.
 
     The month table, events and persons are staged, too, so aggregates, the
     iterations of k-means and callers read tables instead of running a plan again.
     """
-    part = relational(eras, observation, death, s)
+    part = relational(eras, observation, death, s, rows=rows)
     eligible, clipped = part["eligible"], part["clipped"]
     months, flagged = stage(part["person_month_summary"], "months"), stage(part["era_events"], "events")
     persons = stage(features.phenotyped(features.person_features(eligible, months, flagged, s), s), "persons")
@@ -71,11 +72,12 @@ def run(
 def run_omop(tables: Mapping[str, Any], s: Settings, *, sensitivity: bool = False, out: str | None = None) -> dict[str, Any]:
     """Primary run on standardised tables; with ``sensitivity`` also one on eras made from exposures, and their comparison."""
     names = tables["ingredients"].withColumnRenamed("ingredient_name", "concept_name")
-    primary = run(tables["drug_era"], tables["observation_period"], tables["death"], names, s, label="drug_era_primary", out=out)
+    primary = run(tables["drug_era"], tables["observation_period"], tables["death"], names, s, label="drug_era_primary", out=out, rows=tables["drug_era"].count())
     results: dict[str, Any] = {"primary": primary}
     if sensitivity:
-        eras = intervals.exposure_eras(tables["drug_exposure"], tables["concept"], tables["concept_ancestor"], s.exposure_gap_days)
-        other = run(eras, tables["observation_period"], tables["death"], names, s, label="drug_exposure_sensitivity", out=out)
+        n = tables["drug_exposure"].count()
+        eras = intervals.exposure_eras(tables["drug_exposure"], tables["concept"], tables["concept_ancestor"], s.exposure_gap_days, rows=n)
+        other = run(eras, tables["observation_period"], tables["death"], names, s, label="drug_exposure_sensitivity", out=out, rows=n)
         results |= {"exposure": other, "comparison": validity.compared_runs(primary["final_person"], other["final_person"])}
         if out is not None:
             results["comparison"].write.mode("overwrite").parquet(f"{out}/primary_vs_exposure_sensitivity.parquet")

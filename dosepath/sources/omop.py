@@ -145,7 +145,7 @@ def external_eras(spark: SparkSession, folder: str, *, fmt: str = "csv", gap_day
     start = lenient_date(F.col("drug_exposure_start_date"))
     end = lenient_date(F.col("drug_exposure_end_date")) if "drug_exposure_end_date" in df.columns else start
     rows = df.select(F.col("person_id").cast("long"), F.col("drug_concept_id").cast("long"), start.alias("drug_exposure_start_date"), end.alias("drug_exposure_end_date"))
-    return intervals.raw_drug_eras(rows, gap_days).withColumns({c: F.lit(v).cast("string") for c, v in DESCRIPTION.items()})
+    return intervals.raw_drug_eras(rows, gap_days, rows=rows.count()).withColumns({c: F.lit(v).cast("string") for c, v in DESCRIPTION.items()})
 
 
 def external_observation(spark: SparkSession, folder: str, *, fmt: str = "csv") -> DataFrame:

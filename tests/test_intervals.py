@@ -118,3 +118,21 @@ def test_tasks_of_a_merge_are_made_by_the_number_of_rows(spark, monkeypatch):
     assert by_rows.exceptAll(plain).isEmpty() and by_rows.count() == plain.count()
     shuffles = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert ", 200), REPARTITION_BY_NUM" in shuffles(by_rows) and "REPARTITION" not in shuffles(intervals.gap_merged(df, 3, rows=100))
+
+
+def test_tasks_of_eligibility_and_clipping_are_made_by_the_number_of_eras(spark, monkeypatch):
+    from dosepath.operators import cohort
+    from dosepath.plans import staging
+
+    monkeypatch.setattr(staging, "ROWS", 100)
+    start = F.date_add(F.lit(DAY), (F.col("id") % 997).cast("int"))
+    eras = spark.range(20_000).select((F.col("id") % 1301).alias("person_id"), (F.col("id") % 3).alias("ingredient_concept_id"), start.alias("era_start_date"), F.date_add(start, 40).alias("era_end_date"), F.lit(1).cast("long").alias("drug_exposure_count"), F.lit(30).cast("long").alias("gap_days"))
+    ids = spark.range(1301).select(F.col("id").alias("person_id"))
+    observation = ids.select("person_id", F.date_sub(F.lit(DAY), 400).alias("observation_period_start_date"), F.date_add(F.lit(DAY), 300).alias("observation_period_end_date"))
+    death = ids.where("person_id % 7 = 0").select("person_id", F.date_add(F.lit(DAY), 200).alias("death_date"))
+    plain, by_rows = cohort.eligible(eras, observation, death), cohort.eligible(eras, observation, death, rows=20_000)
+    assert by_rows.exceptAll(plain).isEmpty() and by_rows.count() == plain.count() > 500
+    clipped, dealt = intervals.clipped_eras(eras, plain), intervals.clipped_eras(eras, plain, rows=20_000)
+    assert dealt.exceptAll(clipped).isEmpty() and dealt.count() == clipped.count() > 5000
+    by_number = lambda d: d._jdf.queryExecution().executedPlan().toString().count(", 200), REPARTITION_BY_NUM")
+    assert (by_number(by_rows), by_number(dealt)) == (3, 2) and by_number(plain) == by_number(intervals.clipped_eras(eras, plain, rows=100)) == 0
