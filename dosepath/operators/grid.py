@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dosepath.config import Settings
 from dosepath.functions.columns import jaccard_distance
+from dosepath.plans.staging import dealt
 
 
 def _month_start(index: Column, month: Column) -> Column:
@@ -56,16 +57,18 @@ def month_overlap(grid: DataFrame, months: DataFrame) -> DataFrame:
     return out.fillna(0, ["started_flag", "stopped_flag"])
 
 
-def month_burden(grid: DataFrame, months: DataFrame) -> DataFrame:
+def month_burden(grid: DataFrame, months: DataFrame, *, n: int | None = None) -> DataFrame:
     """Active ingredients, starts and stops of every month of the grid.
 
     The grid's rows join the eras' rows as a union, so months without an era
     need no outer join, and one exchange on the person serves this aggregate and
-    everything after it.
+    everything after it.  ``n``: about how many rows both have, by which tasks are made.
     """
     none = F.lit(None).cast(months.schema["ingredient_concept_id"].dataType)
     empty = grid.select("person_id", "month_index", none.alias("ingredient_concept_id"), F.lit(0).alias("started_flag"), F.lit(0).alias("stopped_flag"))
-    rows = empty.unionByName(months).repartition("person_id")
+    both = empty.unionByName(months)
+    rows = dealt(both, n, "person_id")
+    rows = both.repartition("person_id") if rows is both else rows
     out = rows.groupBy("person_id", "month_index").agg(F.sum("started_flag").alias("starts_n"), F.sum("stopped_flag").alias("stops_n"), F.sort_array(F.collect_set("ingredient_concept_id")).alias("active_set"))
     return out.select("person_id", "month_index", F.size("active_set").cast("long").alias("active_n"), "starts_n", "stops_n", "active_set")
 
@@ -95,7 +98,7 @@ def state(s: Settings) -> Column:
     )
 
 
-def month_states(eligible: DataFrame, clipped: DataFrame, s: Settings) -> DataFrame:
-    """The month table: burden, turnover and state of each person-month."""
-    burden = month_burden(month_grid(eligible, s.followup_months), era_months(clipped, s.followup_months))
+def month_states(eligible: DataFrame, clipped: DataFrame, s: Settings, *, n: int | None = None) -> DataFrame:
+    """The month table: burden, turnover and state of each person-month; ``n`` as of ``month_burden``."""
+    burden = month_burden(month_grid(eligible, s.followup_months), era_months(clipped, s.followup_months), n=n)
     return month_turnover(burden).withColumn("state", state(s))

@@ -25,8 +25,9 @@ def relational(eras: DataFrame, observation: DataFrame, death: DataFrame | None,
     chosen = intervals.focused(eras, s.focus_ingredients)
     eligible = stage(cohort.eligible(chosen, observation, death, washout_days=s.washout_days, followup_months=s.followup_months, rows=rows), "eligible")
     clipped = stage(intervals.clipped_eras(chosen, eligible, rows=rows), "clipped")
-    months = grid.month_states(eligible, clipped, s)
-    flagged = events.era_events(clipped, s)
+    n = s.followup_months * eligible.count() + clipped.count()  # staged: from the files' footers
+    months = grid.month_states(eligible, clipped, s, n=n)
+    flagged = events.era_events(clipped, s, n=n)
     persons = features.phenotyped(features.person_features(eligible, months, flagged, s), s)
     return {"eligible": eligible, "clipped": clipped, "person_month_summary": months, "era_events": flagged, "persons": persons}
 

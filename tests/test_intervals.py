@@ -136,3 +136,20 @@ def test_tasks_of_eligibility_and_clipping_are_made_by_the_number_of_eras(spark,
     assert dealt.exceptAll(clipped).isEmpty() and dealt.count() == clipped.count() > 5000
     by_number = lambda d: d._jdf.queryExecution().executedPlan().toString().count(", 200), REPARTITION_BY_NUM")
     assert (by_number(by_rows), by_number(dealt)) == (3, 2) and by_number(plain) == by_number(intervals.clipped_eras(eras, plain, rows=100)) == 0
+
+
+def test_tasks_of_months_and_events_are_made_by_the_number_of_rows(spark, monkeypatch):
+    from dosepath.config import Settings
+    from dosepath.operators import events, features, grid
+    from dosepath.plans import staging
+
+    monkeypatch.setattr(staging, "ROWS", 100)
+    s, day = Settings(), F.lit(DAY).cast("date")
+    ids = spark.range(300).select(F.col("id").alias("person_id"), day.alias("index_date"), F.date_add(day, 700).alias("censor_date"))
+    start = F.date_add(day, (F.col("number") * 90 + F.col("person_id") % 30).cast("int"))
+    clipped = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("number")).select("person_id", (F.col("number") % 2).cast("long").alias("ingredient_concept_id"), start.alias("era_start_date"), F.date_add(start, 40).alias("era_end_date"), F.lit(1).cast("long").alias("drug_exposure_count"), F.lit(30).cast("long").alias("gap_days"), F.lit(False).alias("clipped_at_censor"), "index_date", "censor_date")
+    persons = lambda n: features.person_features(ids, grid.month_states(ids, clipped, s, n=n), events.era_events(clipped, s, n=n), s)
+    plain, by_rows = persons(None), persons(5000)
+    assert by_rows.exceptAll(plain).isEmpty() and by_rows.count() == plain.count() == 300
+    by_number = lambda d: d._jdf.queryExecution().executedPlan().toString().count(", 50), REPARTITION_BY_NUM")
+    assert by_number(by_rows) == 2 and by_number(plain) == 0
