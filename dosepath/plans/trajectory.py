@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from dosepath.config import Settings
 from dosepath.operators import cluster, cohort, events, features, grid, intervals, validity
 from dosepath.plans import sinks
-from dosepath.plans.staging import stage
+from dosepath.plans.staging import dealt, stage
 from dosepath.schemas import FEATURES, WINDOWS
 
 PERSON_COLUMNS = ("person_id", "trajectory_cluster", "discontinuation_phenotype", *FEATURES, "disc_evaluable", *(f"dominant_state_w{w}" for w in WINDOWS))
@@ -48,13 +48,15 @@ def run(
 
     The month table, events and persons are staged, too, so aggregates, the
     iterations of k-means and callers read tables instead of running a plan again.
+    Persons and their clusters are made in tasks by the number of months and events.
     """
     part = relational(eras, observation, death, s, rows=rows)
     eligible, clipped = part["eligible"], part["clipped"]
     months, flagged = stage(part["person_month_summary"], "months"), stage(part["era_events"], "events")
-    persons = stage(features.phenotyped(features.person_features(eligible, months, flagged, s), s), "persons")
+    n = months.count() + flagged.count()  # staged: from the files' footers
+    persons = stage(features.phenotyped(features.person_features(eligible, dealt(months, n, "person_id"), dealt(flagged, n, "person_id"), s), s), "persons")
     found = cluster.clustered(persons, k_grid=s.k_grid, final_k=s.final_k, fixed_k=fixed_k, seed=s.seed)
-    final = stage(cluster.with_clusters(persons, found.assigned).select(*PERSON_COLUMNS), "final")
+    final = stage(cluster.with_clusters(dealt(persons, n, "person_id"), dealt(found.assigned, n, "person_id")).select(*PERSON_COLUMNS), "final")
     results: dict[str, Any] = {
         "eligible": eligible,
         "eras": clipped.drop("index_date", "censor_date"),

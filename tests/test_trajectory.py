@@ -7,7 +7,7 @@ import pytest
 from dosepath import schemas
 from dosepath.config import Settings
 from dosepath.operators import grid, validity
-from dosepath.plans import sinks, trajectory
+from dosepath.plans import sinks, staging, trajectory
 
 D = dt.date.fromisoformat
 S = Settings(turnover_low=0.25, k_grid=(2,), top_ingredients=5)
@@ -191,3 +191,26 @@ def test_slope_and_turnover_do_not_depend_on_the_order_of_rows(spark):
         assert {r.person_id: r.mean_turnover for r in found} == want
     odd = spark.createDataFrame([(1, 1, 2, 0.5, "NoRx"), (2, 1, 2, None, "NoRx"), (2, 2, 4, None, "NoRx")], months.schema)
     assert {r.person_id: (r.burden_slope, r.mean_turnover) for r in features.month_features(odd, S).collect()} == {1: (0.0, 0.5), 2: (2.0, None)}
+
+
+def test_persons_and_clusters_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    eras = [(p, 101 + p % 3, "2020-01-01", str(D("2020-02-01") + dt.timedelta(p * 7 % 600))) for p in range(300)]
+    plain = run(spark, eras, fixed_k=2)["final_person"]
+    files, stage = {}, trajectory.stage
+
+    def staged(df, name, *keys):
+        out = stage(df, name, *keys)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(trajectory, "stage", staged)
+    monkeypatch.setattr(staging, "ROWS", 400)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of many persons
+    try:
+        dealt = run(spark, eras, fixed_k=2)["final_person"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert files["persons"] > 8 and files["final"] > 8  # a task a file; 4 shuffle partitions before
+    same = [c for c in plain.columns if c != "trajectory_cluster"]
+    assert dealt.select(same).exceptAll(plain.select(same)).isEmpty() and dealt.count() == plain.count() == 300
+    assert dealt.where("trajectory_cluster >= 0").count() == plain.where("trajectory_cluster >= 0").count() > 0
