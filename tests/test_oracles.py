@@ -58,14 +58,15 @@ def test_query_of_repeated_starts_equals_oracle_on_more_rows(spark, name):
     same(spark, connected(SF.replace("0.001", "0.01")), name, SF.replace("0.001", "0.01"))
 
 
-@pytest.mark.parametrize("name", ["person_phenotypes", "phenotype_counts", "internal_indices"])
-def test_phenotypes_of_slopes_on_the_threshold_equal_oracle(spark, tmp_path, name):
+@pytest.mark.parametrize(("name", "person", "shift"), [("person_phenotypes", 11254, 33180), ("phenotype_counts", 11254, 33180), ("internal_indices", 11254, 33180), ("negative_controls", 14190, 265440)])
+def test_phenotypes_of_slopes_on_the_threshold_equal_oracle(spark, tmp_path, name, person, shift):
     """A person of the larger tables under an id by which follow-up ends with a slope of exactly -0.1, among others."""
     con, sf = duckdb.connect(), SF.replace("0.001", "0.1")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    kept = {"orders": "SELECT * REPLACE (o_custkey + 33180 AS o_custkey) FROM orders WHERE o_custkey BETWEEN 11240 AND 11270"}
-    kept["lineitem"] = "SELECT lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey BETWEEN 11240 AND 11270"
+    kept = {"orders": f"SELECT * REPLACE (o_custkey + {shift} AS o_custkey) FROM orders WHERE o_custkey BETWEEN {person - 20} AND {person + 20}"}
+    kept["lineitem"] = f"SELECT lineitem.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey BETWEEN {person - 20} AND {person + 20}"
+    kept["customer"] = f"SELECT * REPLACE (c_custkey + {shift} AS c_custkey) FROM customer"
     for t in TABLES:
         con.execute(f"COPY ({kept.get(t, f'SELECT * FROM {t}')}) TO '{tmp_path}/{t}.parquet'")
     same(spark, connected(tmp_path), name, str(tmp_path))
